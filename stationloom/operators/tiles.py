@@ -1,0 +1,179 @@
+"""Neighbourhood joins on balanced tiles.
+
+Tiles are cut at quantiles of the data (strips in x, then y inside each strip), so a dense spot becomes
+many small tiles and no tile holds more than a bounded share. A query visits only the tiles its search
+circle touches; busy tiles are split into parts. Pairs live inside one task as numpy blocks and leave it
+reduced (k best, sums, labels).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SAMPLE = 100_000     # points brought to the driver to place the cuts
+TARGET = 2_000       # data points per tile
+QUERY_CAP = 20_000   # queries per part of a tile
+BLOCK = 1 << 20      # distances held at once by a task
+
+
+@dataclass(frozen=True)
+class Tiles:
+    x_cuts: np.ndarray
+    y_cuts: tuple[np.ndarray, ...]
+
+    @property
+    def width(self) -> int:
+        return max(len(c) for c in self.y_cuts) + 1
+
+    def locate(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        strip = np.searchsorted(self.x_cuts, x, side="right")
+        row = np.zeros(len(x), dtype=np.int64)
+        for s in np.unique(strip):
+            here = strip == s
+            row[here] = np.searchsorted(self.y_cuts[s], y[here], side="right")
+        return strip * self.width + row
+
+    def touched(self, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query position, tile) for every tile that meets the square around a query."""
+        first = np.searchsorted(self.x_cuts, x - r, side="right")
+        last = np.searchsorted(self.x_cuts, x + r, side="right")
+        q, strip = _expand(np.arange(len(x)), first, last)
+        low, high = np.zeros(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.int64)
+        for s in np.unique(strip):
+            here = strip == s
+            yy, rr = y[q[here]], r[q[here]]
+            low[here] = np.searchsorted(self.y_cuts[s], yy - rr, side="right")
+            high[here] = np.searchsorted(self.y_cuts[s], yy + rr, side="right")
+        at, row = _expand(np.arange(len(q)), low, high)
+        return q[at], strip[at] * self.width + row
+
+
+def _expand(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    count = last - first + 1
+    start = np.repeat(first, count)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(ids, count), start + within
+
+
+def fit_tiles(points: DataFrame, target: int = TARGET, sample: int = SAMPLE) -> Tiles:
+    """Cut the plane from a hash sample of the distinct ``x, y`` of ``points``; its size is bounded, not the data's."""
+    h = F.xxhash64("x", "y")
+    size = points.agg(F.approx_count_distinct(h)).first()[0] or 0
+    modulus = 1 << 20
+    keep = max(1, min(modulus, int(modulus * min(1.0, sample / max(size, 1)))))
+    picked = points.where(F.pmod(h, F.lit(modulus)) < keep).select("x", "y").distinct().toPandas()
+    x, y = picked["x"].to_numpy(float), picked["y"].to_numpy(float)
+    tiles = max(1, min(int(np.ceil(size / target)), max(1, len(x) // 16)))
+    side = int(np.ceil(np.sqrt(tiles)))
+    fractions = np.arange(1, side) / side
+    x_cuts = np.unique(np.quantile(x, fractions)) if len(x) and side > 1 else np.array([])
+    strip = np.searchsorted(x_cuts, x, side="right")
+    y_cuts = []
+    for s in range(len(x_cuts) + 1):
+        inside = y[strip == s]
+        y_cuts.append(np.unique(np.quantile(inside, fractions)) if len(inside) and side > 1 else np.array([]))
+    return Tiles(x_cuts, tuple(y_cuts))
+
+
+def _with_own_tile(df: DataFrame, tiles: Tiles) -> DataFrame:
+    @F.pandas_udf(T.LongType())
+    def locate(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(tiles.locate(x.to_numpy(float), y.to_numpy(float)))
+
+    return df.withColumn("_tile", locate("x", "y"))
+
+
+def _with_touched_tiles(df: DataFrame, tiles: Tiles, skip_own: bool) -> DataFrame:
+    schema = T.StructType([*df.schema.fields, T.StructField("_tile", T.LongType())])
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y, r = (batch[c].to_numpy(float) for c in ("x", "y", "_r"))
+            q, tile = tiles.touched(x, y, r)
+            if skip_own:
+                # the own tile was visited before: its answer rides along under tile -1
+                tile = np.where(tile == tiles.locate(x, y)[q], -1, tile)
+            out = batch.iloc[q].reset_index(drop=True)
+            out["_tile"] = tile
+            yield out
+
+    return df.mapInPandas(visit, schema)
+
+
+def tile_apply(queries: DataFrame, data: DataFrame, tiles: Tiles, fn: Callable, schema: str | T.StructType,
+               radius: bool = True, skip_own: bool = False) -> DataFrame:
+    """Run ``fn(queries, data) -> pandas`` once per tile part.
+
+    Both sides carry ``x, y``; with ``radius`` the queries also carry ``_r`` and visit every touched tile,
+    otherwise only their own. ``data`` must hold distinct points (collapse equal coordinates first), which
+    keeps a tile bounded; queries of a busy tile are dealt into parts and the tile is repeated for each.
+    """
+    asked = _with_touched_tiles(queries, tiles, skip_own) if radius else _with_own_tile(queries, tiles)
+    load = asked.groupBy("_tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_CAP)).cast("int").alias("_parts"))
+    asked = asked.join(load, "_tile").withColumn(
+        "_part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int")).drop("_parts")
+    held = _with_own_tile(data, tiles).join(load, "_tile").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    # fresh column ids: both sides may come from the same frame
+    held = held.select(*[F.col(c).alias(c) for c in held.columns])
+    return asked.groupBy("_tile", "_part").cogroup(held.groupBy("_tile", "_part")).applyInPandas(
+        lambda left, right: fn(left, right), schema)
+
+
+def blocks(n_queries: int, n_data: int) -> Iterator[slice]:
+    step = max(1, BLOCK // max(n_data, 1))
+    for start in range(0, n_queries, step):
+        yield slice(start, min(start + step, n_queries))
+
+
+def nearest(queries: DataFrame, data: DataFrame, k: int, tiles: Tiles, first_radius: bool = False) -> DataFrame:
+    """k nearest ``data`` (``did, x, y``) of each query (``qid, x, y``), ordered by distance and then id.
+
+    Without a known radius the own tile gives an upper bound of the k-th distance; the second pass then
+    visits the other tiles inside that circle. With ``first_radius`` the queries bring ``_r`` and one pass
+    suffices. Returns ``qid, near array<struct<dist,id>>``.
+    """
+    id_type = dict(data.dtypes)["did"]
+    key_type = dict(queries.dtypes)["qid"]
+    schema = f"qid {key_type}, near array<struct<dist:double,id:{id_type}>>"
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows: list[list] = []
+        if len(left) and len(right):
+            right = right.sort_values("did", kind="stable")
+            dx, dy, ids = right["x"].to_numpy(float), right["y"].to_numpy(float), right["did"].to_numpy()
+            qx, qy = left["x"].to_numpy(float), left["y"].to_numpy(float)
+            r = left["_r"].to_numpy(float) if "_r" in left else np.full(len(left), np.inf)
+            for part in blocks(len(left), len(right)):
+                d = np.sqrt((qx[part, None] - dx) ** 2 + (qy[part, None] - dy) ** 2)
+                kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                limit = np.minimum(kth, r[part])
+                for i in range(d.shape[0]):
+                    at = np.flatnonzero(d[i] <= limit[i])
+                    at = at[np.argsort(d[i][at], kind="stable")][:k]   # ids ascend, so a stable sort breaks ties by id
+                    rows.append([{"dist": float(d[i][j]), "id": ids[j]} for j in at])
+        elif "_near" in left:
+            return pd.DataFrame({"qid": left["qid"], "near": left["_near"]})
+        else:
+            rows = [[] for _ in range(len(left))]
+        return pd.DataFrame({"qid": left["qid"], "near": rows})
+
+    def merged(parts: DataFrame) -> DataFrame:
+        # at most k entries per visited tile reach this collect
+        return parts.groupBy("qid").agg(
+            F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+    if first_radius:
+        return merged(tile_apply(queries, data, tiles, best, schema))
+    own = tile_apply(queries, data, tiles, best, schema, radius=False)
+    bound = F.when(F.size("near") >= k, F.col("near")[k - 1]["dist"]).otherwise(F.lit(float("inf")))
+    wide = queries.join(own.select("qid", F.col("near").alias("_near"), bound.alias("_r")), "qid")
+    return merged(tile_apply(wide, data, tiles, best, schema, skip_own=True))
