@@ -113,16 +113,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], group
         for o, p in probs.items()])
 
 
-def hash_order_rank(df: DataFrame, key: str, group: Sequence[str] = (), lead: Sequence[str] = (), seed: str = "",
-                    digits: int = 3, rank: str = "rn", total: str = "n") -> DataFrame:
-    """``row_number`` in the order ``lead, md5(key), key`` and the group size.
+def hash_order_rank(df: DataFrame, key: str, group: Sequence[str] = (), lead: Sequence[str] = (),
+                    salt: str | None = None, digits: int = 3, rank: str = "rn", total: str = "n") -> DataFrame:
+    """``row_number`` in the order ``lead, md5(key), key`` and the group size; ``salt`` is hashed in front.
 
     The md5 prefix is an even, order-preserving bucket, so each window covers about 16**-digits of a
     group. ``lead`` must be a small domain such as days: its buckets are added up in one task per group.
     """
     group, lead = list(group), list(lead)
-    base = df.withColumn("_md5", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn(
-        "_bucket", F.substring("_md5", 1, digits))
+    text = F.col(key).cast("string")
+    if salt is not None:
+        text = F.concat(F.col(salt).cast("string"), F.lit("|"), text)
+    base = df.withColumn("_md5", F.md5(text)).withColumn("_bucket", F.substring("_md5", 1, digits))
     counts = base.groupBy(*group, *lead, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     ordered = Window.partitionBy(*group).orderBy(*lead, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
