@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationloom.operators.quality import tall
 from stationloom.operators.ranking import exact_quantiles, null_safe, one_row, running_sums
@@ -70,7 +71,7 @@ def correlation_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(correlation_p(r.to_numpy(float), n.to_numpy(float)))
 

@@ -84,7 +84,7 @@ def wide_table(sources: Mapping[str, tuple[SourceSpec, DataFrame]], observations
     """
     dated, static, yearly = [], [], []
     for spec, df in sources.values():
-        part = Part(df, value_names(spec), spec.order, index=spec.kind == "dynamic")
+        part = Part(df, value_names(spec), spec.order, index=spec.kind not in ("gldas", "phenology"))
         if spec.kind in ("dynamic", "gldas", "phenology"):
             dated.append(part)
         elif spec.kind == "static":

@@ -50,10 +50,12 @@ def station_year_coverage(df: DataFrame, station: str = "station_id", date: str
 def time_distribution(df: DataFrame, date: str = "date") -> DataFrame:
     """Rows per year, per month and per year-month: grouping sets over one partial aggregate."""
     days = df.groupBy(F.year(date).alias("y"), F.month(date).alias("m")).agg(_rows().alias("n"))
+    def level(name: str, period: Column) -> Column:
+        return F.struct(F.lit(name).alias("level"), period.alias("period"))
+
     keyed = days.select("n", F.explode(F.array(
-        F.struct(F.lit("year").alias("level"), F.col("y").cast("string").alias("period")),
-        F.struct(F.lit("month"), F.col("m").cast("string")),
-        F.struct(F.lit("year_month"), F.format_string("%04d-%02d", "y", "m")))).alias("k"))
+        level("year", F.col("y").cast("string")), level("month", F.col("m").cast("string")),
+        level("year_month", F.format_string("%04d-%02d", "y", "m")))).alias("k"))
     return keyed.groupBy(F.col("k")["level"].alias("level"), F.col("k")["period"].alias("period")).agg(
         F.sum("n").alias("records"))
 

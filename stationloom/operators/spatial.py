@@ -48,7 +48,7 @@ def knn(points: DataFrame, k: int = 8, key: str = "id", x: str = "x", y: str = "
                          F.col("_hit")["dist"].alias("distance"), (F.col("_at") + 1).alias("rank"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: erfc(abs(v) / sqrt(2)))
 
@@ -74,7 +74,8 @@ def morans_i(points: DataFrame, value: str, k: int = 8, key: str = "id", x: str
     split = both.select(F.explode(F.array(
         F.struct(F.lit("pair").alias("kind"), F.least("_i", "neighbor").alias("a"),
                  F.greatest("_i", "neighbor").alias("b"), (F.col("_z") * F.col("_zj")).alias("zz")),
-        F.struct(F.lit("node"), F.col("neighbor"), F.col("neighbor"), F.lit(0.0).cast("double")))).alias("e"))
+        F.struct(F.lit("node").alias("kind"), F.col("neighbor").alias("a"), F.col("neighbor").alias("b"),
+                 F.lit(0.0).cast("double").alias("zz")))).alias("e"))
     grouped = split.select("e.*").groupBy("kind", "a", "b").agg(
         F.count(F.lit(1)).alias("c"), F.sum("zz").alias("zz"))
     sums = grouped.agg(
