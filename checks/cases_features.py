@@ -83,27 +83,27 @@ def _(v: Views):
     return rounded(features.impute(_holes(v), ["aspect", "altitude"], ["zone"]), 6, "aspect", "altitude")
 
 
-@case("impute_replay", f"""{IMPUTE} select num, round(coalesce(aspect, (select median(aspect) from x where num % 5 <> 0)), 6) as aspect,
-    coalesce(zone, (select zone from x where zone is not null and num % 5 <> 0 group by zone order by count(*) desc, zone limit 1)) as zone
-    from x where num % 5 = 0""")
+@case("impute_replay", f"""{IMPUTE} select num, round(coalesce(aspect, (select median(aspect) from x where altitude > 0)), 6) as aspect,
+    coalesce(zone, (select zone from x where zone is not null and altitude > 0 group by zone order by count(*) desc, zone limit 1)) as zone
+    from x""")
 def _(v: Views):
-    df = _holes(v).drop("altitude")
-    plan = features.fit_missing(df.where("num % 5 <> 0"), ["aspect"], ["zone"], "median")
-    return rounded(plan.replay(df.where("num % 5 = 0")), 6, "aspect")
+    df = _holes(v)
+    plan = features.fit_missing(df.where("altitude > 0"), ["aspect"], ["zone"], "median")
+    return rounded(plan.replay(df.drop("altitude")), 6, "aspect")
 
 
-@case("scale_minmax", """with t as (select min(altitude) a, max(altitude) b from station where num % 4 <> 0)
-    select num, round((altitude - a)/(b - a + 1e-8), 9) as altitude from station, t where num % 4 = 0""")
+@case("scale_minmax", """with t as (select min(altitude) a, max(altitude) b from station where zone <> 'BUILDING')
+    select num, round((altitude - a)/(b - a + 1e-8), 9) as altitude from station, t""")
 def _(v: Views):
-    train, rest = v.station.where("num % 4 <> 0"), v.station.where("num % 4 = 0")
-    return rounded(features.scale_like(train, rest.select("num", "altitude"), ["altitude"]), 9, "altitude")
+    train = v.station.where("zone <> 'BUILDING'")
+    return rounded(features.scale_like(train, v.station.select("num", "altitude"), ["altitude"]), 9, "altitude")
 
 
-@case("scale_standard", """with t as (select avg(altitude) a, stddev_pop(altitude) b from station where num % 4 <> 0)
-    select num, round((altitude - a)/(b + 1e-8), 9) as altitude from station, t where num % 4 = 0""")
+@case("scale_standard", """with t as (select avg(altitude) a, stddev_pop(altitude) b from station where zone <> 'BUILDING')
+    select num, round((altitude - a)/(b + 1e-8), 9) as altitude from station, t""")
 def _(v: Views):
-    train, rest = v.station.where("num % 4 <> 0"), v.station.where("num % 4 = 0")
-    return rounded(features.scale_like(train, rest.select("num", "altitude"), ["altitude"], "standard"), 9, "altitude")
+    train = v.station.where("zone <> 'BUILDING'")
+    return rounded(features.scale_like(train, v.station.select("num", "altitude"), ["altitude"], "standard"), 9, "altitude")
 
 
 @case("weighted_features", """with n as (select vec_id id, embedding, label from embeddings),

@@ -134,12 +134,12 @@ def _(v: Views):
     return rounded(out.select("station_id", "date", "swe"), 6, "swe")
 
 
-@case("coord_backfill", """with a as (select station_id, lon, lat from station where num % 4 = 0),
+@case("coord_backfill", """with a as (select station_id, lon, lat from station where zone = 'BUILDING'),
     b as (select cast(s_suppkey*2 as varchar) station_id, cast(s_nationkey as double) lon, s_acctbal lat from supplier)
     select o.station_id, coalesce(a.lon, b.lon) as longitude, coalesce(a.lat, b.lat) as latitude
     from (select distinct station_id from obs) o left join a using (station_id) left join b using (station_id)""")
 def _(v: Views):
-    first = v.station.where("num % 4 = 0").select("station_id", F.col("lon").alias("longitude"),
+    first = v.station.where("zone = 'BUILDING'").select("station_id", F.col("lon").alias("longitude"),
                                                   F.col("lat").alias("latitude"))
     second = v.table("supplier").select((F.col("s_suppkey") * 2).cast("string").alias("station_id"),
                                         F.col("s_nationkey").cast("double").alias("longitude"),
@@ -207,10 +207,10 @@ def _(v: Views):
     return rounded(integrate.attach_extracted(v.obs.drop("swe"), v.dyn_cswe, "value", ["value"]), 6, "value")
 
 
-@case("cluster_lookup", """with c as (select station_id, landuse_code as cluster from station where num % 6 <> 0)
+@case("cluster_lookup", """with c as (select station_id, landuse_code as cluster from station where zone <> 'MACHINERY')
     select o.ord, coalesce(c.cluster, (select max(cluster) + 1 from c)) as cluster from obs o left join c using (station_id)""")
 def _(v: Views):
-    clusters = v.station.where("num % 6 <> 0").select("station_id", F.col("landuse_code").alias("cluster"))
+    clusters = v.station.where("zone <> 'MACHINERY'").select("station_id", F.col("landuse_code").alias("cluster"))
     return integrate.attach_cluster(v.obs.select("ord", "station_id"), clusters).select("ord", "cluster")
 
 
@@ -221,12 +221,13 @@ def _(v: Views):
     return joined.select("id", "lon", F.round(F.col("weights")[0], 9).alias("first_weight"))
 
 
-@case("temporal_overlap", """with o as (select ord, swe, year(date) as year, cast(station_id as bigint) % 10 as g from obs)
-    select ord, year from o where g = 0 and year between (select min(year) from o where g = 1 and swe > 480)
-    and (select max(year) from o where g = 1 and swe > 480)""")
+@case("temporal_overlap", """with o as (select ord, swe, year(date) as year, date from obs)
+    select ord, year from o where year between (select min(year) from o where swe > 499.5)
+    and (select max(year) from o where swe > 499.5 and date < date '2016-01-01')""")
 def _(v: Views):
-    o = v.obs.select("ord", "swe", F.year("date").alias("year"), (F.col("station_id").cast("bigint") % 10).alias("g"))
-    return integrate.within_year_range(o.where("g = 0"), o.where("g = 1 and swe > 480")).select("ord", "year")
+    o = v.obs.select("ord", "swe", "date", F.year("date").alias("year"))
+    held = o.where("swe > 499.5 and date < date '2016-01-01'")
+    return integrate.within_year_range(o, held).select("ord", "year")
 
 
 @case("long_union", """select 'obs' as source, station_id, date, swe, null::double as value from obs

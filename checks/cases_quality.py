@@ -100,9 +100,9 @@ def _(v: Views):
     return quality.station_fill(v.obs, "swe")
 
 
-@case("station_means", "select station_id, round(avg(swe), 6) as swe, round(avg(ord), 6) as ord from obs group by 1")
+@case("station_means", "select station_id, round(avg(swe), 9) as swe, round(avg(ord), 9) as ord from obs group by 1")
 def _(v: Views):
-    return rounded(quality.station_means(v.obs, ["swe", "ord"]), 6, "swe", "ord")
+    return rounded(quality.station_means(v.obs, ["swe", "ord"]), 9, "swe", "ord")
 
 
 @case("static_altitude", "select cast(landuse_code as varchar) as station_id, round(avg(altitude), 6) as altitude from station group by 1")
@@ -116,9 +116,9 @@ def _(v: Views):
     return rounded(quality.value_summary(v.obs, "swe"), 6, "mean", "median", "std")
 
 
-@case("value_summary_by_station", "select station_id, count(swe) as n, min(swe) as min, max(swe) as max, round(avg(swe), 6) as mean, round(median(swe), 6) as median, round(stddev_samp(swe), 6) as std from obs group by 1")
+@case("value_summary_by_station", "select station_id, count(swe) as n, min(swe) as min, max(swe) as max, round(avg(swe), 9) as mean, round(median(swe), 9) as median, round(stddev_samp(swe), 6) as std from obs group by 1")
 def _(v: Views):
-    return rounded(quality.value_summary(v.obs, "swe", ["station_id"]), 6, "mean", "median", "std")
+    return rounded(quality.value_summary(v.obs, "swe", ["station_id"]), 9, "mean", "median").withColumn("std", F.round("std", 6))
 
 
 @case("phenology_pivot", """select month(date) as period, count(*) filter (dataset_type = 'click') as click, count(*) filter (dataset_type = 'view') as view,

@@ -19,7 +19,9 @@ def guarded_corr(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     px, py = F.when(both, x), F.when(both, y)
     varied = (F.count(px) > 1) & (F.min(px) < F.max(px)) & (F.min(py) < F.max(py))
-    return F.when(varied, F.corr(px, py))
+    # corr() itself fails on a constant side in ANSI mode
+    r = F.covar_pop(px, py) / F.nullif(F.stddev_pop(px) * F.stddev_pop(py), F.lit(0.0).cast("double"))
+    return F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def metrics(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", group: Sequence[str] = ()) -> DataFrame:

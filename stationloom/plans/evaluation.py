@@ -17,7 +17,8 @@ def complete_analysis(df: DataFrame, features: Sequence[str], label: str = "swe"
                       max_folds: int = 64) -> dict[str, DataFrame]:
     """Every table of the analysis by name; models are fitted when called, tables are lazy."""
     require(df, [station, date, label])
-    data = impute(df.where(F.col(label).isNotNull()).withColumn("_year", F.year(date)), list(features))
+    known = df.where(F.col(label).isNotNull()).withColumn("_year", F.year(date))
+    data = impute(known.select(station, "_year", label, *features), list(features)).persist()
     out: dict[str, DataFrame] = {}
     overall, spread = [], []
     for scheme, group in (("station", station), ("yearly", "_year")):
