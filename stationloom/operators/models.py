@@ -43,13 +43,14 @@ def leave_one_group_out(df: DataFrame, features: Sequence[str], label: str, grou
     Up to ``max_folds`` groups are left out one by one. More groups are dealt into that many folds of
     whole groups; the number of fits stays bounded and no row is left out.
     """
-    data = assemble(df.where(F.col(group).isNotNull()), features, label, [group, *keep]).persist()
-    few = data.select(group).distinct().limit(max_folds + 1).collect()
+    known = df.where(F.col(group).isNotNull())
+    few = known.select(group).distinct().limit(max_folds + 1).collect()
+    data = assemble(known, features, label, [group, *keep])
     if len(few) <= max_folds:
         data, folds = data.withColumn("fold", F.col(group)), [r[0] for r in few]
     else:
-        data = data.join(group_folds(data, group, max_folds), group)
-        folds = list(range(max_folds))
+        data, folds = data.join(group_folds(known, group, max_folds), group), list(range(max_folds))
+    data = data.persist()
 
     @inheritable_thread_target(df.sparkSession)
     def run(fold) -> DataFrame:
