@@ -8,6 +8,7 @@ third of the rows is spread like any other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -32,18 +33,30 @@ def cut_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
     return picked.agg(F.sort_array(F.collect_list("_cut")).alias("_cuts")).scalar()
 
 
+def _bisect(value: str, first: str, stride: int, low: int, high: int) -> str:
+    """How many of the cuts ``first + stride*i`` (i in low ... high-1) lie at or below the value, as a decision tree."""
+    if low == high:
+        return str(low)
+    mid = (low + high) // 2
+    # a position past the end reads NULL and goes left
+    return (f"if(get(_cuts, {first} + {stride * mid}) <= {value}, {_bisect(value, first, stride, mid + 1, high)}, "
+            f"{_bisect(value, first, stride, low, mid)})")
+
+
 def with_bucket(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``: how many cut points lie at or below the value, by bisection over the array."""
-    steps = []
-    step = 1
-    while step <= buckets:
-        steps.insert(0, step)
-        step *= 2
-    # the subquery becomes a column first: a lambda may not contain one
-    return df.withColumn("_cuts", cut_points(df, value, buckets)).withColumn("_bucket", F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda at, s: F.when(F.get(F.col("_cuts"), at + s - 1) <= F.col(value), at + s).otherwise(at))
-    ).drop("_cuts")
+    """Add ``_bucket``: how many cut points lie at or below the value.
+
+    One small decision tree per base-4 digit keeps the generated method short enough to be compiled; an array
+    function with a lambda would be interpreted for every row.
+    """
+    digits = max(1, math.ceil(math.log(buckets, 4)))
+    located = df.withColumn("_cuts", cut_points(df, value, 4 ** digits)).withColumn("_bucket", F.lit(0))
+    for level in reversed(range(digits)):
+        stride = 4 ** level
+        last = 4 if level == 0 else 3
+        digit = _bisect(f"`{value}`", f"_bucket + {stride - 1}", stride, 0, last)
+        located = located.withColumn("_bucket", F.expr(f"_bucket + {stride} * {digit}"))
+    return located.drop("_cuts")
 
 
 def running_sums(df: DataFrame, order: str, tie: Sequence[str], sums: Mapping[str, str], group: Sequence[str] = (),
@@ -76,13 +89,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], group
                     buckets: int = BUCKETS) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group that has a value.
 
-    Equal values are counted before the shuffle; only the buckets that hold a wanted rank are ordered.
+    A histogram of the buckets finds those that hold a wanted rank; only their rows are shuffled, counted by
+    value and ordered.
     """
     group = list(group)
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(
-        *group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    spread = with_bucket(counts, "_v", buckets)
-    histogram = spread.groupBy(*group, "_bucket").agg(F.sum("_c").alias("_n"))
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        *group, F.col(value).cast("double").alias("_v"))
+    spread = with_bucket(known, "_v", buckets)
+    histogram = spread.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     in_group = Window.partitionBy(*group)
     ordered = in_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     positions = histogram.select(
@@ -95,10 +109,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], group
     wanted = reduce(lambda a, b: a | b, [
         (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
         for p in probs.values() for rank in (F.floor(at(p)), F.ceil(at(p)))])
-    hit = null_safe(spread, positions.where(wanted).drop("_n"), [*group, "_bucket"])
+    found = positions.where(wanted).drop("_n")
+    # without groups this is at most two buckets per quantile
+    hit = null_safe(spread, found if group else F.broadcast(found), [*group, "_bucket"])
+    counts = hit.groupBy(*group, "_bucket", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding,
                                                                           Window.currentRow)
-    ranked = hit.withColumn("_hi", F.col("_before") + F.sum("_c").over(upto)).withColumn(
+    ranked = counts.withColumn("_hi", F.col("_before") + F.sum("_c").over(upto)).withColumn(
         "_lo", F.col("_hi") - F.col("_c"))
 
     def value_at(rank: Column) -> Column:

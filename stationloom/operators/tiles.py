@@ -111,17 +111,22 @@ def tile_apply(queries: DataFrame, data: DataFrame, tiles: Tiles, fn: Callable,
                radius: bool = True, skip_own: bool = False) -> DataFrame:
     """Run ``fn(queries, data) -> pandas`` once per tile part.
 
-    Both sides carry ``x, y``; with ``radius`` the queries also carry ``_r`` and visit every touched tile,
-    otherwise only their own. ``data`` must hold distinct points (collapse equal coordinates first), which
-    keeps a tile bounded; queries of a busy tile are dealt into parts and the tile is repeated for each.
+    Both sides carry ``x, y``; with ``radius`` the queries also carry ``_r`` and visit every touched tile.
+    ``data`` must hold distinct points (collapse equal coordinates first), which keeps a tile bounded; queries
+    of a busy tile are dealt into parts and the tile is repeated for each. Without ``radius`` the queries must
+    be points the tiles were fitted on, so a tile is bounded on both sides.
     """
-    asked = _with_touched_tiles(queries, tiles, skip_own) if radius else _with_own_tile(queries, tiles)
-    load = asked.groupBy("_tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_CAP)).cast("int").alias("_parts"))
-    asked = asked.join(load, "_tile").withColumn(
-        "_part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int")).drop("_parts")
-    held = _with_own_tile(data, tiles).join(load, "_tile").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-
+    held = _with_own_tile(data, tiles)
+    if radius:
+        asked = _with_touched_tiles(queries, tiles, skip_own)
+        load = asked.groupBy("_tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_CAP)).cast("int").alias("_parts"))
+        asked = asked.join(load, "_tile").withColumn(
+            "_part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int")).drop("_parts")
+        held = held.join(load, "_tile").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    else:
+        asked = _with_own_tile(queries, tiles).withColumn("_part", F.lit(0))
+        held = held.withColumn("_part", F.lit(0))
     # fresh column ids: both sides may come from the same frame
     held = held.select(*[F.col(c).alias(c) for c in held.columns])
     return asked.groupBy("_tile", "_part").cogroup(held.groupBy("_tile", "_part")).applyInPandas(
@@ -141,39 +146,42 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, tiles: Tiles, first_rad
     visits the other tiles inside that circle. With ``first_radius`` the queries bring ``_r`` and one pass
     suffices. Returns ``qid, near array<struct<dist,id>>``.
     """
-    id_type = dict(data.dtypes)["did"]
-    key_type = dict(queries.dtypes)["qid"]
-    schema = f"qid {key_type}, near array<struct<dist:double,id:{id_type}>>"
+    kinds = dict(queries.dtypes) | dict(data.dtypes)
+    schema = f"qid {kinds['qid']}, dists array<double>, ids array<{kinds['did']}>"
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        if len(left) and len(right):
+        if "_dists" in left and not len(right):
+            return pd.DataFrame({"qid": left["qid"], "dists": left["_dists"], "ids": left["_ids"]})
+        dists: list = []
+        ids: list = []
+        if len(right):
             right = right.sort_values("did", kind="stable")
-            dx, dy, ids = right["x"].to_numpy(float), right["y"].to_numpy(float), right["did"].to_numpy()
+            px, py, names = right["x"].to_numpy(float), right["y"].to_numpy(float), right["did"].to_numpy()
             qx, qy = left["x"].to_numpy(float), left["y"].to_numpy(float)
             r = left["_r"].to_numpy(float) if "_r" in left else np.full(len(left), np.inf)
             for part in blocks(len(left), len(right)):
-                d = np.sqrt((qx[part, None] - dx) ** 2 + (qy[part, None] - dy) ** 2)
-                kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                limit = np.minimum(kth, r[part])
-                for i in range(d.shape[0]):
-                    at = np.flatnonzero(d[i] <= limit[i])
-                    at = at[np.argsort(d[i][at], kind="stable")][:k]   # ids ascend, so a stable sort breaks ties by id
-                    rows.append([{"dist": float(d[i][j]), "id": ids[j]} for j in at])
-        elif "_near" in left:
-            return pd.DataFrame({"qid": left["qid"], "near": left["_near"]})
+                d = np.sqrt((qx[part, None] - px) ** 2 + (qy[part, None] - py) ** 2)
+                last = min(k, d.shape[1]) - 1
+                limit = np.minimum(np.partition(d, last, axis=1)[:, last], r[part])
+                for row, most in zip(d, limit):
+                    at = np.flatnonzero(row <= most)
+                    at = at[np.argsort(row[at], kind="stable")][:k]   # names ascend, so ties fall to the smaller id
+                    dists.append(row[at])
+                    ids.append(names[at])
         else:
-            rows = [[] for _ in range(len(left))]
-        return pd.DataFrame({"qid": left["qid"], "near": rows})
+            dists = ids = [[]] * len(left)
+        return pd.DataFrame({"qid": left["qid"], "dists": dists, "ids": ids})
 
     def merged(parts: DataFrame) -> DataFrame:
         # at most k entries per visited tile reach this collect
+        pairs = F.arrays_zip(F.col("dists").alias("dist"), F.col("ids").alias("id"))
         return parts.groupBy("qid").agg(
-            F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+            F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k).alias("near"))
 
     if first_radius:
         return merged(tile_apply(queries, data, tiles, best, schema))
     own = tile_apply(queries, data, tiles, best, schema, radius=False)
-    bound = F.when(F.size("near") >= k, F.col("near")[k - 1]["dist"]).otherwise(F.lit(float("inf")))
-    wide = queries.join(own.select("qid", F.col("near").alias("_near"), bound.alias("_r")), "qid")
+    bound = F.when(F.size("dists") >= k, F.col("dists")[k - 1]).otherwise(F.lit(float("inf")))
+    wide = queries.join(own.select("qid", F.col("dists").alias("_dists"), F.col("ids").alias("_ids"),
+                                   bound.alias("_r")), "qid")
     return merged(tile_apply(wide, data, tiles, best, schema, skip_own=True))
