@@ -275,14 +275,12 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min_points:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    features = list(features)
-    raw = df.dropna(subset=features)
+    kept = [f"_v{i}" for i in range(len(features))]      # own names: a feature may itself be called x or y
     scaled = [f"_f{i}" for i in range(len(features))]
-    statistics = raw.select(*[F.col(f).cast("double").alias(s) for f, s in zip(features, scaled)])
-    unique = raw.groupBy(*[F.col(f).alias(f) for f in features]).agg(
-        F.min(key).cast("bigint").alias("qid"), F.count(F.lit(1)).alias("_w"))
-    points = scale_like(statistics, unique.withColumns({s: F.col(f).cast("double") for f, s in zip(features, scaled)}),
-                        scaled, "standard", epsilon=0.0)
+    raw = df.dropna(subset=list(features)).select(key, *[F.col(f).cast("double").alias(v) for f, v in zip(features, kept)])
+    unique = raw.groupBy(*kept).agg(F.min(key).cast("bigint").alias("qid"), F.count(F.lit(1)).alias("_w"))
+    both = {s: F.col(v) for s, v in zip(scaled, kept)}
+    points = scale_like(raw.withColumns(both), unique.withColumns(both), scaled, "standard", epsilon=0.0)
     # a constant feature has no spread and no say
     points = points.withColumns({s: F.coalesce(F.when(~F.isnan(s), F.col(s)), F.lit(0.0)) for s in scaled})
     points = points.withColumns({"x": F.col(scaled[0]), "y": F.col(scaled[min(1, len(scaled) - 1)]),
@@ -351,9 +349,9 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min_points:
         F.min("label").alias("label"))
     assigned = labels.select(F.col("node").alias("qid"), "label").unionByName(edge_points)
     numbers = row_ids(labels.select("label").distinct(), "label", "cluster")
-    clustered = points.select("qid", *features).join(assigned.join(numbers, "label"), "qid").select(
-        *features, F.col("cluster").cast("bigint").alias("cluster")).checkpoint()
-    rows = raw.select(key, *features).join(clustered, features, "left")
+    clustered = points.select("qid", *kept).join(assigned.join(numbers, "label"), "qid").select(
+        *kept, F.col("cluster").cast("bigint").alias("cluster")).checkpoint()
+    rows = raw.join(clustered, kept, "left")
     return attach_noise(rows.select(key, "cluster"), clustered)
 
 

@@ -13,7 +13,11 @@ ASCII_HEADER = ("ncols", "nrows", "xllcenter", "yllcenter", "cellsize", "nodata_
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                    encoding: str = "utf-8", sep: str = ",") -> DataFrame:
-    """CSV with an explicit encoding (``utf-8``, ``latin1``, ``gbk``); give a schema to avoid a second pass."""
+    """CSV with an explicit encoding (``utf-8``, ``latin1``, ``gbk``); give a schema to avoid a second pass.
+
+    Encodings outside Unicode and latin1 need ``spark.sql.legacy.javaCharsets``, which ``build_session`` sets.
+    """
+    encoding = "iso-8859-1" if encoding.lower() in ("latin1", "latin-1") else encoding
     reader = spark.read.option("header", True).option("encoding", encoding).option("sep", sep)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 

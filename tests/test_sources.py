@@ -46,11 +46,11 @@ def test_centre_origin_moves_the_corner():
 
 
 def test_delimited_encodings(spark, tmp_path):
-    for encoding in ("utf-8", "gbk"):
+    for encoding, name in (("utf-8", "积雪"), ("gbk", "积雪"), ("latin1", "é")):
         path = tmp_path / f"{encoding}.csv"
-        path.write_bytes("station_id,名称\n1,积雪\n".encode(encoding))
+        path.write_bytes(f"station_id,name\n1,{name}\n".encode(encoding))
         row = readers.read_delimited(spark, str(path), encoding=encoding).first()
-        assert row["名称"] == "积雪" and row["station_id"] == 1
+        assert row["name"] == name and row["station_id"] == 1
 
 
 def test_both_sinks_and_sheets(spark, tmp_path):
