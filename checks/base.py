@@ -135,6 +135,8 @@ def with_views(sql: str) -> str:
         return sql
     heads = ", ".join(f"{n} as ({VIEW_SQL[n]})" for n in used)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {heads}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {heads}, {body[5:]}"
     return f"with {heads} {body}"

@@ -102,7 +102,19 @@ def _(v: Views):
     return rounded(spatial.mahalanobis(_timed(v), _refs(v), ["x", "y"]), 6, "distance")
 
 
-@case("station_dbscan")
+DBSCAN = """with recursive m as (select avg(lon) a1, stddev_pop(lon) s1, avg(lat) a2, stddev_pop(lat) s2, avg(altitude) a3, stddev_pop(altitude) s3 from station),
+    p as (select num as id, (lon - a1)/s1 as f1, (lat - a2)/s2 as f2, (altitude - a3)/s3 as f3 from station, m),
+    near as (select a.id as a, b.id as b from p a join p b on (a.f1 - b.f1)*(a.f1 - b.f1) + (a.f2 - b.f2)*(a.f2 - b.f2) + (a.f3 - b.f3)*(a.f3 - b.f3) <= 0.12*0.12),
+    core as (select a as id from near group by a having count(*) >= 4),
+    link as (select a, b from near where a in (select id from core) and b in (select id from core)),
+    reach as (select id as root, id as node from core union select r.root, l.b from reach r join link l on l.a = r.node),
+    label as (select node as id, min(root) as label from reach group by 1),
+    edge as (select n.a as id, min(l.label) as label from near n join label l on l.id = n.b where n.a not in (select id from core) group by 1),
+    named as (select id, dense_rank() over (order by label) - 1 as cluster from (select * from label union all select * from edge))
+    select p.id as num, coalesce(n.cluster, (select max(cluster) + 1 from named)) as cluster from p left join named n on n.id = p.id"""
+
+
+@case("station_dbscan", DBSCAN)
 def _(v: Views):
     return spatial.dbscan(v.station.select("num", "lon", "lat", "altitude"), ["lon", "lat", "altitude"], 0.12, 4, "num")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationloom.functions import scalar
-from stationloom.operators.ranking import null_safe, running_sums
+from stationloom.operators.ranking import running_sums
 
 # Accepted spellings of the key columns.
 ALIASES = {
@@ -90,16 +90,13 @@ def row_ids(df: DataFrame, order: str, name: str = "id") -> DataFrame:
     return ranked.withColumn(name, F.col("_rank") - 1).drop("_rank")
 
 
-def category_codes(df: DataFrame, column: str, code: str, text: str | None = None) -> DataFrame:
-    """Sorted distinct values numbered from 0; NULL is a class of its own and comes last.
-
-    The classes are aggregated first, so the numbering runs over the class list only.
-    """
-    from pyspark.sql import Window
-
-    classes = df.select(column).distinct()
-    codes = classes.withColumn(code, F.row_number().over(Window.orderBy(F.col(column).asc_nulls_last())) - 1)
-    return null_safe(df, codes, [column], "left")
+def category_codes(df: DataFrame, column: str, code: str) -> DataFrame:
+    """Sorted distinct values numbered from 0; NULL is a class of its own and comes last."""
+    classes = df.select(column).where(F.col(column).isNotNull()).distinct()
+    codes = running_sums(classes, column, [], {}).select(column, (F.col("_rank") - 1).alias(code))
+    last = classes.agg(F.count(F.lit(1))).scalar()
+    coded = df.join(codes, column, "left")
+    return coded.withColumn(code, F.when(F.col(column).isNull(), last).otherwise(F.col(code)))
 
 
 def class_labels(df: DataFrame, classes: DataFrame, code: str, label: str) -> DataFrame:

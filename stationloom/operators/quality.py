@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationloom.functions.scalar import guarded_percent
-from stationloom.operators.ranking import exact_quantiles, hash_order_rank, null_safe
+from stationloom.operators.ranking import exact_quantiles, null_safe, running_sums
 
 
 def _rows() -> Column:
@@ -179,12 +179,16 @@ def small_station_share(df: DataFrame, limit: int = 3, station: str = "station_i
 
 def duplicate_rows(df: DataFrame, name: str = "duplicate_group", station: str = "station_id",
                    date: str = "date") -> DataFrame:
-    """All rows of repeated keys with ``copies`` and a group number counted from 1 by date, then hashed station.
+    """All rows of repeated keys with ``copies`` and a group number counted from 1 in key order.
 
-    Repeated keys are found by an aggregate and numbered as keys, so no window runs over the rows.
+    Repeated keys are found by an aggregate. Stations get running offsets, and inside a station only its
+    repeated dates are numbered, so no window runs over the rows.
     """
     repeated = df.groupBy(station, date).agg(_rows().alias("copies")).where("copies > 1")
-    numbered = hash_order_rank(repeated, station, lead=[date], digits=2, rank=name).drop("n")
+    per = repeated.groupBy(station).agg(_rows().alias("_n"))
+    offsets = running_sums(per, station, [], {"_upto": "_n"}).select(station, (F.col("_upto") - F.col("_n")).alias("_before"))
+    numbered = repeated.join(offsets, station).withColumn(
+        name, F.col("_before") + F.row_number().over(Window.partitionBy(station).orderBy(date))).drop("_before")
     return df.join(numbered, [station, date])
 
 

@@ -61,7 +61,7 @@ def with_bucket(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
 
 def running_sums(df: DataFrame, order: str, tie: Sequence[str], sums: Mapping[str, str], group: Sequence[str] = (),
                  descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """Running totals ``{output: input}`` in the order of a numeric column.
+    """Running totals ``{output: input}`` in the order of a column without NULLs (numeric when descending).
 
     ``df`` should already be one row per distinct position (aggregate first). Also adds ``_rank``, the
     position inside the group counted from 1.
@@ -135,7 +135,7 @@ def hash_order_rank(df: DataFrame, key: str, group: Sequence[str] = (), lead: Se
     """``row_number`` in the order ``lead, md5(key), key`` and the group size; ``salt`` is hashed in front.
 
     The md5 prefix is an even, order-preserving bucket, so each window covers about 16**-digits of a
-    group. ``lead`` must be a small domain such as days: its buckets are added up in one task per group.
+    group. ``lead`` must be a small domain such as days: its totals are added up in one task per group.
     """
     group, lead = list(group), list(lead)
     text = F.col(key).cast("string")
@@ -143,10 +143,17 @@ def hash_order_rank(df: DataFrame, key: str, group: Sequence[str] = (), lead: Se
         text = F.concat(F.col(salt).cast("string"), F.lit("|"), text)
     base = df.withColumn("_md5", F.md5(text)).withColumn("_bucket", F.substring("_md5", 1, digits))
     counts = base.groupBy(*group, *lead, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.partitionBy(*group).orderBy(*lead, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *group, *lead, "_bucket", F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*group)).alias(total))
+    earlier = Window.partitionBy(*group, *lead).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, *lead, "_bucket", F.sum("_n").over(earlier).alias("_before"),
+                            F.sum("_n").over(Window.partitionBy(*group)).alias(total))
+    if lead:
+        per_lead = counts.groupBy(*group, *lead).agg(F.sum("_n").alias("_n"))
+        ahead = Window.partitionBy(*group).orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
+        starts = per_lead.select(*group, *lead, F.sum("_n").over(ahead).alias("_start"),
+                                 F.sum("_n").over(Window.partitionBy(*group)).alias(total))
+        offsets = null_safe(offsets.drop(total), starts, [*group, *lead]).withColumn(
+            "_before", F.coalesce("_before", F.lit(0)) + F.coalesce("_start", F.lit(0))).drop("_start")
+    offsets = offsets.withColumn("_before", F.coalesce("_before", F.lit(0)))
     inner = Window.partitionBy(*group, *lead, "_bucket").orderBy("_md5", key)
     return null_safe(base, offsets, [*group, *lead, "_bucket"]).withColumn(
         rank, F.col("_before") + F.row_number().over(inner)).drop("_md5", "_bucket", "_before")
