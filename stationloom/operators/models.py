@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from stationloom.operators.evaluate import fold_summary, metrics, r_squared
 from stationloom.operators.ranking import hash_order_rank, null_safe
 from stationloom.operators.splits import group_folds
+from stationloom.session import ensure_checkpoint_dir
 
 # Default settings of the boosted trees and of the forest benchmark.
 BOOSTED = {"maxIter": 60, "stepSize": 0.17, "maxDepth": 5, "subsamplingRate": 0.8, "seed": 42}
@@ -41,8 +42,10 @@ def leave_one_group_out(df: DataFrame, features: Sequence[str], label: str, grou
     """Predictions of every row by a model that never saw its group: ``fold, y_true, y_pred``.
 
     Up to ``max_folds`` groups are left out one by one. More groups are dealt into that many folds of
-    whole groups; the number of fits stays bounded and no row is left out.
+    whole groups; the number of fits stays bounded and no row is left out. The predictions are written with
+    ``checkpoint``: every report would otherwise carry, and run, all the models again.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     known = df.where(F.col(group).isNotNull())
     few = known.select(group).distinct().limit(max_folds + 1).collect()
     data = assemble(known, features, label, [group, *keep])
@@ -59,8 +62,10 @@ def leave_one_group_out(df: DataFrame, features: Sequence[str], label: str, grou
 
     with ThreadPool(min(parallelism, max(1, len(folds)))) as pool:
         parts = pool.map(run, sorted(folds))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select(*dict.fromkeys([group, *keep]), "fold", F.col(label).cast("double").alias("y_true"), "y_pred")
+    out = reduce(DataFrame.unionByName, parts).select(
+        *dict.fromkeys([group, *keep]), "fold", F.col(label).cast("double").alias("y_true"), "y_pred").checkpoint()
+    data.unpersist()
+    return out
 
 
 def cross_validation_report(predictions: DataFrame) -> dict[str, DataFrame]:
@@ -72,6 +77,7 @@ def cross_validation_report(predictions: DataFrame) -> dict[str, DataFrame]:
 def forest_per_cluster(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, cluster: str,
                        max_clusters: int = 100, **settings) -> DataFrame:
     """Test rows predicted by the forest of their own cluster: ``cluster, y_true, y_pred``."""
+    ensure_checkpoint_dir(train.sparkSession)
     data, held = assemble(train, features, label, [cluster]).persist(), assemble(test, features, label, [cluster])
     names = [r[0] for r in data.select(cluster).distinct().limit(max_clusters + 1).collect()]
     if len(names) > max_clusters:
@@ -82,8 +88,10 @@ def forest_per_cluster(train: DataFrame, test: DataFrame, features: Sequence[str
                                        **{**FOREST, **settings})
         model = forest.fit(data.where(F.col(cluster) == name))
         parts.append(model.transform(held.where(F.col(cluster) == name)))
-    return reduce(DataFrame.unionByName, parts).select(
-        cluster, F.col(label).cast("double").alias("y_true"), "y_pred")
+    out = reduce(DataFrame.unionByName, parts).select(
+        cluster, F.col(label).cast("double").alias("y_true"), "y_pred").checkpoint()
+    data.unpersist()
+    return out
 
 
 def ols(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = 100_000     # points brought to the driver to place the cuts
+SAMPLE = 100_000     # points brought to the driver to place the cuts, at least
+SAMPLE_LIMIT = 2_000_000  # and at most
 TARGET = 2_000       # data points per tile
 QUERY_CAP = 20_000   # queries per part of a tile
 BLOCK = 1 << 20      # distances held at once by a task
@@ -62,10 +63,11 @@ def _expand(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
     return np.repeat(ids, count), start + within
 
 
-def fit_tiles(points: DataFrame, target: int = TARGET, sample: int = SAMPLE) -> Tiles:
+def fit_tiles(points: DataFrame, target: int = TARGET) -> Tiles:
     """Cut the plane from a hash sample of the distinct ``x, y`` of ``points``; its size is bounded, not the data's."""
     h = F.xxhash64("x", "y")
     size = points.agg(F.approx_count_distinct(h)).first()[0] or 0
+    sample = min(SAMPLE_LIMIT, max(SAMPLE, 32 * size // target))
     modulus = 1 << 20
     keep = max(1, min(modulus, int(modulus * min(1.0, sample / max(size, 1)))))
     picked = points.where(F.pmod(h, F.lit(modulus)) < keep).select("x", "y").distinct().toPandas()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stationloom.operators import evaluate, filters, models
 from stationloom.operators.features import impute
 from stationloom.operators.filters import require
+from stationloom.session import ensure_checkpoint_dir
 
 
 def complete_analysis(df: DataFrame, features: Sequence[str], label: str = "swe", station: str = "station_id",
@@ -18,7 +19,8 @@ def complete_analysis(df: DataFrame, features: Sequence[str], label: str = "swe"
     """Every table of the analysis by name; models are fitted when called, tables are lazy."""
     require(df, [station, date, label])
     known = df.where(F.col(label).isNotNull()).withColumn("_year", F.year(date))
-    data = impute(known.select(station, "_year", label, *features), list(features)).persist()
+    ensure_checkpoint_dir(df.sparkSession)
+    data = impute(known.select(station, "_year", label, *features), list(features)).checkpoint()
     out: dict[str, DataFrame] = {}
     overall, spread = [], []
     for scheme, group in (("station", station), ("yearly", "_year")):
