@@ -19,10 +19,12 @@ class Views:
     """Station-like frames over one folder of the given tables. Whole tables, no subsets."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self._tables = spark, folder.rstrip("/"), {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def obs(self) -> DataFrame:

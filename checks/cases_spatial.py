@@ -111,7 +111,7 @@ DBSCAN = """with recursive m as (select avg(lon) a1, stddev_pop(lon) s1, avg(lat
     label as (select node as id, min(root) as label from reach group by 1),
     edge as (select n.a as id, min(l.label) as label from near n join label l on l.id = n.b where n.a not in (select id from core) group by 1),
     named as (select id, dense_rank() over (order by label) - 1 as cluster from (select * from label union all select * from edge))
-    select p.id as num, coalesce(n.cluster, (select max(cluster) + 1 from named)) as cluster from p left join named n on n.id = p.id"""
+    select p.id as num, coalesce(n.cluster, (select coalesce(max(cluster) + 1, 0) from named)) as cluster from p left join named n on n.id = p.id"""
 
 
 @case("station_dbscan", DBSCAN)

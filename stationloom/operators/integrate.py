@@ -95,16 +95,20 @@ def wide_table(sources: Mapping[str, tuple[SourceSpec, DataFrame]], observations
         dated.append(Part(observations, {"swe": "swe"}, observation_order))
     if not any(p.index for p in dated):
         return static_only(static, yearly)
-    wide = merge_parts(dated)
-    if static:
-        wide = left_lookup(wide, combine_static(static), ["station_id"])
     if altitude is not None:
-        wide = left_lookup(wide, altitude.groupBy("station_id").agg(F.avg("altitude").alias("altitude")),
-                           ["station_id"])
+        mean = altitude.groupBy("station_id").agg(F.avg("altitude").alias("altitude"))
+        static.append(Part(mean, {"altitude": "altitude"}))
+    wide = merge_parts(dated)
+    # one station table and one join: joins in a row on the same key would keep a hot station in one task
+    station = [combine_static(static)] if static else []
+    if coordinates:
+        station.append(best_coordinates(coordinates))
+    if station:
+        wide = left_lookup(wide, reduce(lambda a, b: a.join(b, "station_id", "full_outer"), station), ["station_id"])
     if yearly:
         per_year = merge_parts(yearly, ["station_id", "year"])
         wide = left_lookup(wide.withColumn("year", F.year("date")), per_year, ["station_id", "year"])
-    return backfill_coordinates(wide, coordinates) if coordinates else wide
+    return _fill_coordinates(wide) if coordinates else wide
 
 
 def static_only(static: Sequence[Part], yearly: Sequence[Part] = ()) -> DataFrame:
@@ -125,19 +129,26 @@ def first_per_station(df: DataFrame, yearly: DataFrame, values: Sequence[str], o
     return left_lookup(df, first.select("station_id", *values), ["station_id"])
 
 
-def backfill_coordinates(df: DataFrame, sources: Sequence[DataFrame], lon: str = "longitude",
-                         lat: str = "latitude") -> DataFrame:
-    """Fill coordinates from the first source, in the given order, that knows a station's pair."""
+def best_coordinates(sources: Sequence[DataFrame], lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """``station_id, _c`` with each station's pair from the first source, in the given order, that knows it."""
     ranked = reduce(DataFrame.unionByName, [
         s.select("station_id", F.struct(F.lit(i).alias("p"), F.col(lon).alias("x"), F.col(lat).alias("y")).alias("c"))
         .where(F.col(lon).isNotNull() & F.col(lat).isNotNull()) for i, s in enumerate(sources)])
-    best = ranked.groupBy("station_id").agg(F.min("c").alias("_c"))
-    joined = left_lookup(df, best, ["station_id"])
+    return ranked.groupBy("station_id").agg(F.min("c").alias("_c"))
+
+
+def _fill_coordinates(df: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
     have = {c: F.col(c) if c in df.columns else F.lit(None).cast("double") for c in (lon, lat)}
-    return joined.withColumns({
+    return df.withColumns({
         lon: F.coalesce(have[lon], F.col("_c")["x"]), lat: F.coalesce(have[lat], F.col("_c")["y"])}).drop("_c")
 
 
+def backfill_coordinates(df: DataFrame, sources: Sequence[DataFrame], lon: str = "longitude",
+                         lat: str = "latitude") -> DataFrame:
+    """Fill coordinates from the first source, in the given order, that knows a station's pair."""
+    return _fill_coordinates(left_lookup(df, best_coordinates(sources, lon, lat), ["station_id"]), lon, lat)
+
+
 def overwrite_protected(base: DataFrame, reference: DataFrame, columns: Sequence[str], base_order: Sequence[str],
                         reference_order: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """Replace protected columns where the reference has a value; both sides keep one row per key."""

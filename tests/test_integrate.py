@@ -46,6 +46,20 @@ def test_first_row_is_kept_even_when_its_value_is_missing(spark):
     assert merged["v"] is None and kept["v"] is None and kept["o"] == 1
 
 
+def test_altitude_and_coordinates_ride_on_one_station_table(spark, frames):
+    obs, cswe, terrain, _, _ = frames
+    altitude = spark.createDataFrame([("1", 10.0), ("1", 20.0), ("2", 5.0)], "station_id string, altitude double")
+    near = spark.createDataFrame([("1", None, 40.0), ("2", 7.0, 8.0)], "station_id string, longitude double, latitude double")
+    far = spark.createDataFrame([("1", 1.0, 2.0), ("2", 9.0, 9.0)], "station_id string, longitude double, latitude double")
+    wide = integrate.wide_table({"cswe": (SourceSpec("cswe"), cswe),
+                                 "slope": (SourceSpec("slope", "static", ("slope",)), terrain)},
+                                obs, "ord", altitude, [near, far])
+    rows = {(r["station_id"], r["date"]): r for r in wide.collect()}
+    assert len(rows) == 3 and rows["1", D2]["altitude"] == 15.0
+    assert (rows["1", D1]["longitude"], rows["1", D1]["latitude"]) == (1.0, 2.0)   # a pair is taken whole
+    assert (rows["2", D3]["longitude"], rows["2", D3]["latitude"]) == (7.0, 8.0)
+
+
 def test_static_only_and_empty(frames):
     obs, cswe, terrain, cover, _ = frames
     out = integrate.wide_table({"terrain": (SourceSpec("terrain", "static", ("aspect", "slope")), terrain),
