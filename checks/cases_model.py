@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import Views, case, rounded
-from stationloom.operators import features, models
+from stationloom.operators import evaluate, features, models
 from stationloom.plans import evaluation
 
 SMALL = {"maxIter": 4, "maxDepth": 3}
@@ -83,3 +83,40 @@ def _(v: Views):
 def _(v: Views):
     filled = features.impute(v.terrain, ["aspect"], strategy="mean")
     return rounded(filled.agg(F.count("aspect").alias("n"), F.sum("aspect").alias("total")), 3, "total")
+
+
+@case("repeated_runs", """with s as (select landuse_code as cluster, station_id, altitude, unnest(range(1, 6)) as run from station),
+    r as (select *, row_number() over (partition by run, cluster order by md5(cast(run as varchar) || '|' || station_id), station_id) rn, count(*) over (partition by run, cluster) n from s),
+    p as (select run, station_id, altitude as x, case when n < 10 then 'train' when rn <= floor(n*0.1::double) then 'test' when rn <= floor(n*0.2::double) then 'valid' else 'train' end as split from r),
+    d as (select p.run, p.split, p.x, o.swe as y from p join obs o using (station_id) where o.swe is not null),
+    m as (select run, regr_slope(y, x) b, regr_intercept(y, x) a from d where split = 'train' group by 1),
+    t as (select d.run, d.y, a + b*d.x as yp from d join m using (run) where d.split = 'test'),
+    e as (select run, power(corr(y, yp), 2) as corr2, avg(abs(y - yp)) as mae, sqrt(avg((y - yp)*(y - yp))) as rmse from t group by 1)
+    select count(*) as runs, round(avg(corr2), 6) as corr2_mean, round(stddev_pop(corr2), 6) as corr2_std, round(avg(mae), 4) as mae_mean,
+    round(stddev_pop(mae), 4) as mae_std, round(avg(rmse), 4) as rmse_mean, round(stddev_pop(rmse), 4) as rmse_std from e""")
+def _(v: Views):
+    stations = v.station.select("station_id", F.col("landuse_code").alias("cluster"))
+    out = models.repeated_runs(_frame(v), ["altitude"], "swe", stations, 5, models.least_squares)
+    table = evaluate.run_summary(evaluate.r_squared(out, group=["run"]))
+    return rounded(rounded(table, 6, "corr2_mean", "corr2_std"), 4, "mae_mean", "mae_std", "rmse_mean", "rmse_std")
+
+
+def _cv(fold: str) -> str:
+    return f"""{fold}, m as (select k.fold, regr_slope(d.y, d.x) b, regr_intercept(d.y, d.x) a from (select distinct fold from d) k join d on d.fold <> k.fold group by 1)
+    select d.fold, round(avg(abs(y - (a + b*x))), 4) as mae, round(sqrt(avg((y - (a + b*x))*(y - (a + b*x)))), 4) as rmse, round(corr(y, a + b*x), 6) as r, count(*) as n
+    from d join m using (fold) group by 1"""
+
+
+@case("logo_cv_ols", _cv("with d as (select year(o.date) as fold, s.altitude as x, o.swe as y from obs o join station s using (station_id) where o.swe is not null)"))
+def _(v: Views):
+    out = models.leave_one_group_out(_frame(v), ["altitude"], "swe", "year", models.least_squares)
+    table = models.cross_validation_report(out)["folds"].select("fold", "mae", "rmse", "r", "n")
+    return rounded(rounded(table, 4, "mae", "rmse"), 6, "r")
+
+
+@case("group_cv_ols", _cv("""with k as (select station_id, (row_number() over (order by md5(station_id), station_id) - 1) % 5 as fold from (select distinct station_id from obs where swe is not null)),
+    d as (select k.fold, s.altitude as x, o.swe as y from obs o join station s using (station_id) join k using (station_id) where o.swe is not null)"""))
+def _(v: Views):
+    out = models.leave_one_group_out(_frame(v), ["altitude"], "swe", "station_id", models.least_squares, max_folds=5)
+    table = models.cross_validation_report(out)["folds"].select("fold", "mae", "rmse", "r", "n")
+    return rounded(rounded(table, 4, "mae", "rmse"), 6, "r")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stationloom.functions import scalar
 from stationloom.operators.quality import tall
-from stationloom.operators.ranking import exact_quantiles, null_safe, one_row
+from stationloom.operators.ranking import exact_quantiles, one_row
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 # Columns that are never features.

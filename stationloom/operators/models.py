@@ -15,9 +15,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationloom.operators.evaluate import fold_summary, metrics, r_squared
-from stationloom.operators.ranking import hash_order_rank, null_safe
-from stationloom.operators.splits import group_folds
+from stationloom.operators.evaluate import fold_summary, metrics
+from stationloom.operators.ranking import hash_order_rank
+from stationloom.operators.splits import group_folds, repeated_splits
 from stationloom.session import ensure_checkpoint_dir
 
 # Default settings of the boosted trees and of the forest benchmark.
@@ -29,6 +29,10 @@ def boosted_trees(label: str = "y", **settings) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="y_pred", **{**BOOSTED, **settings})
 
 
+def least_squares(label: str = "y", **settings) -> LinearRegression:
+    return LinearRegression(featuresCol="features", labelCol=label, predictionCol="y_pred", solver="normal", **settings)
+
+
 def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
     """Feature vector, label and kept columns; impute first, rows with a missing value are dropped."""
     ready = df.select(*dict.fromkeys([*keep, label]), *[F.col(c).cast("double").alias(f"_x_{c}") for c in features])
@@ -97,8 +101,7 @@ def forest_per_cluster(train: DataFrame, test: DataFrame, features: Sequence[str
 def ols(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()
         ) -> tuple[list[float], DataFrame]:
     """Least-squares coefficients (intercept last) and test predictions."""
-    model = LinearRegression(featuresCol="features", labelCol=label, predictionCol="y_pred", solver="normal").fit(
-        assemble(train, features, label))
+    model = least_squares(label).fit(assemble(train, features, label))
     predicted = model.transform(assemble(test, features, label, keep))
     return [*map(float, model.coefficients), float(model.intercept)], predicted.select(
         *keep, F.col(label).cast("double").alias("y_true"), "y_pred")
@@ -157,9 +160,23 @@ def ablation(df: DataFrame, weighted: DataFrame, features: Sequence[str], label:
     return rows[0].unionByName(rows[1])
 
 
-def evaluate_runs(predictions: DataFrame, run: str = "run") -> DataFrame:
-    return r_squared(predictions, group=[run])
+def repeated_runs(df: DataFrame, features: Sequence[str], label: str, stations: DataFrame, runs: int = 10,
+                  make: Callable = boosted_trees, cluster: str = "cluster", station: str = "station_id") -> DataFrame:
+    """Test predictions of independent cluster-stratified resamples: ``run, y_true, y_pred``.
 
+    Only the station table is resampled; rows are picked by a semi-join per run. Summarise with
+    ``r_squared(..., group=["run"])`` and ``run_summary``.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    split = repeated_splits(stations, runs, cluster, station).select("run", station, "split").checkpoint()
+    data = assemble(df, features, label, [station]).persist()
 
-def attach_folds(df: DataFrame, folds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return null_safe(df, folds, list(keys))
+    def rows(run: int, part: str) -> DataFrame:
+        chosen = split.where((F.col("run") == run) & (F.col("split") == part)).select(station)
+        return data.join(chosen, station, "left_semi")
+
+    parts = [make(label).fit(rows(run, "train")).transform(rows(run, "test")).select(
+        F.lit(run).alias("run"), F.col(label).cast("double").alias("y_true"), "y_pred") for run in range(1, runs + 1)]
+    out = reduce(DataFrame.unionByName, parts).checkpoint()
+    data.unpersist()
+    return out
