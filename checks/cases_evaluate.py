@@ -186,6 +186,12 @@ def _(v: Views):
     return rounded(out, 9, *[c for c in out.columns if c != "pos"])
 
 
+@case("weight_overall", f"""with c as (select pos, count(*) n, avg(w) m, stddev_samp(w) s, min(w) lo, max(w) hi from {TALL} group by 1)
+    select max(n) as n_samples, count(*) as n_weights, round(avg(m), 9) as mean, round(avg(s), 9) as std, round(min(lo), 9) as min, round(max(hi), 9) as max from c""")
+def _(v: Views):
+    return rounded(evaluate.weight_overall(v.weights), 9, "mean", "std", "min", "max")
+
+
 @case("weight_sums", f"select id, round(weight_sum, 9) as weight_sum from {SUMS}")
 def _(v: Views):
     return rounded(evaluate.with_weight_sum(v.weights).select("id", "weight_sum"), 9, "weight_sum")
@@ -235,11 +241,12 @@ def _(v: Views):
 
 @case("feature_change", """with t as (select cast(i - 1 as bigint) as pos, weights[i] as x, weights[i]*weights[65 - i] as z from (select *, unnest(range(1, 65)) i from weights))
     select pos, round(avg(z - x), 9) as change_mean, round(stddev_pop(z - x), 9) as change_std, round(avg(abs(z - x)), 9) as abs_change_mean,
-    round(avg(abs(z - x)/(abs(x) + 1e-10)), 6) as rel_change_mean, avg(abs(z - x)) > 0.001 as significant from t group by 1""")
+    round(avg(abs(z - x)/(abs(x) + 1e-10)), 6) as rel_change_mean, round(max(abs(z - x)), 9) as max_change,
+    round(avg(case when abs(z - x) > 0.001 then 1.0::double else 0 end), 9) as significant_share, avg(abs(z - x)) > 0.001 as significant from t group by 1""")
 def _(v: Views):
     df = v.weights.withColumn("after", F.zip_with("weights", F.reverse("weights"), lambda x, w: x * w))
     out = evaluate.feature_change(df, "weights", "after")
-    return rounded(rounded(out, 9, "change_mean", "change_std", "abs_change_mean"), 6, "rel_change_mean")
+    return rounded(rounded(out, 9, "change_mean", "change_std", "abs_change_mean", "max_change", "significant_share"), 6, "rel_change_mean")
 
 
 @case("coef_by_station", """select station_id, round(avg(swe), 9) as coef_swe, round(avg(ord), 9) as coef_ord from obs where swe is not null group by 1""")

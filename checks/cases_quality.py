@@ -156,7 +156,7 @@ def _(v: Views):
 
 
 @case("duplicates", """with d as (select station_id, date, count(*) c from obs group by 1, 2 having count(*) > 1),
-    n as (select *, row_number() over (order by station_id, date) as duplicate_group from d)
+    n as (select *, row_number() over (order by station_id, date) - 1 as duplicate_group from d)
     select o.station_id, o.date, o.ord, n.c as copies, n.duplicate_group from obs o join n on n.station_id = o.station_id and n.date = o.date""")
 def _(v: Views):
     return quality.duplicate_rows(v.obs.select("station_id", "date", "ord"))

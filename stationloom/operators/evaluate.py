@@ -221,6 +221,15 @@ def weight_summary(df: DataFrame, weights: str = "weights") -> DataFrame:
         F.avg(F.abs(w - 1)).alias("distance_to_one"))
 
 
+def weight_overall(df: DataFrame, weights: str = "weights") -> DataFrame:
+    """One row over all weight columns: sizes, mean of means, mean of sample deviations and the range."""
+    per = df.select(F.posexplode(weights).alias("pos", "w")).groupBy("pos").agg(
+        F.count("w").alias("n"), F.avg("w").alias("m"), F.stddev_samp("w").alias("s"), F.min("w").alias("lo"),
+        F.max("w").alias("hi"))
+    return per.agg(F.max("n").alias("n_samples"), F.count(F.lit(1)).alias("n_weights"), F.avg("m").alias("mean"),
+                   F.avg("s").alias("std"), F.min("lo").alias("min"), F.max("hi").alias("max"))
+
+
 def with_weight_sum(df: DataFrame, weights: str = "weights", name: str = "weight_sum") -> DataFrame:
     return df.withColumn(name, F.aggregate(weights, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")))
 
@@ -274,7 +283,8 @@ def feature_change(df: DataFrame, before: str, after: str) -> DataFrame:
     return rows.groupBy("pos").agg(
         F.avg(change).alias("change_mean"), F.stddev_pop(change).alias("change_std"),
         F.avg(F.abs(change)).alias("abs_change_mean"),
-        F.avg(F.abs(change) / (F.abs(x) + 1e-10)).alias("rel_change_mean"),
+        F.avg(F.abs(change) / (F.abs(x) + 1e-10)).alias("rel_change_mean"), F.max(F.abs(change)).alias("max_change"),
+        F.avg(F.when(F.abs(change) > 0.001, 1.0).otherwise(0.0)).alias("significant_share"),
     ).withColumn("significant", F.col("abs_change_mean") > 0.001)
 
 

@@ -179,7 +179,7 @@ def small_station_share(df: DataFrame, limit: int = 3, station: str = "station_i
 
 def duplicate_rows(df: DataFrame, name: str = "duplicate_group", station: str = "station_id",
                    date: str = "date") -> DataFrame:
-    """All rows of repeated keys with ``copies`` and a group number counted from 1 in key order.
+    """All rows of repeated keys with ``copies`` and a group number counted from 0 in key order.
 
     Repeated keys are found by an aggregate. Stations get running offsets, and inside a station only its
     repeated dates are numbered, so no window runs over the rows.
@@ -188,7 +188,7 @@ def duplicate_rows(df: DataFrame, name: str = "duplicate_group", station: str =
     per = repeated.groupBy(station).agg(_rows().alias("_n"))
     offsets = running_sums(per, station, [], {"_upto": "_n"}).select(station, (F.col("_upto") - F.col("_n")).alias("_before"))
     numbered = repeated.join(offsets, station).withColumn(
-        name, F.col("_before") + F.row_number().over(Window.partitionBy(station).orderBy(date))).drop("_before")
+        name, F.col("_before") + F.row_number().over(Window.partitionBy(station).orderBy(date)) - 1).drop("_before")
     return df.join(numbered, [station, date])
 
 

@@ -81,20 +81,33 @@ TERRAIN_FEATURES = (  # fixed values
     "std_tpi", "std_curvature1", "std_curvature2", "std_high", "std_aspect")
 
 
+# Words in a source name and columns that decide its kind.
+GLDAS_WORDS = ("gldas", "seasonal_doy")
+GLDAS_COLUMNS = ("seasonal_doy_Da", "seasonal_doy_Db", "seasonal_doy_Dc", "seasonal_doy_Dd")
+PHENOLOGY_WORDS = ("snow_phenology", "snow_start", "snow_end", "phenology", "scp")
+TERRAIN_WORDS = ("terrain", "feature")
+YEARLY_WORDS = ("landcover",)
+YEARLY_ROWS = 5
+
+
 def infer_kind(df: DataFrame, name: str = "") -> str:
-    """Kind of a source nobody described, from its columns and at most one aggregate."""
-    columns = {c.lower() for c in df.columns}
-    if "gldas" in name.lower():
+    """Kind of a source nobody described, from its name, its columns and at most one aggregate."""
+    def named(words: tuple[str, ...]) -> bool:
+        return any(w in name.lower() for w in words)
+
+    columns = set(df.columns)
+    if named(GLDAS_WORDS) or columns & set(GLDAS_COLUMNS):
         return "gldas"
-    if "dataset_type" in columns or "hydrological_year" in columns:
+    if named(PHENOLOGY_WORDS) or {"dataset_type", "hydrological_year"} <= columns:
         return "phenology"
-    numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint")
+    numbers = [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double")
                and c not in ("station_id", "longitude", "latitude")]
-    if "date" not in columns:
-        return "yearly" if "year" in columns else "static"
-    if name == "landuse":
+    if named(TERRAIN_WORDS) or name == "landuse" or (len(numbers) > 1 and "date" not in columns):
         return "static"
-    if not numeric or "station_id" not in columns:
-        return "dynamic"
-    ratio = df.agg((F.count(F.lit(1)) / F.count_distinct("station_id")).alias("r")).first()["r"]
-    return "yearly" if ratio is not None and ratio < 5 else "dynamic"
+    if named(YEARLY_WORDS):
+        return "yearly"
+    if "station_id" in columns:
+        per = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("station_id").alias("s")).first()
+        if per["s"] and per["n"] / per["s"] < YEARLY_ROWS:
+            return "yearly"
+    return "dynamic" if {"date", "station_id"} <= columns else "static"

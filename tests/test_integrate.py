@@ -187,3 +187,16 @@ def test_complete_analysis_tables(spark):
     assert {r["scheme"] for r in tables["overall"].collect()} == {"station", "yearly"}
     assert tables["comparison"].count() == 1 and tables["products"].first()["n"] == 90
     assert tables["importance"].first()["importance"] == pytest.approx(1.0)
+
+
+def test_duplicate_groups_are_numbered_in_key_order(spark):
+    rows = [("b", D1, 1), ("b", D1, 2), ("a", D2, 3), ("a", D2, 4), ("a", D1, 5), ("a", D1, 6), ("c", D1, 7)]
+    df = spark.createDataFrame(rows, "station_id string, date date, ord int")
+    got = {r["ord"]: (r["copies"], r["duplicate_group"]) for r in quality.duplicate_rows(df).collect()}
+    assert got == {5: (2, 0), 6: (2, 0), 3: (2, 1), 4: (2, 1), 1: (2, 2), 2: (2, 2)}
+
+
+def test_column_weights_leave_other_columns_alone(spark):
+    df = spark.createDataFrame([(2.0, 3.0, None), (2.0, 3.0, 4.0)], "a double, b double, w double")
+    out = df.withColumns(scalar.weight_columns(["a", "b"], {"a": F.col("w")})).collect()
+    assert [(r["a"], r["b"]) for r in out] == [(2.0, 3.0), (8.0, 3.0)]

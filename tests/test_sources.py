@@ -93,6 +93,8 @@ def test_kinds(spark):
     assert infer_kind(dated.limit(2)) == "yearly"
     assert infer_kind(dated, "GLDAS_daily") == "gldas"
     assert infer_kind(dated.drop("date")) == "static"
-    assert infer_kind(dated.withColumn("dataset_type", F.lit("start"))) == "phenology"
+    season = dated.withColumns({"dataset_type": F.lit("start"), "hydrological_year": F.lit(2014)})
+    assert infer_kind(season) == "phenology" and infer_kind(dated, "scp") == "phenology"
+    assert infer_kind(dated, "landcover") == "yearly" and infer_kind(dated, "terrain_features") == "static"
     with pytest.raises(ValueError):
         SourceSpec("x", kind="other")
