@@ -8,7 +8,6 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"complete_analysis", "grid_search", "station_cv_gbt", "ablation", "logo_cv_gbt", "cluster_rf"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables are not here")
 
