@@ -15,14 +15,15 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write a frame as Parquet into the shared checkpoint folder and read it back: its lineage ends here.
 
     The file outlives any executor. Unlike ``checkpoint`` it is compressed and can be read column by column.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +60,29 @@ def buckets_for(rows: int, size: int) -> int:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
+
+
+def worker_memo(name: str, make):
+    """An object that one Python worker keeps between its tasks, such as a loaded model or a cache.
+
+    Functions arrive at a worker by value, so their module variables do not outlive a task; an attribute of an
+    installed module does. Only ever holds what can be made again.
+    """
+    import pyspark
+
+    held = pyspark.__dict__.setdefault("_stationloom_memo", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def slices(sizes, limit: int):
+    """``(start, stop)`` of runs whose sizes add up to ``limit`` at most; a larger item is a run of its own."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if len(sizes) > start:
+        yield start, len(sizes)

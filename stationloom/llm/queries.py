@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import exact_dedup, sharding
+from stationloom.llm import exact_dedup, mixing, sharding, token_files
 from stationloom.llm.common import documents
 
 
+def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_plan(documents(spark, folder))
+
+
 def op6_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, folder), [1.0] * 8)
 
@@ -18,9 +23,15 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, folder))
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_files(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mix_sources": op4_mix_sources,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
