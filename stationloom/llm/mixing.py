@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stationloom.llm.common import stored, text_of, words_of
 from stationloom.operators.normalize import category_codes
 
-FAN_IN = 64                    # open documents rounded together by one bucket
+FAN_IN = 1024                  # open documents rounded together by one bucket: enough to settle a very long one
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3.0                    # times its source's size that a target may reach
 
