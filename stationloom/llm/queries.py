@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import exact_dedup, mixing, sharding, token_files
+from stationloom.llm import exact_dedup, mixing, pieces, sharding, token_files
 from stationloom.llm.common import documents
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(pieces.encode_documents(
+        documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, folder))
 
@@ -28,6 +33,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_mix_sources": op4_mix_sources,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op9_exact_dedup": op9_exact_dedup,
