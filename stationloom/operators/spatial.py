@@ -231,10 +231,11 @@ def mahalanobis(points: DataFrame, references: DataFrame, features: Sequence[str
                          F.sqrt(F.greatest(d2, F.lit(0.0))).alias("distance"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, label`` (smallest id reached) from edges ``a, b`` by alternating large and small stars.
 
-    Each round is written with ``checkpoint`` to the shared folder, so a lost executor costs one round.
+    Each round is written with ``checkpoint`` to the shared folder, so a lost executor costs one round. The rounds
+    go on until no edge changes.
     """
     ensure_checkpoint_dir(edges.sparkSession)
 
@@ -252,14 +253,12 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mark = None
-    for _ in range(rounds):
+    while True:
         current = star(star(current, True), False).checkpoint()
         seen = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle; raise rounds")
     labels = current.groupBy("a").agg(F.min("b").alias("label"))
     return nodes.join(labels, nodes["node"] == labels["a"], "left").select(
         "node", F.coalesce("label", "node").alias("label"))
