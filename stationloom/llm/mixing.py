@@ -135,7 +135,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
     NULL text has size 0, NULL keys and sources are values like others, an empty table gives no rows.
     """
-    counts = copy_counts(word_sizes(docs, key, text, source), weights, share, limit)
+    counts = copy_counts(stored(word_sizes(docs, key, text, source)), weights, share, limit)
     return counts.select(F.col("_key").alias(key), "size", "source_size", "target",
                          (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     """The documents themselves, each as many times as the plan says, with their columns as they are."""
     from pyspark.sql import Window
 
-    plan = stored(copy_counts(word_sizes(docs, key, text, source), weights, share, limit))
+    plan = stored(copy_counts(stored(word_sizes(docs, key, text, source)), weights, share, limit))
     lists = plan.groupBy(F.struct("_key", "source", "size").alias("_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_k", "copies"))), lambda c: c["copies"]).alias("_copies"))
     ident = F.struct(F.col(key).alias("_key"), F.col(source).alias("source"),
