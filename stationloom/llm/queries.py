@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import exact_dedup, mixing, pieces, sharding, simhash, token_files
+from stationloom.llm import exact_dedup, mixing, pieces, quality, sharding, simhash, token_files
 from stationloom.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op2_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(documents(spark, folder))
+
+
 def op3_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(documents(spark, folder))
 
@@ -38,6 +42,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_divergence": op2_quality_divergence,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_mix_sources": op4_mix_sources,
     "op6_rendezvous_shards": op6_rendezvous_shards,
