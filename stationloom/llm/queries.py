@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import exact_dedup, mixing, pieces, quality, sharding, simhash, token_files
+from stationloom.llm import exact_dedup, language, mixing, pieces, quality, sharding, simhash, token_files
 from stationloom.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, folder))
 
 
+def op5_language_models(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(documents(spark, folder))
+
+
 def op6_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, folder), [1.0] * 8)
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_divergence": op2_quality_divergence,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_mix_sources": op4_mix_sources,
+    "op5_language_models": op5_language_models,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
