@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from stationloom.llm.common import slices, stored, worker_memo
 
 CHUNK_BYTES = 4_000_000        # text handled at once by a task
 BLOCK_TOKENS = 500_000         # ids of a block; a longer document is a block of its own
-CACHED_WORDS = 300_000         # words whose ids a worker remembers
+CACHED_WORDS = 600_000         # words whose ids a worker remembers
 #: How the vocabulary file splits a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LENGTHS = np.stack([(np.arange(256) >> shift & 3) + 1 for shift in (0, 2, 4, 6)], axis=1).astype(np.uint8)
@@ -46,39 +48,70 @@ class WordEncoder:
         self.limit, self.words, self.pieces = limit, {}, {}
         self._pieces_of, self._compose = regex.compile(SPLIT).findall, unicodedata.normalize
 
-    def _normal(self, word: str) -> str:
+    def _split(self, word: str) -> list[str]:
+        """Pieces of a word: lower-cased letters, single digits, runs of other signs."""
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            if word[-1:] in (",", ".") and word[:-1].isalpha():
+                return [word[:-1].lower(), word[-1]]
         text = self._compose("NFC", word)
         # one character at a time: no rule of the end of a word applies
-        return text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
+        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        return self._pieces_of(text)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        split = {w: self._pieces_of(self._normal(w.decode())) for w in new}
-        unknown = list(set().union(*split.values()).difference(self.pieces)) if split else []
+    def _learn(self, new: list[str]) -> list[bytes]:
+        split = list(map(self._split, new))
+        pieces = self.pieces
+        unknown = list(set(chain.from_iterable(split)).difference(pieces))
+        fresh = {}
         for at in range(0, len(unknown), 2000):
             part = unknown[at:at + 2000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.pieces.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in found]))
-        pieces = self.pieces
-        self.words.update((w, b"".join([pieces[p] for p in ps])) for w, ps in split.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [[] if i in whole else t.encode().split() for i, t in enumerate(texts)]
-        seen = set().union(*split)
-        new = seen.difference(self.words)
-        if new and len(self.words) + len(new) > self.limit:
-            self.words.clear()
-            new = seen
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        return [self._whole(t) if i in whole else b"".join(map(get, ws)) for i, (t, ws) in enumerate(zip(texts, split))]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            packed, start = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+            for piece, own in zip(part, ids):
+                fresh[piece] = packed[start:start + 4 * len(own)]
+                start += 4 * len(own)
+        if len(pieces) < self.limit:
+            pieces.update(fresh)
+            find = pieces.__getitem__
+        else:                          # a full cache keeps its pieces, which are the common ones
+            def find(piece: str) -> bytes:
+                own = fresh.get(piece)
+                return pieces[piece] if own is None else own
+        return [find(ps[0]) if len(ps) == 1 else b"".join(map(find, ps)) for ps in split]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)
+                 if any(s in t for s in self.special)}
+        lists = pc.ascii_split_whitespace(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        values = list(map(self.words.get, words))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            new = [words[i] for i in missing]
+            learned = self._learn(new)
+            for i, value in zip(missing, learned):
+                values[i] = value
+            if len(self.words) < self.limit:
+                self.words.update(zip(new, learned))
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        start = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(values), "<u4")
+        taken = size[place]
+        ends = np.cumsum(taken)
+        total = int(ends[-1]) if len(ends) else 0
+        joined = ids[np.repeat(start[place] - (ends - taken), taken) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        counts = np.diff(bounds)
+        if whole:
+            rows = np.split(joined, bounds[1:-1])
+            for i, own in whole.items():
+                rows[i], counts[i] = np.array(own, "<u4"), len(own)
+            joined = np.concatenate(rows)
+        return joined, counts
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,8 +125,9 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
             texts, keys = batch.column(1), batch.column(0)
             sizes = [len(v) if v is not None else 0 for v in texts.cast(pa.large_binary()).to_pylist()]
             for start, stop in slices(sizes, CHUNK_BYTES):
-                part = [t or "" for t in texts.slice(start, stop - start).to_pylist()]
-                ids = [np.frombuffer(b, "<u4").astype(width).tobytes() + end for b in encoder.encode(part)]
+                ids, counts = encoder.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()])
+                packed, bounds = ids.astype(width).tobytes(), np.cumsum(counts) * len(end)
+                ids = [packed[b - n * len(end):b] + end for b, n in zip(bounds.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([keys.slice(start, stop - start), pa.array(ids, pa.binary())],
                                                  ["_key", "_ids"])
 
