@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import exact_dedup, language, mixing, pieces, quality, sharding, simhash, token_files
+from stationloom.llm import exact_dedup, language, mixing, pieces, quality, sharding, simhash, token_files, toxicity
 from stationloom.llm.common import documents
 
 
@@ -36,6 +36,11 @@ def op6_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, folder), [1.0] * 8)
 
 
+def op7_toxic_passages(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+    return toxicity.rate(documents(spark, folder), labels)
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, folder))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_language_models": op5_language_models,
     "op6_rendezvous_shards": op6_rendezvous_shards,
+    "op7_toxic_passages": op7_toxic_passages,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
 }
