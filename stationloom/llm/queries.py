@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import exact_dedup, language, mixing, pieces, quality, sharding, simhash, token_files, toxicity
+from stationloom.llm import exact_dedup, language, mixing, pieces, quality, scoring, sharding, simhash, token_files, toxicity
 from stationloom.llm.common import documents
 
 
@@ -41,6 +41,11 @@ def op7_toxic_passages(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rate(documents(spark, folder), labels)
 
 
+def op8_attention_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score_texts(documents(spark, folder), scoring.Settings(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, folder))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_models": op5_language_models,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op7_toxic_passages": op7_toxic_passages,
+    "op8_attention_scores": op8_attention_scores,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
 }
