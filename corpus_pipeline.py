@@ -1,22 +1,48 @@
-"""Corpus preparation: each stage reads what the one before it kept."""
+"""Corpus preparation: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import exact_dedup
+from stationloom.llm import exact_dedup, mixing, pieces, quality, simhash
 from stationloom.llm.common import documents, stored
 
 
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are far from every language go."""
+    return quality.keep_good(docs)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one with the largest id."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays: the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their source ask for, not at all included."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of ids, digests of the ids and of the decoded text of every document that the mix takes."""
+    return pieces.digests(pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 STAGES = [
-    ("exact dedup", exact_dedup_stage),
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_duplicates),
+    ("simhash near-dedup", near_duplicates),
+    ("mixing sources", mix_sources),
+    ("sentencepiece", encode),
 ]
 
+#: The draws of the mix and the ids cannot be written in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

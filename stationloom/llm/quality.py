@@ -186,3 +186,13 @@ def judge(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text:
     out = divergences(docs, limits, key, text, lang)
     return out.withColumn("kept", ~F.col("base_failed") & F.col("fits")).drop("fits").withColumns(
         {c: F.round(c, 4) for c in ("char_distance", "word_distance")})
+
+
+def keep_good(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text",
+              lang: str = "lang") -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns. Rows equal in key, language and text share a verdict."""
+    marked = docs.withColumn("_print", F.xxhash64(text_of(text)))
+    verdict = judge(marked.withColumn("_id", F.struct(F.col(key), F.col(lang), F.col("_print"))), limits, "_id", text,
+                    lang).where("kept").select(F.col("_id").alias("_good")).distinct()
+    named = marked.withColumn("_id", F.struct(F.col(key), F.col(lang), F.col("_print")))
+    return named.join(verdict, F.col("_id") == F.col("_good"), "left_semi").select(*docs.columns)
