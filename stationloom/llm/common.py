@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +47,6 @@ def crc_class(column: str, mod: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(0))
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition in which NULL equals NULL."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def buckets_for(rows: int, size: int) -> int:
     """How many hash buckets keep each at about ``size`` rows."""
     return max(1, -(-rows // size))

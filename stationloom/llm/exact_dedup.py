@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationloom.llm.common import lower_ascii, same, stored, text_of
+from stationloom.llm.common import lower_ascii, stored, text_of
 
 BLOCK_CHARS = 2048
 
@@ -121,12 +121,10 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = stored(text_names(docs, key, text, block_chars))
     best = named.groupBy("_level", "_name").agg(
         F.max(F.struct("_key", "_sha", "_copies")).alias("_best")).select("_best.*")
-    keyed = docs.withColumn("_sha", F.sha2(lower_ascii(text_of(text)), 256))
-    staying = keyed.join(best, keyed[key].eqNullSafe(best["_key"]) & (keyed["_sha"] == best["_sha"])).drop(
-        best["_sha"]).drop("_key")
-    single = staying.where("_copies = 1").drop("_sha", "_copies")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"),
+                       F.sha2(lower_ascii(text_of(text)), 256).alias("_s"))
+    staying = rows.join(best, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_sha")))
+    single = staying.where("_copies = 1").select("_row")
     # repeated keys are rare: only they are compared row by row
-    rest = [c for c in docs.columns if c != key]
-    repeated = staying.where("_copies > 1").groupBy(key, "_sha").agg(F.min(F.struct(*rest)).alias("_row")).select(
-        key, *[F.col("_row")[c].alias(c) for c in rest])
-    return single.unionByName(repeated.select(*docs.columns))
+    repeated = staying.where("_copies > 1").groupBy("_k", "_s").agg(F.min("_row").alias("_row")).select("_row")
+    return single.unionByName(repeated).select("_row.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationloom.llm.common import stored, text_of, words_of
@@ -143,17 +143,16 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, limit: float = LIMIT,
         key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents themselves, each as many times as the plan says, with their columns as they are."""
-    from pyspark.sql import Window
-
     plan = stored(copy_counts(stored(word_sizes(docs, key, text, source)), weights, share, limit))
     lists = plan.groupBy(F.struct("_key", "source", "size").alias("_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_k", "copies"))), lambda c: c["copies"]).alias("_copies"))
     ident = F.struct(F.col(key).alias("_key"), F.col(source).alias("source"),
                      F.size(words_of(text_of(text))).cast("bigint").alias("size"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), ident.alias("_id"), F.xxhash64(text).alias("_print"))
     # places only matter where rows share key, source and size
-    placed = docs.withColumn("_id", ident).join(lists, "_id")
+    placed = rows.join(lists, "_id")
     single = placed.where(F.size("_copies") == 1).withColumn("_times", F.get("_copies", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(text)))
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy("_print"))
     shared = placed.where(F.size("_copies") > 1).withColumn("_times", F.get("_copies", rank - 1))
     taken = single.unionByName(shared).where("_times > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")

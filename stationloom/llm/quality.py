@@ -191,8 +191,8 @@ def judge(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text:
 def keep_good(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text",
               lang: str = "lang") -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns. Rows equal in key, language and text share a verdict."""
-    marked = docs.withColumn("_print", F.xxhash64(text_of(text)))
-    verdict = judge(marked.withColumn("_id", F.struct(F.col(key), F.col(lang), F.col("_print"))), limits, "_id", text,
-                    lang).where("kept").select(F.col("_id").alias("_good")).distinct()
-    named = marked.withColumn("_id", F.struct(F.col(key), F.col(lang), F.col("_print")))
-    return named.join(verdict, F.col("_id") == F.col("_good"), "left_semi").select(*docs.columns)
+    ident = F.struct(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(text_of(text)).alias("print"))
+    good = judge(docs.select(ident.alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")), limits,
+                 "id", "text", "lang").where("kept").select(F.col("id").alias("_good")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), ident.alias("_id"))
+    return rows.join(good, F.col("_id") == F.col("_good"), "left_semi").select("_row.*")

@@ -146,4 +146,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, key: str = "
     """
     groups = near_groups(docs, words, bits, key, text)
     chosen = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(chosen, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"))
+    return rows.join(chosen, F.col("_k").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")

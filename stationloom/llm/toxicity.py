@@ -148,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(7)), 11).cast("double") * 2.0 ** -53
     picked = known.where(u < 2.0 * settings.train_docs / size).withColumnRenamed(key, "_id")
     # the sample is bounded by train_docs, whatever the size of the tables
-    sample = stored(docs.join(F.broadcast(picked), F.col(key) == F.col("_id")).select(
-        F.col(text).alias("_text"), "_label", "_fold"))
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    sample = stored(texts.join(F.broadcast(picked), F.col("_key") == F.col("_id")).select("_text", "_label", "_fold"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
