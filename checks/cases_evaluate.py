@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import Views, case, rounded
-from stationloom.operators import evaluate
+from stationloom.operators import evaluate, features, quality
 
 METRICS = """round(avg(abs(y_true - y_pred)), 4) as mae, round(sqrt(avg((y_true - y_pred)*(y_true - y_pred))), 4) as rmse,
     round(corr(y_true, y_pred), 8) as r, count(y_true - y_pred) as n, count(*) as total,
@@ -143,15 +143,62 @@ def _(v: Views):
     return rounded(evaluate.correlation_ranking(df, ["l_quantity", "l_tax", "l_discount", "one"], "l_extendedprice"), 8, "correlation")
 
 
-@case("corr_ranking_sample", """with s as (select * from orders order by md5(cast(o_orderkey as varchar)), o_orderkey limit 5000),
-    c as (select 'o_custkey' as feature, corr(o_custkey, o_totalprice) c from s union all select 'month', corr(month(o_orderdate), o_totalprice) from s
-    union all select 'doy', corr(dayofyear(o_orderdate), o_totalprice) from s)
-    select feature, round(c, 8) as correlation from c order by abs(c) desc limit 2""")
+#: A tenth of the values is NaN, which counts as missing.
+NAN_SQL = """(select ord, station_id, case when ord % 10 = 3 then null else swe end as swe, case when ord % 10 = 7 then null
+    else cast(ord % 1000 as double) end as x from obs)"""
+
+
+def _with_nan(v: Views):
+    k, nan = F.col("ord") % 10, F.lit(float("nan"))
+    return v.obs.select("ord", "station_id", F.when(k == 3, nan).otherwise(F.col("swe")).alias("swe"),
+                        F.when(k == 7, nan).otherwise((F.col("ord") % 1000).cast("double")).alias("x"))
+
+
+@case("nan_correlation", f"""select 'x' as feature, round(corr(x, swe), 8) as correlation from {NAN_SQL}""")
+def _(v: Views):
+    return rounded(evaluate.correlation_ranking(_with_nan(v), ["x"], "swe"), 8, "correlation")
+
+
+@case("nan_r2", f"""with p as (select swe as t, x*0.3 as p from {NAN_SQL} where swe is not null and x is not null)
+    select round(1 - sum((t - p)*(t - p))/(var_pop(t)*count(*)), 8) as r2, round(power(corr(t, p), 2), 8) as corr2,
+    round(avg(abs(t - p)), 6) as mae, round(sqrt(avg((t - p)*(t - p))), 6) as rmse, count(*) as n from p""")
+def _(v: Views):
+    df = _with_nan(v).select(F.col("swe").alias("y_true"), (F.col("x") * 0.3).alias("y_pred"))
+    return rounded(rounded(evaluate.r_squared(df), 8, "r2", "corr2"), 6, "mae", "rmse")
+
+
+@case("nan_histogram", f"""with b as (select swe as v from {NAN_SQL} where swe is not null), s as (select min(v) lo, max(v) hi from b)
+    select cast(least(floor((v - lo)/((hi - lo)/50)), 49) as bigint) as bin, count(*) as records from b, s group by 1""")
+def _(v: Views):
+    return evaluate.histogram(_with_nan(v), "swe")
+
+
+@case("nan_fill_rates", f"""select 'swe' as "column", count(swe) as filled, count(*) as records, round(100.0*count(swe)/count(*), 6) as fill_pct from {NAN_SQL}
+    union all select 'x', count(x), count(*), round(100.0*count(x)/count(*), 6) from {NAN_SQL}""")
+def _(v: Views):
+    return rounded(quality.fill_rates(_with_nan(v), ["swe", "x"]), 6, "fill_pct")
+
+
+@case("nan_value_summary", f"""select count(swe) as n, min(swe) as min, max(swe) as max, round(avg(swe), 6) as mean,
+    round(median(swe), 6) as median, round(stddev_samp(swe), 6) as std from {NAN_SQL}""")
+def _(v: Views):
+    return rounded(quality.value_summary(_with_nan(v), "swe"), 6, "mean", "median", "std")
+
+
+@case("nan_impute", f"""select ord, round(coalesce(swe, (select avg(swe) from {NAN_SQL})), 6) as swe,
+    round(coalesce(x, (select avg(x) from {NAN_SQL})), 6) as x from {NAN_SQL}""")
+def _(v: Views):
+    filled = features.impute(_with_nan(v).drop("station_id"), ["swe", "x"], strategy="mean")
+    return rounded(filled, 6, "swe", "x")
+
+
+@case("regression_line", """select l_suppkey as fold, count(*) as n, round(regr_slope(y_pred, y_true), 9) as slope,
+    round(regr_intercept(y_pred, y_true), 5) as intercept,
+    round(sqrt(greatest(regr_syy(y_pred, y_true) - power(regr_sxy(y_pred, y_true), 2)/regr_sxx(y_pred, y_true), 0)/(count(*) - 2)), 4) as std_error
+    from (select l_suppkey, l_extendedprice as y_true, l_quantity*1500 as y_pred from lineitem) group by 1 having count(*) > 2""")
 def _(v: Views):
-    df = evaluate.hash_sample(v.table("orders"), "o_orderkey").withColumns(
-        {"month": F.month("o_orderdate"), "doy": F.dayofyear("o_orderdate")})
-    out = evaluate.correlation_ranking(df, ["o_custkey", "month", "doy"], "o_totalprice", absolute=True, top=2)
-    return rounded(out, 8, "correlation")
+    out = evaluate.regression_line(v.pred, group=["fold"]).where("n > 2")
+    return rounded(rounded(rounded(out, 9, "slope"), 5, "intercept"), 4, "std_error")
 
 
 @case("random_sample", "select num, altitude from station order by md5(cast(num as varchar)), num limit 100")

@@ -86,6 +86,15 @@ def _(v: Views):
                                      Part(other, {"supply": "supply"})])
 
 
+@case("whole_rows_merge", """with r as (select l_orderkey as station_id, l_quantity as q, l_extendedprice as p,
+    row_number() over (partition by l_orderkey order by l_quantity, l_extendedprice) as rn from lineitem)
+    select cast(station_id as varchar) as station_id, q as pair_q, p as pair_p from r where rn = 1""")
+def _(v: Views):
+    rows = v.table("lineitem").select(F.col("l_orderkey").cast("string").alias("station_id"),
+                                      F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"))
+    return integrate.combine_static([Part(rows, {"pair_q": "q", "pair_p": "p"})])
+
+
 @case("static_only_combine", """with y as (select station_id, year(date) as year, max(swe) as peak from obs group by 1, 2)
     select coalesce(y.station_id, t.station_id) as station_id, y.year, y.peak, t.slope from y full outer join
     terrain t on t.station_id = y.station_id""")

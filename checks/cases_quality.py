@@ -162,6 +162,18 @@ def _(v: Views):
     return quality.duplicate_rows(v.obs.select("station_id", "date", "ord"))
 
 
+@case("duplicates_missing_keys", """with o as (select case when ord % 3 = 0 then null else station_id end as station_id,
+    case when ord % 5 = 0 then null else date end as date, ord from obs),
+    d as (select station_id, date, count(*) c from o group by 1, 2 having count(*) > 1),
+    n as (select *, row_number() over (order by station_id nulls first, date nulls first) - 1 as duplicate_group from d)
+    select o.station_id, o.date, o.ord, n.c as copies, n.duplicate_group from o join n on n.station_id is not distinct from o.station_id
+    and n.date is not distinct from o.date""")
+def _(v: Views):
+    holes = v.obs.select(F.when(F.col("ord") % 3 != 0, F.col("station_id")).alias("station_id"),
+                         F.when(F.col("ord") % 5 != 0, F.col("date")).alias("date"), "ord")
+    return quality.duplicate_rows(holes)
+
+
 @case("duplicate_count", "select count(*) as records, count(distinct (station_id, date)) as keys, count(*) - count(distinct (station_id, date)) as duplicates from obs")
 def _(v: Views):
     return quality.duplicate_count(v.obs)

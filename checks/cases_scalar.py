@@ -102,12 +102,14 @@ def _(v: Views):
     return normalize.rename_aliases(raw)
 
 
-@case("date_normalize", """select o_orderkey, case when o_orderkey % 4 = 3 then null else cast(o_orderdate as date) end
+@case("date_normalize", """select o_orderkey, case when o_orderkey % 7 = 3 then null else cast(o_orderdate as date) end
     as date from orders""")
 def _(v: Views):
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyy/MM/dd")).when(
-        k == 2, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).otherwise(F.col("o_orderpriority"))
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    text = F.col("o_orderpriority")
+    for i, form in ((0, "yyyy-MM-dd"), (1, "yyyy/MM/dd"), (2, "yyyy-MM-dd HH:mm:ss"), (4, "yyyy-MM-dd'T'HH:mm:ss"),
+                    (5, "yyyy/MM/dd HH:mm:ss"), (6, "yyyyMMdd")):
+        text = F.when(k == i, F.date_format(d, form)).otherwise(text)
     return v.table("orders").select("o_orderkey", scalar.parse_date(text).alias("date"))
 
 
@@ -125,12 +127,15 @@ def _(v: Views):
         F.year("o_orderdate"), F.col("o_orderkey") % 370).alias("date"))
 
 
-@case("station_id_canon", """select o_orderkey, case when o_orderkey % 3 = 2 then o_orderpriority
+@case("station_id_canon", """select o_orderkey, case o_orderkey % 7 when 2 then o_orderpriority
+    when 3 then o_custkey || 'D' when 4 then o_custkey || 'f' when 5 then o_custkey || 'e3' when 6 then '00' || o_custkey
     else cast(o_custkey as varchar) end as station_id from orders""")
 def _(v: Views):
-    k = F.col("o_orderkey") % 3
+    k, number = F.col("o_orderkey") % 7, F.col("o_custkey").cast("string")
     text = F.when(k == 0, F.col("o_custkey").cast("double").cast("string")).when(
-        k == 1, F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" "))).otherwise(F.col("o_orderpriority"))
+        k == 1, F.concat(F.lit(" "), number, F.lit(" "))).when(k == 3, F.concat(number, F.lit("D"))).when(
+        k == 4, F.concat(number, F.lit("f"))).when(k == 5, F.concat(number, F.lit("e3"))).when(
+        k == 6, F.concat(F.lit("00"), number, F.lit(".0"))).otherwise(F.col("o_orderpriority"))
     return v.table("orders").select("o_orderkey", scalar.canonical_id(text).alias("station_id"))
 
 

@@ -11,16 +11,23 @@ DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/M/d", "yyyyMMdd")
 
 
 def canonical_id(value: Column) -> Column:
-    """``123``, ``123.0`` and ``"123.0"`` become ``"123"``; other text is kept trimmed."""
-    text = F.trim(value.cast("string"))
-    number = text.try_cast("double")
-    whole = number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return F.when(whole, number.cast("bigint").cast("string")).otherwise(text)
+    """``123``, ``123.0`` and ``"123.0"`` become ``"123"``; other text is kept trimmed.
+
+    Only digits with a zero fraction count as a number: ``12D``, ``7f`` and ``1e3`` are names, and leading zeros of a
+    text stay.
+    """
+    number = value.cast("string").try_cast("double")
+    large = F.typeof(value).isin("double", "float") & (number == F.floor(number)) & (F.abs(number) < 1e15)
+    text = F.when(large, number.try_cast("bigint").cast("string")).otherwise(F.trim(value.cast("string")))
+    return F.regexp_replace(text, r"^(\d+)\.0+$", "$1")
 
 
 def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Day of a text date in the first format that fits; NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("date")
+    """Day of a text date in the first format that fits; NULL when none does. ``T`` and ``/`` may stand in a date
+    with a time."""
+    iso = F.replace(F.trim(text), F.lit("/"), F.lit("-"))
+    full = F.when(F.rlike(iso, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$")), iso.try_cast("timestamp"))
+    return F.coalesce(full, *[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("date")
 
 
 def decode_numeric_date(value: Column) -> Column:
@@ -49,6 +56,11 @@ def null_if(value: Column, *fills: float) -> Column:
     return F.when(~bad, number)
 
 
+def known(value: Column) -> Column:
+    """NaN of any numeric column becomes NULL; the type stays."""
+    return F.when(~F.isnan(value.cast("double")), value)
+
+
 def null_above(value: Column, limit: float = 200.0) -> Column:
     return F.when(value <= limit, value)
 

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stationloom.functions.scalar import known
 from stationloom.operators.quality import tall
 from stationloom.operators.ranking import exact_quantiles, null_safe, one_row, running_sums
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
     """Pearson correlation; NULL for fewer than two pairs or a constant side."""
+    x, y = known(x), known(y)
     both = x.isNotNull() & y.isNotNull()
     px, py = F.when(both, x), F.when(both, y)
     varied = (F.count(px) > 1) & (F.min(px) < F.max(px)) & (F.min(py) < F.max(py))
@@ -138,6 +140,7 @@ def compare_products(df: DataFrame, truth: str, products: Sequence[str], upper:
 
 def r_squared(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", group: Sequence[str] = ()) -> DataFrame:
     t, p = F.col(truth).cast("double"), F.col(pred).cast("double")
+    t, p = known(t), known(p)
     both = t.isNotNull() & p.isNotNull()
     t, p = F.when(both, t), F.when(both, p)
     sse = F.sum((t - p) * (t - p))
@@ -147,6 +150,17 @@ def r_squared(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", group:
         F.avg(F.abs(t - p)).alias("mae"), F.sqrt(F.avg((t - p) * (t - p))).alias("rmse"), F.count(t).alias("n"))
 
 
+def regression_line(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", group: Sequence[str] = ()) -> DataFrame:
+    """Line of prediction on observation: slope, intercept and standard error of the estimate, from one aggregate."""
+    t, p = known(F.col(truth).cast("double")), known(F.col(pred).cast("double"))
+    sums = df.groupBy(*group).agg(
+        F.regr_count(p, t).alias("n"), F.regr_slope(p, t).alias("slope"), F.regr_intercept(p, t).alias("intercept"),
+        F.regr_syy(p, t).alias("_syy"), F.regr_sxy(p, t).alias("_sxy"), F.regr_sxx(p, t).alias("_sxx"))
+    left = F.greatest(F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.nullif("_sxx", F.lit(0.0)), F.lit(0.0))
+    return sums.select(*group, "n", "slope", "intercept", F.when(
+        F.col("n") > 2, F.sqrt(left / (F.col("n") - 2))).alias("std_error"))
+
+
 def run_summary(runs: DataFrame, measures: Sequence[str] = ("corr2", "mae", "rmse")) -> DataFrame:
     return runs.agg(F.count(F.lit(1)).alias("runs"), *[
         f(c).alias(f"{c}_{n}") for c in measures for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
@@ -199,7 +213,7 @@ def hash_sample(df: DataFrame, key: str, n: int = 5000) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int = 50, log: bool = False) -> DataFrame:
     """Rows per equal-width bin of the value or of ``log1p`` of it; the last bin includes the maximum."""
     v = F.log1p(F.col(value)) if log else F.col(value).cast("double")
-    base = df.where(F.col(value).isNotNull()).select(v.alias("_v"))
+    base = df.select(known(v).alias("_v")).where("_v is not null")
     span = one_row(base.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")))
     lo, hi = span.getField("lo"), span.getField("hi")
     at = F.when(hi > lo, F.least(F.floor((F.col("_v") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))).otherwise(0)
@@ -208,11 +222,11 @@ def histogram(df: DataFrame, value: str, bins: int = 50, log: bool = False) -> D
 
 def weight_summary(df: DataFrame, weights: str = "weights") -> DataFrame:
     """Per weight column: mean, deviation, range and the shares near 0, near 1 and below 0."""
-    rows = df.select(F.posexplode(weights).alias("pos", "w")).withColumn("w", F.col("w").cast("double"))
+    rows = df.select(F.posexplode(weights).alias("pos", "w")).withColumn("w", known(F.col("w").cast("double")))
     w = F.col("w")
 
     def share(condition: Column) -> Column:
-        return F.avg(F.when(condition, 1.0).otherwise(0.0))
+        return F.avg(F.when(condition, 1.0).otherwise(F.when(w.isNotNull(), 0.0)))
 
     return rows.groupBy("pos").agg(
         F.avg(w).alias("mean"), F.stddev_pop(w).alias("std"), F.min(w).alias("min"), F.max(w).alias("max"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationloom.functions import scalar
+from stationloom.functions.scalar import known
 from stationloom.operators.quality import tall
 from stationloom.operators.ranking import exact_quantiles, one_row
 
@@ -42,17 +43,18 @@ def default_columns(df: DataFrame, required: Sequence[str], date: str = "date")
         for c in absent}) if absent else df
 
 
-def known_codes(df: DataFrame, column: str, limit: int = 20) -> list:
-    """Distinct codes in order; more than ``limit`` raises, so the list stays small."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def known_codes(df: DataFrame, column: str, limit: int | None = None) -> list:
+    """Distinct codes in order; more than a stated ``limit`` raises. Each code becomes a column of the encoding."""
+    codes = df.select(column).where(F.col(column).isNotNull()).distinct()
+    rows = codes.collect() if limit is None else codes.limit(limit + 1).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} categories; use hash_encode")
     return sorted(r[0] for r in rows)
 
 
 def one_hot(df: DataFrame, column: str, codes: Sequence | None = None, prefix: str = "landuse",
-            limit: int = 20) -> DataFrame:
-    """``<prefix>_<code>`` indicators; NULL has no indicator set."""
+            limit: int | None = None) -> DataFrame:
+    """``<prefix>_<code>`` indicators; NULL has no indicator set. More classes than a stated ``limit`` are refused."""
     codes = known_codes(df, column, limit) if codes is None else codes
     return df.withColumns({f"{prefix}_{c}": F.when(F.col(column) == c, 1).otherwise(0) for c in codes})
 
@@ -121,6 +123,8 @@ def impute(df: DataFrame, numeric: Sequence[str], text: Sequence[str] = (), stra
     if strategy not in ("auto", "mean", "median"):
         raise ValueError(f"unknown strategy {strategy!r}")
     fills: dict[str, Column] = {}
+    kinds = dict(df.dtypes)
+    df = df.withColumns({c: known(F.col(c)) for c in numeric if kinds[c] in ("double", "float")})
     if numeric and strategy != "median":
         means = one_row(df.agg(F.count(F.lit(1)).alias("_rows"), *[
             F.struct(F.count(c).alias("n"), F.avg(c).alias("mean")).alias(c) for c in numeric]))
@@ -148,7 +152,7 @@ class MissingPlan:
     numeric: tuple[str, ...]
 
     def training(self, df: DataFrame) -> DataFrame:
-        df = df.dropna(subset=list(self.numeric)) if self.strategy == "drop" else df
+        df = df.dropna(subset=list(self.numeric)) if self.strategy == "drop" else df        # NaN goes as well
         return df.fillna(dict(self.fills))
 
     def replay(self, df: DataFrame) -> DataFrame:
@@ -156,9 +160,13 @@ class MissingPlan:
 
 
 def fit_missing(train: DataFrame, numeric: Sequence[str], text: Sequence[str] = (), strategy: str = "median",
-                constant: float = 0.0) -> MissingPlan:
-    """Only one row of statistics per call reaches the driver."""
+                constant: float = 0.0, max_classes: int = 50) -> MissingPlan:
+    """Only one row of statistics per call reaches the driver. NaN is missing.
+
+    A text column of ``max_classes`` values or more is filled with ``MISSING`` and not with its mode.
+    """
     fills: dict[str, object] = {}
+    train = train.withColumns({c: known(F.col(c)) for c in numeric})
     if strategy == "mean":
         fills |= train.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict()
     elif strategy == "median":
@@ -169,7 +177,7 @@ def fit_missing(train: DataFrame, numeric: Sequence[str], text: Sequence[str] =
         raise ValueError(f"unknown strategy {strategy!r}")
     fills = {c: (constant if v is None else v) for c, v in fills.items()}
     for c in text:
-        few = train.select(c).distinct().limit(50).count() < 50
+        few = train.select(c).distinct().limit(max_classes).count() < max_classes
         mode = column_mode(train, c).first()[0] if few else None
         fills[c] = "MISSING" if mode is None else mode
     return MissingPlan(strategy, fills, tuple(numeric))

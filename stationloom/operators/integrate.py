@@ -39,21 +39,26 @@ def merge_parts(parts: Sequence[Part], keys: Sequence[str] = KEYS) -> DataFrame:
     The frames are stacked and aggregated once. That one exchange replaces a distinct for the index, a
     dedup window and a join per source; copies of a key are reduced before it, so hot keys cost nothing.
     """
-    stacked, aggregates = [], {}
+    stacked, aggregates, picks = [], {}, {}
     for i, part in enumerate(parts):
         columns = [*keys, F.lit(1 if part.index else 0).alias("_index")]
-        order = f"_o{i}"
-        if part.values and part.order:
-            columns.append(F.col(part.order).alias(order))
-        for out, source in part.values.items():
-            columns.append(F.col(source).alias(out))
-            aggregates[out] = F.min_by(out, order) if part.order else F.min(out)
+        row, order = f"_v{i}", f"_o{i}"
+        if part.values:
+            values = [F.col(source) for source in part.values.values()]
+            # one whole row per key: the order column decides, then known values before missing ones
+            ties = [x for v in values for x in (v.isNull(), v)]
+            by = F.struct(F.col(part.order).alias("o"), *[t.alias(f"t{k}") for k, t in enumerate(ties)]) if part.order \
+                else F.struct(*[t.alias(f"t{k}") for k, t in enumerate(ties)])
+            columns.append(F.struct(*[v.alias(out) for v, out in zip(values, part.values)]).alias(row))
+            columns.append((F.when(F.col(part.order).isNotNull(), by) if part.order else by).alias(order))
+            picks[row] = list(part.values)
+            aggregates[row] = F.min_by(row, order)
         stacked.append(part.df.select(*columns))
     tall = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
     merged = tall.groupBy(*keys).agg(F.max("_index").alias("_index"), *[a.alias(o) for o, a in aggregates.items()])
     if not all(p.index for p in parts):
         merged = merged.where(F.col("_index") == 1)
-    return merged.drop("_index")
+    return merged.select(*keys, *[F.col(row)[out].alias(out) for row, outs in picks.items() for out in outs])
 
 
 def master_index(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationloom.functions.scalar import guarded_percent
+from stationloom.functions.scalar import guarded_percent, known
 from stationloom.operators.ranking import exact_quantiles, null_safe, running_sums
 
 
@@ -93,7 +93,9 @@ def class_distribution(df: DataFrame, column: str) -> DataFrame:
 def fill_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, filled, records, fill_pct`` of every column from one global aggregate."""
     columns = list(columns or df.columns)
-    stats = df.agg(_rows().alias("_n"), *[F.count(c).alias(c) for c in columns])
+    kinds = dict(df.dtypes)
+    stats = df.agg(_rows().alias("_n"), *[
+        F.count(known(F.col(c)) if kinds[c] in ("double", "float") else c).alias(c) for c in columns])
     return stats.select("_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in columns])).alias("r")).select(
         F.col("r")["column"].alias("column"), F.col("r")["filled"].alias("filled"), F.col("_n").alias("records"),
@@ -127,10 +129,11 @@ def station_means(df: DataFrame, columns: Sequence[str], station: str = "station
 
 
 def value_summary(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """Count, minimum, maximum, mean, median and sample deviation, overall or per group."""
+    """Count, minimum, maximum, mean, median and sample deviation, overall or per group; NaN is missing."""
+    v = known(F.col(value))
     stats = df.groupBy(*group).agg(
-        F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"))
+        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"))
     median = exact_quantiles(df, value, {"median": 0.5}, group)
     if group:
         return null_safe(stats, median, group, "left")
@@ -186,10 +189,14 @@ def duplicate_rows(df: DataFrame, name: str = "duplicate_group", station: str =
     """
     repeated = df.groupBy(station, date).agg(_rows().alias("copies")).where("copies > 1")
     per = repeated.groupBy(station).agg(_rows().alias("_n"))
-    offsets = running_sums(per, station, [], {"_upto": "_n"}).select(station, (F.col("_upto") - F.col("_n")).alias("_before"))
-    numbered = repeated.join(offsets, station).withColumn(
-        name, F.col("_before") + F.row_number().over(Window.partitionBy(station).orderBy(date)) - 1).drop("_before")
-    return df.join(numbered, [station, date])
+    offsets = running_sums(per.where(F.col(station).isNotNull()), station, [], {"_upto": "_n"}).select(
+        station, (F.col("_upto") - F.col("_n")).alias("_before"))
+    # keys with a missing part count too: a missing station comes first, a missing date first inside its station
+    missing = per.where(F.col(station).isNull()).agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    place = F.when(F.col(station).isNull(), 0).otherwise(F.col("_before") + missing)
+    numbered = null_safe(repeated, offsets, [station], "left").withColumn(
+        name, place + F.row_number().over(Window.partitionBy(station).orderBy(date)) - 1).drop("_before")
+    return null_safe(df, numbered, [station, date])
 
 
 def duplicate_count(df: DataFrame, keys: Sequence[str] = ("station_id", "date")) -> DataFrame:

@@ -15,6 +15,7 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",   # no call-site lookup per column expression
     "spark.sql.legacy.javaCharsets": "true",   # station files come in gbk too
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 KINDS = ("dynamic", "static", "yearly", "phenology", "gldas")
 
@@ -87,11 +86,10 @@ GLDAS_COLUMNS = ("seasonal_doy_Da", "seasonal_doy_Db", "seasonal_doy_Dc", "seaso
 PHENOLOGY_WORDS = ("snow_phenology", "snow_start", "snow_end", "phenology", "scp")
 TERRAIN_WORDS = ("terrain", "feature")
 YEARLY_WORDS = ("landcover",)
-YEARLY_ROWS = 5
 
 
 def infer_kind(df: DataFrame, name: str = "") -> str:
-    """Kind of a source nobody described, from its name, its columns and at most one aggregate."""
+    """Kind of a source nobody described, from its name and its columns; how many rows it has does not matter."""
     def named(words: tuple[str, ...]) -> bool:
         return any(w in name.lower() for w in words)
 
@@ -106,8 +104,6 @@ def infer_kind(df: DataFrame, name: str = "") -> str:
         return "static"
     if named(YEARLY_WORDS):
         return "yearly"
-    if "station_id" in columns:
-        per = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("station_id").alias("s")).first()
-        if per["s"] and per["n"] / per["s"] < YEARLY_ROWS:
-            return "yearly"
+    if "year" in columns and "date" not in columns:
+        return "yearly"
     return "dynamic" if {"date", "station_id"} <= columns else "static"
