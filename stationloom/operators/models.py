@@ -6,17 +6,21 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stationloom.functions.scalar import known
 from stationloom.operators.evaluate import fold_summary, metrics
-from stationloom.operators.ranking import hash_order_rank
+from stationloom.operators.features import fit_missing
+from stationloom.operators.ranking import hash_order_rank, null_safe
 from stationloom.operators.splits import group_folds, repeated_splits
 from stationloom.session import ensure_checkpoint_dir
 
@@ -34,44 +38,119 @@ def least_squares(label: str = "y", **settings) -> LinearRegression:
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Feature vector, label and kept columns; impute first, rows with a missing value are dropped."""
+    """Feature vector, label and kept columns of the labelled rows. Missing features must have been filled."""
     ready = df.select(*dict.fromkeys([*keep, label]), *[F.col(c).cast("double").alias(f"_x_{c}") for c in features])
-    vector = VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="features", handleInvalid="skip")
+    vector = VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="features", handleInvalid="error")
     return vector.transform(ready.where(F.col(label).isNotNull())).select(*dict.fromkeys([*keep, label]), "features")
 
 
-def leave_one_group_out(df: DataFrame, features: Sequence[str], label: str, group: str,
-                        make: Callable = boosted_trees, keep: Sequence[str] = (), max_folds: int = 64,
-                        parallelism: int = 4) -> DataFrame:
-    """Predictions of every row by a model that never saw its group: ``fold, y_true, y_pred``.
+def _labelled(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str]) -> DataFrame:
+    """Labelled rows with numeric features; NaN is missing."""
+    return df.where(known(F.col(label)).isNotNull()).select(
+        *dict.fromkeys([*keep, label]), *[known(F.col(c).cast("double")).alias(f"_f_{c}") for c in features])
 
-    Up to ``max_folds`` groups are left out one by one. More groups are dealt into that many folds of
-    whole groups; the number of fits stays bounded and no row is left out. The predictions are written with
-    ``checkpoint``: every report would otherwise carry, and run, all the models again.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    known = df.where(F.col(group).isNotNull())
-    few = known.select(group).distinct().limit(max_folds + 1).collect()
-    data = assemble(known, features, label, [group, *keep])
-    if len(few) <= max_folds:
-        data, folds = data.withColumn("fold", F.col(group)), [r[0] for r in few]
-    else:
-        data, folds = data.join(group_folds(known, group, max_folds), group), list(range(max_folds))
+
+def _fit_and_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, make: Callable,
+                     keep: Sequence[str]) -> DataFrame:
+    """Fill values come from the training rows alone, so nothing of the held-out rows enters the model."""
+    columns = [f"_f_{c}" for c in features]
+    plan = fit_missing(train, columns, strategy="mean")
+    model = make(label).fit(assemble(plan.training(train), columns, label))
+    return model.transform(assemble(plan.replay(test), columns, label, keep))
+
+
+def _cross_validate(data: DataFrame, features: Sequence[str], label: str, make: Callable, keep: Sequence[str],
+                    parallelism: int) -> DataFrame:
+    """One model per value of ``fold``, NULL being a fold like others. The predictions are written with
+    ``checkpoint``: every report would otherwise carry, and run, all the models again."""
+    ensure_checkpoint_dir(data.sparkSession)
     data = data.persist()
+    folds = sorted((r[0] for r in data.select("fold").distinct().collect()), key=lambda f: (f is None, f))
 
-    @inheritable_thread_target(df.sparkSession)
+    @inheritable_thread_target(data.sparkSession)
     def run(fold) -> DataFrame:
-        model = make(label).fit(data.where(F.col("fold") != fold))
-        return model.transform(data.where(F.col("fold") == fold))
+        own = F.col("fold").eqNullSafe(F.lit(fold))
+        return _fit_and_predict(data.where(~own), data.where(own), features, label, make, [*keep, "fold"])
 
     with ThreadPool(min(parallelism, max(1, len(folds)))) as pool:
-        parts = pool.map(run, sorted(folds))
+        parts = pool.map(run, folds)
     out = reduce(DataFrame.unionByName, parts).select(
-        *dict.fromkeys([group, *keep]), "fold", F.col(label).cast("double").alias("y_true"), "y_pred").checkpoint()
+        *dict.fromkeys([*keep, "fold"]), F.col(label).cast("double").alias("y_true"), "y_pred").checkpoint()
     data.unpersist()
     return out
 
 
+def leave_one_group_out(df: DataFrame, features: Sequence[str], label: str, group: str,
+                        make: Callable = boosted_trees, keep: Sequence[str] = (), parallelism: int = 4) -> DataFrame:
+    """Predictions of every labelled row by a model that never saw its group: ``fold, y_true, y_pred``.
+
+    Every group is left out by itself, whatever their number: one fit per group. Rows without a group are one group.
+    For least squares ``leave_one_group_out_ols`` needs no fits; ``group_k_fold`` bounds their number.
+    """
+    data = _labelled(df, features, label, [group, *keep]).withColumn("fold", F.col(group))
+    return _cross_validate(data, features, label, make, [group, *keep], parallelism)
+
+
+def group_k_fold(df: DataFrame, features: Sequence[str], label: str, group: str, folds: int,
+                 make: Callable = boosted_trees, keep: Sequence[str] = (), parallelism: int = 4) -> DataFrame:
+    """Like ``leave_one_group_out`` with whole groups dealt into ``folds`` folds; rows without a group are in the
+    first."""
+    data = _labelled(df, features, label, [group, *keep])
+    dealt = group_folds(data.where(F.col(group).isNotNull()), group, folds)
+    data = data.join(dealt, group, "left").withColumn("fold", F.coalesce("fold", F.lit(0)))
+    return _cross_validate(data, features, label, make, [group, *keep], parallelism)
+
+
+def leave_one_group_out_ols(df: DataFrame, features: Sequence[str], label: str, group: str,
+                            keep: Sequence[str] = ()) -> DataFrame:
+    """Exact leave-one-group-out predictions of least squares: ``fold, y_true, y_pred``, one fold per group.
+
+    One aggregate gives the normal sums of every group; the model of a fold solves the total minus its own sums.
+    Missing features are filled with the mean of the fold's training rows, which the sums allow for exactly: products
+    with a missing factor are kept apart and multiplied by the fill value of each fold.
+    """
+    p = len(features)
+    data = _labelled(df, features, label, [group, *keep])
+    x, y = [F.col(f"_f_{c}") for c in features], F.col(label).cast("double")
+
+    def total(value: Column, when: Column | None = None) -> Column:
+        return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0.0))
+
+    sums = [F.count(F.lit(1)).cast("double"), total(y)]
+    sums += [s for a in x for s in (F.count(a).cast("double"), total(a), total(a * y), total(y, a.isNull()))]
+    sums += [s for i in range(p) for j in range(p) for s in (
+        total(x[i] * x[j]), total(x[j], x[i].isNull()), F.count_if(x[i].isNull() & x[j].isNull()).cast("double"))]
+    per = data.groupBy(group).agg(F.array(*sums).alias("_own"))
+    everything = per.agg(F.array(*[F.sum(F.get("_own", F.lit(i))) for i in range(len(sums))]).alias("_all")).scalar()
+
+    @F.pandas_udf("array<double>")
+    def solve(own: pd.Series, whole: pd.Series) -> pd.Series:
+        left = np.vstack(whole.to_numpy()) - np.vstack(own.to_numpy())
+        n, sy = left[:, 0], left[:, 1]
+        single = left[:, 2:2 + 4 * p].reshape(-1, p, 4)
+        known_n, sx, sxy, y_missing = (single[:, :, i] for i in range(4))
+        fill = np.divide(sx, known_n, out=np.zeros_like(sx), where=known_n > 0)
+        pair = left[:, 2 + 4 * p:].reshape(-1, p, p, 3)
+        a = np.zeros((len(n), p + 1, p + 1))
+        a[:, :p, :p] = (pair[..., 0] + fill[:, :, None] * pair[..., 1] + fill[:, None, :] * pair[..., 1].transpose(0, 2, 1)
+                        + fill[:, :, None] * fill[:, None, :] * pair[..., 2])
+        filled = sx + fill * (n[:, None] - known_n)
+        a[:, :p, p] = a[:, p, :p] = filled
+        a[:, p, p] = n
+        b = np.concatenate([sxy + fill * y_missing, sy[:, None]], axis=1)
+        scale = np.sqrt(np.maximum(np.einsum("gii->gi", a), 1e-300))       # even columns, then a safe inverse
+        w = np.einsum("gij,gj->gi", np.linalg.pinv(a / scale[:, :, None] / scale[:, None, :], rcond=1e-12), b / scale) / scale
+        w[n <= 0] = np.nan
+        return pd.Series(list(np.concatenate([w, fill], axis=1)))
+
+    models = per.select(group, solve("_own", everything).alias("_model"))
+    rows = null_safe(data, models, [group])
+    predicted = sum((F.get("_model", F.lit(i)) * F.coalesce(x[i], F.get("_model", F.lit(p + 1 + i))) for i in range(p)),
+                    F.get("_model", F.lit(p)))
+    return rows.select(*dict.fromkeys([group, *keep]), F.col(group).alias("fold"), y.alias("y_true"),
+                       known(predicted).alias("y_pred"))
+
+
 def cross_validation_report(predictions: DataFrame) -> dict[str, DataFrame]:
     """Overall, per-fold and summarised metrics of fold predictions."""
     folds = metrics(predictions, group=["fold"])
@@ -79,21 +158,31 @@ def cross_validation_report(predictions: DataFrame) -> dict[str, DataFrame]:
 
 
 def forest_per_cluster(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, cluster: str,
-                       max_clusters: int = 100, **settings) -> DataFrame:
-    """Test rows predicted by the forest of their own cluster: ``cluster, y_true, y_pred``."""
-    ensure_checkpoint_dir(train.sparkSession)
-    data, held = assemble(train, features, label, [cluster]).persist(), assemble(test, features, label, [cluster])
-    names = [r[0] for r in data.select(cluster).distinct().limit(max_clusters + 1).collect()]
-    if len(names) > max_clusters:
-        raise ValueError(f"more than {max_clusters} clusters")
-    parts = []
-    for name in sorted(names):
-        forest = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="y_pred",
-                                       **{**FOREST, **settings})
-        model = forest.fit(data.where(F.col(cluster) == name))
-        parts.append(model.transform(held.where(F.col(cluster) == name)))
-    out = reduce(DataFrame.unionByName, parts).select(
-        cluster, F.col(label).cast("double").alias("y_true"), "y_pred").checkpoint()
+                       parallelism: int = 4, **settings) -> DataFrame:
+    """Labelled test rows with the prediction of their own cluster's forest: ``cluster, y_true, y_pred``.
+
+    Rows of a cluster without training rows, or of none, stay and have no prediction.
+    """
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
+    data, held = _labelled(train, features, label, [cluster]).persist(), _labelled(test, features, label, [cluster])
+    names = sorted(r[0] for r in data.where(F.col(cluster).isNotNull()).select(cluster).distinct().collect())
+
+    def forest(target: str) -> RandomForestRegressor:
+        return RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="y_pred",
+                                     **{**FOREST, **settings})
+
+    @inheritable_thread_target(spark)
+    def run(name) -> DataFrame:
+        own = F.col(cluster) == name
+        return _fit_and_predict(data.where(own), held.where(own), features, label, forest, [cluster]).select(
+            cluster, F.col(label).cast("double").alias("y_true"), "y_pred")
+
+    with ThreadPool(min(parallelism, max(1, len(names)))) as pool:
+        parts = pool.map(run, names)
+    strange = held.where(F.col(cluster).isNull() | ~F.col(cluster).isin(names) if names else F.lit(True)).select(
+        cluster, F.col(label).cast("double").alias("y_true"), F.lit(None).cast("double").alias("y_pred"))
+    out = reduce(DataFrame.unionByName, [*parts, strange]).checkpoint()
     data.unpersist()
     return out
 
@@ -135,7 +224,7 @@ def fit_importance(df: DataFrame, features: Sequence[str], label: str, **setting
 
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str, group: str, grid: Mapping[str, Sequence],
-                folds: int = 5, parallelism: int = 2, **settings) -> DataFrame:
+                folds: int = 5, parallelism: int = 4, **settings) -> DataFrame:
     """RMSE of every setting of a grid over folds of whole groups."""
     keyed = df.join(group_folds(df, group, folds).withColumn("_fold", F.col("fold").cast("int")).drop("fold"), group)
     data = assemble(keyed, features, label, ["_fold"])
@@ -151,10 +240,18 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, group: str,
     return df.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in [*grid, "rmse"]))
 
 
+def cross_validated(df: DataFrame, features: Sequence[str], label: str, group: str, make: Callable = boosted_trees,
+                    folds: int | None = None) -> DataFrame:
+    """Each group left out by itself, or whole groups in as many folds as the caller names."""
+    if folds is None:
+        return leave_one_group_out(df, features, label, group, make)
+    return group_k_fold(df, features, label, group, folds, make)
+
+
 def ablation(df: DataFrame, weighted: DataFrame, features: Sequence[str], label: str, group: str,
-             make: Callable = boosted_trees, max_folds: int = 64) -> DataFrame:
+             make: Callable = boosted_trees, folds: int | None = None) -> DataFrame:
     """Overall metrics of the plain and of the weighted features under the same folds."""
-    rows = [metrics(leave_one_group_out(frame, features, label, group, make, max_folds=max_folds)).select(
+    rows = [metrics(cross_validated(frame, features, label, group, make, folds)).select(
         F.lit(name).alias("model"), F.lit(group).alias("scheme"), "mae", "rmse", "r", "n")
         for name, frame in (("base", df), ("weighted", weighted))]
     return rows[0].unionByName(rows[1])

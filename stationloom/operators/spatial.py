@@ -276,8 +276,10 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min_points:
     ensure_checkpoint_dir(spark)
     kept = [f"_v{i}" for i in range(len(features))]      # own names: a feature may itself be called x or y
     scaled = [f"_f{i}" for i in range(len(features))]
-    raw = df.dropna(subset=list(features)).select(key, *[F.col(f).cast("double").alias(v) for f, v in zip(features, kept)])
-    unique = raw.groupBy(*kept).agg(F.min(key).cast("bigint").alias("qid"), F.count(F.lit(1)).alias("_w"))
+    raw = df.dropna(subset=[key, *features]).select(key, *[F.col(f).cast("double").alias(v) for f, v in zip(features, kept)])
+    # points are numbered in the order of their smallest key, which may be text
+    unique = row_ids(raw.groupBy(*kept).agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_w")), "_first",
+                     "qid").drop("_first").checkpoint()
     both = {s: F.col(v) for s, v in zip(scaled, kept)}
     points = scale_like(raw.withColumns(both), unique.withColumns(both), scaled, "standard", epsilon=0.0)
     # a constant feature has no spread and no say

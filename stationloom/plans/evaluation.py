@@ -15,16 +15,20 @@ from stationloom.session import ensure_checkpoint_dir
 
 def complete_analysis(df: DataFrame, features: Sequence[str], label: str = "swe", station: str = "station_id",
                       date: str = "date", products: Sequence[str] = (), make: Callable = models.boosted_trees,
-                      max_folds: int = 64) -> dict[str, DataFrame]:
-    """Every table of the analysis by name; models are fitted when called, tables are lazy."""
+                      station_folds: int | None = None) -> dict[str, DataFrame]:
+    """Every table of the analysis by name; models are fitted when called, tables are lazy.
+
+    Each station and each year is left out by itself; ``station_folds`` deals the stations into that many folds.
+    Missing features are filled from the training rows of each fold.
+    """
     require(df, [station, date, label])
     known = df.where(F.col(label).isNotNull()).withColumn("_year", F.year(date))
     ensure_checkpoint_dir(df.sparkSession)
-    data = impute(known.select(station, "_year", label, *features), list(features)).checkpoint()
+    data = known.select(station, "_year", label, *features).checkpoint()
     out: dict[str, DataFrame] = {}
     overall, spread = [], []
-    for scheme, group in (("station", station), ("yearly", "_year")):
-        predictions = models.leave_one_group_out(data, features, label, group, make, max_folds=max_folds)
+    for scheme, group, folds in (("station", station, station_folds), ("yearly", "_year", None)):
+        predictions = models.cross_validated(data, features, label, group, make, folds)
         report = models.cross_validation_report(predictions)
         out |= {f"{scheme}_predictions": predictions, f"{scheme}_folds": report["folds"],
                 f"{scheme}_summary": report["summary"]}
@@ -33,7 +37,7 @@ def complete_analysis(df: DataFrame, features: Sequence[str], label: str = "swe"
             F.lit(scheme).alias("scheme"), F.col("std").alias("mae_std")))
     out["overall"] = overall[0].unionByName(overall[1])
     out["comparison"] = evaluate.compare_schemes(out["overall"], spread[0].unionByName(spread[1]))
-    model = make(label).fit(models.assemble(data, features, label))
+    model = make(label).fit(models.assemble(impute(data, list(features)), features, label))
     out["importance"] = models.importance_table(data, model, features)
     out["importance_stats"] = evaluate.importance_stats(out["importance"], "feature", "importance")
     if products:

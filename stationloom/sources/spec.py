@@ -98,12 +98,12 @@ def infer_kind(df: DataFrame, name: str = "") -> str:
         return "gldas"
     if named(PHENOLOGY_WORDS) or {"dataset_type", "hydrological_year"} <= columns:
         return "phenology"
+    if "year" in columns and "date" not in columns and not named(TERRAIN_WORDS) and name != "landuse":
+        return "yearly"
     numbers = [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double")
                and c not in ("station_id", "longitude", "latitude")]
     if named(TERRAIN_WORDS) or name == "landuse" or (len(numbers) > 1 and "date" not in columns):
         return "static"
     if named(YEARLY_WORDS):
         return "yearly"
-    if "year" in columns and "date" not in columns:
-        return "yearly"
     return "dynamic" if {"date", "station_id"} <= columns else "static"

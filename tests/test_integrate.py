@@ -122,7 +122,7 @@ def test_onehot_rows_sum_to_one_or_none(spark):
     out = features.one_hot(df, "landuse_code")
     assert {r["row_sum"]: r["records"] for r in quality.onehot_check(out, ["landuse_11", "landuse_12"]).collect()} == {1: 2, 0: 1}
     with pytest.raises(ValueError):
-        features.one_hot(spark.range(50), "id")
+        features.one_hot(spark.range(50), "id", limit=20)
 
 
 def test_imputation_rules(spark):
@@ -172,12 +172,58 @@ def test_every_row_is_predicted_once_by_a_model_without_its_group(spark):
     df = spark.range(120).select((F.col("id") % 6).alias("g"), F.col("id").cast("double").alias("x"),
                                  (F.col("id") * 2.0).alias("y"))
     make = lambda label: models.boosted_trees(label, maxIter=2, maxDepth=2)
-    for folds, count in ((64, 6), (3, 3)):
-        out = models.leave_one_group_out(df, ["x"], "y", "g", make, max_folds=folds)
+    for out, count in ((models.leave_one_group_out(df, ["x"], "y", "g", make), 6),
+                       (models.group_k_fold(df, ["x"], "y", "g", 3, make), 3)):
         assert out.count() == 120 and out.select("fold").distinct().count() == count
         assert out.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
 
 
+def _holed(spark):
+    """NULL and NaN features, NULL groups, unlabelled rows."""
+    k = F.col("id")
+    return spark.range(60).select(
+        k, F.when(k % 7 != 0, k % 5).alias("g"),
+        F.when(k % 4 == 0, None).when(k % 4 == 1, float("nan")).otherwise(k.cast("double")).alias("x"),
+        (k * k % 11).cast("double").alias("z"), F.when(k % 10 != 9, k * 2.0).alias("y"))
+
+
+def test_no_labelled_row_is_lost(spark):
+    df = _holed(spark)
+    make = lambda label: models.boosted_trees(label, maxIter=2, maxDepth=2)
+    want = sorted(r["id"] for r in df.where("y is not null").collect())
+    for out in (models.leave_one_group_out(df, ["x", "z"], "y", "g", make, ["id"]),
+                models.group_k_fold(df, ["x", "z"], "y", "g", 3, make, ["id"]),
+                models.leave_one_group_out_ols(df, ["x", "z"], "y", "g", ["id"])):
+        assert sorted(r["id"] for r in out.collect()) == want
+        assert out.where("y_pred is null").count() == 0
+
+
+def test_least_squares_folds_equal_refitting(spark):
+    import numpy as np
+
+    rows = [r for r in _holed(spark).collect() if r["y"] is not None]
+    x = np.array([[np.nan if r["x"] is None else r["x"], r["z"]] for r in rows])
+    y = np.array([r["y"] for r in rows])
+    want = {}
+    for g in {r["g"] for r in rows}:
+        held = np.array([r["g"] == g for r in rows])
+        fill = np.nanmean(x[~held], axis=0)
+        full = np.column_stack([np.where(np.isnan(x), fill, x), np.ones(len(x))])
+        w = np.linalg.lstsq(full[~held], y[~held], rcond=None)[0]
+        want |= {rows[i]["id"]: full[i] @ w for i in np.nonzero(held)[0]}
+    got = {r["id"]: r["y_pred"] for r in models.leave_one_group_out_ols(_holed(spark), ["x", "z"], "y", "g", ["id"]).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_rows_of_unseen_clusters_stay(spark):
+    train = spark.range(40).select((F.col("id") % 2).alias("c"), F.col("id").cast("double").alias("x"), (F.col("id") * 1.0).alias("y"))
+    test = spark.range(20).select(F.when(F.col("id") % 4 != 3, F.col("id") % 4).alias("c"), F.when(
+        F.col("id") % 5 != 0, F.col("id").cast("double")).alias("x"), (F.col("id") * 1.0).alias("y"))
+    out = models.forest_per_cluster(train, test, ["x"], "y", "c", numTrees=2, maxDepth=2)
+    assert out.count() == 20
+    assert out.where("y_pred is null").count() == out.where("c is null or c = 2").count() == 10
+
+
 def test_complete_analysis_tables(spark):
     df = spark.range(90).select((F.col("id") % 3).cast("string").alias("station_id"),
                                 F.date_add(F.lit("2013-06-01").cast("date"), (F.col("id") * 9).cast("int")).alias("date"),

@@ -90,7 +90,8 @@ def test_kinds(spark):
     dated = spark.createDataFrame([(str(i % 2), dt.date(2014, 1, 1), 1.0) for i in range(20)],
                                   "station_id string, date date, value double")
     assert infer_kind(dated) == "dynamic"
-    assert infer_kind(dated.limit(2)) == "yearly"
+    assert infer_kind(dated.limit(2)) == "dynamic"
+    assert infer_kind(dated.withColumnRenamed("date", "year")) == "yearly"
     assert infer_kind(dated, "GLDAS_daily") == "gldas"
     assert infer_kind(dated.drop("date")) == "static"
     season = dated.withColumns({"dataset_type": F.lit("start"), "hydrological_year": F.lit(2014)})

@@ -143,3 +143,14 @@ def test_reference_set_is_guarded(points):
 def test_correlation_p_values():
     got = correlation_p(np.array([0.5, 0.1, -0.9, 0.0, 1.0]), np.array([20, 100, 5, 30, 10]))
     assert got == pytest.approx([0.0247696, 0.3222174, 0.0373861, 1.0, 0.0], abs=1e-6)
+
+
+def test_density_clusters_of_text_ids(spark):
+    df = spark.range(120).select(F.concat(F.lit("ST"), F.col("id").cast("string")).alias("station_id"), F.col("id").alias("num"),
+                                 (F.col("id") % 3 * 50 + F.col("id") % 7 * 0.1).alias("a"), (F.col("id") % 5 * 0.1).alias("b"))
+    def groups(key):
+        found = {}
+        for r in spatial.dbscan(df, ["a", "b"], 0.3, 3, key).join(df, key).collect():
+            found.setdefault(r["cluster"], set()).add(r["num"])
+        return sorted(map(sorted, found.values()))
+    assert groups("station_id") == groups("num") and len(groups("num")) > 3
