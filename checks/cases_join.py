@@ -86,6 +86,14 @@ def _(v: Views):
                                      Part(other, {"supply": "supply"})])
 
 
+@case("fuse_bbox", """select d.station_id, d.date, d.value as cswe, s.lon as longitude, s.lat as latitude from dyn_cswe d
+    join station s using (station_id) where s.lon between 80 and 110 and s.lat between 25 and 45""")
+def _(v: Views):
+    place = v.station.select("station_id", F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
+    return fusion.fuse({"cswe": (SourceSpec("cswe"), v.dyn_cswe)}, coordinates=[place],
+                       station_rule="bbox:80,25,110,45", calendar=False)
+
+
 @case("whole_rows_merge", """with r as (select l_orderkey as station_id, l_quantity as q, l_extendedprice as p,
     row_number() over (partition by l_orderkey order by l_quantity, l_extendedprice) as rn from lineitem)
     select cast(station_id as varchar) as station_id, q as pair_q, p as pair_p from r where rn = 1""")

@@ -12,34 +12,60 @@ from stationloom.operators import filters, integrate, normalize, quality, sampli
 from stationloom.sources.spec import SourceSpec
 
 
-def sample_source(spec: SourceSpec, observations: DataFrame, cells: DataFrame, **columns) -> DataFrame:
-    """Sampled source (``station_id, date, value``) for all dates of its period, masked and scaled once."""
+def sample_source(spec: SourceSpec, observations: DataFrame, cells: DataFrame, positions: DataFrame | None = None,
+                  **columns) -> DataFrame:
+    """Sampled source (``station_id, date, value``) for all dates of its period, masked and scaled once.
+
+    Nearest sampling takes the cells' ``positions`` (``cell_id`` and coordinates) and their dated values as ``cells``.
+    """
     points = observations
     if spec.start and spec.end:
         points = filters.time_range(points, spec.start, spec.end)
     if spec.sampling == "affine" and spec.every == "day":
         got = sampling.sample_affine(points, cells, spec.grid, **columns)
     elif spec.sampling == "affine" and spec.every == "month":
-        got = sampling.sample_monthly(points, cells, spec.grid, **columns)
+        got = sampling.sample_monthly(points, _in_years(cells, spec), spec.grid, **columns)
     elif spec.sampling == "affine" and spec.every == "year":
+        cells = _in_years(cells, spec)
         got = sampling.sample_affine(points.withColumn("year", F.year("date")), cells, spec.grid, ("year",), **columns)
     elif spec.sampling == "axis":
         got = sampling.sample_axis(points, cells, spec.grid, **columns)
     else:
-        raise ValueError("nearest sampling needs cell positions: use sampling.sample_nearest")
+        if positions is None:
+            raise ValueError("nearest sampling needs the positions of the cells")
+        got = sampling.sample_nearest(points, positions, cells, **columns)
     return filters.mask_and_scale(got, spec)
 
 
+def _in_years(cells: DataFrame, spec: SourceSpec) -> DataFrame:
+    """Cells of the years of the source's period; the predicate reaches the scan."""
+    if "year" not in cells.columns or not (spec.start and spec.end):
+        return cells
+    return cells.where(F.col("year").between(int(spec.start[:4]), int(spec.end[:4])))
+
+
 def fuse(sources: Mapping[str, tuple[SourceSpec, DataFrame]], observations: DataFrame | None = None,
          observation_order: str | None = None, altitude: DataFrame | None = None,
          coordinates: Sequence[DataFrame] = (), station_rule: str = "all", calendar: bool = True) -> DataFrame:
-    """Normalised sources and observations fused into the wide table, with calendar columns."""
+    """Normalised sources and observations fused into the wide table, with calendar columns.
+
+    A station rule is applied before anything is merged: ids on every source, a box to the stations whose coordinates
+    lie in it, which every source is then restricted to.
+    """
     ready = {name: (spec, normalize.standardize(df, date="date" if "date" in df.columns else None))
              for name, (spec, df) in sources.items()}
     seen = None if observations is None else normalize.standardize(observations)
     if station_rule.startswith("ids:"):
         ready = {n: (s, filters.station_filter(d, station_rule)) for n, (s, d) in ready.items()}
         seen = None if seen is None else filters.station_filter(seen, station_rule)
+    own = {c for spec, _ in ready.values() for c in integrate.value_names(spec)}
+    if station_rule.startswith("bbox:") and coordinates and not own & {"longitude", "latitude"}:
+        place = integrate.best_coordinates(coordinates).select(
+            "station_id", F.col("_c")["x"].alias("longitude"), F.col("_c")["y"].alias("latitude"))
+        inside = filters.station_filter(place, station_rule).select("station_id")
+        ready = {n: (s, d.join(inside, "station_id", "left_semi")) for n, (s, d) in ready.items()}
+        seen = None if seen is None else seen.join(inside, "station_id", "left_semi")
+        altitude = None if altitude is None else altitude.join(inside, "station_id", "left_semi")
     wide = integrate.wide_table(ready, seen, observation_order, altitude, coordinates)
     if station_rule.startswith("bbox:"):
         wide = filters.station_filter(wide, station_rule)
