@@ -144,8 +144,8 @@ def divergences(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id",
         return F.array(*[F.lit(float(v)) for v in values])
 
     total = sum((F.col(c) for c in classes), F.lit(0))
-    char_parts = [sum((_term(F.col(c) / total, F.lit(float(q))) for c, q in zip(classes, ref)), F.lit(0.0))
-                  for ref in chars]
+    char_parts = [sum((_term(F.coalesce(F.try_divide(c, total), F.lit(0.0)), F.lit(float(q)))
+                       for c, q in zip(classes, ref)), F.lit(0.0)) for ref in chars]
     lookup = F.create_map(*[x for w, q in words.items() for x in (F.lit(w), doubles(q))]) if words else None
     shares = F.transform("_runs", lambda r: F.struct(
         (r["n"] / F.col("n_words")).alias("p"), F.element_at(lookup, r["word"]).alias("q"))) if words else None
