@@ -104,7 +104,8 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     An empty table gives no rows; other columns are not read.
     """
     named = stored(text_names(docs, key, text, block_chars))
-    groups = named.groupBy("_level", "_name").agg(F.max("_key").alias("_keep"), F.sum("_copies").alias("_size"))
+    # stored, so that the join below reads two plain shuffles and a large group is split at run time
+    groups = stored(named.groupBy("_level", "_name").agg(F.max("_key").alias("_keep"), F.sum("_copies").alias("_size")))
     joined = named.join(groups, ["_level", "_name"])
     each = joined.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
     return each.select(F.col("_key").alias(key), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
@@ -119,8 +120,8 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Of rows that share key and normalised text one stays whole; which one is settled by their other columns.
     """
     named = stored(text_names(docs, key, text, block_chars))
-    best = named.groupBy("_level", "_name").agg(
-        F.max(F.struct("_key", "_sha", "_copies")).alias("_best")).select("_best.*")
+    best = stored(named.groupBy("_level", "_name").agg(
+        F.max(F.struct("_key", "_sha", "_copies")).alias("_best")).select("_best.*"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"),
                        F.sha2(lower_ascii(text_of(text)), 256).alias("_s"))
     staying = rows.join(best, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_sha")))
