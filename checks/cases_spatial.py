@@ -82,17 +82,19 @@ def _timed(v: Views):
                             F.col("altitude").alias("t"))
 
 
-@case("pair_distances", f"""select s.num as id, r.id as ref, round(sqrt((s.lon - r.x)*(s.lon - r.x) + (s.lat - r.y)*(s.lat - r.y)), 6) as space,
-    round(abs(s.altitude - r.t), 6) as time from station s, {REFS} r""")
+NEAR_REFS = f"""(select *, row_number() over (partition by id order by space, ref) as rn from (select s.num as id, r.id as ref,
+    sqrt((s.lon - r.x)*(s.lon - r.x) + (s.lat - r.y)*(s.lat - r.y)) as space, abs(s.altitude - r.t) as time from station s, {REFS} r))"""
+
+
+@case("pair_distances", f"select id, ref, round(space, 6) as space, round(time, 6) as time from {NEAR_REFS} where rn <= 8")
 def _(v: Views):
-    return rounded(spatial.pair_distances(_timed(v), _refs(v)), 6, "space", "time")
+    return rounded(spatial.pair_distances(_timed(v), _refs(v), 8), 6, "space", "time")
 
 
-@case("pair_distance_stats", f"""with d as (select sqrt((s.lon - r.x)*(s.lon - r.x) + (s.lat - r.y)*(s.lat - r.y)) d from station s, {REFS} r)
-    select count(*) as pairs, round(min(d), 6) as min, round(max(d), 6) as max, round(avg(d), 6) as mean, round(stddev_pop(d), 6) as std,
-    avg(case when d < 1e-6 then 1.0::double else 0 end) as zero_share from d""")
+@case("pair_distance_stats", f"""select count(*) as pairs, round(min(space), 6) as min, round(max(space), 6) as max, round(avg(space), 6) as mean,
+    round(stddev_pop(space), 6) as std, avg(case when space < 1e-6 then 1.0::double else 0 end) as zero_share from {NEAR_REFS} where rn <= 8""")
 def _(v: Views):
-    return rounded(spatial.pair_distance_stats(spatial.pair_distances(_timed(v), _refs(v))), 6, "min", "max", "mean", "std")
+    return rounded(spatial.pair_distance_stats(spatial.pair_distances(_timed(v), _refs(v), 8)), 6, "min", "max", "mean", "std")
 
 
 @case("feature_distance", f"""with c as (select var_samp(lon) a, covar_samp(lon, lat) b, var_samp(lat) d from station),

@@ -191,15 +191,23 @@ def _reference_array(references: DataFrame, columns: Sequence[str], limit: int)
     return references.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("r")).scalar()
 
 
-def pair_distances(points: DataFrame, references: DataFrame, key: str = "id", x: str = "x", y: str = "y",
-                   t: str = "t", limit: int = REFERENCE_LIMIT) -> DataFrame:
-    """Spatial and temporal distance of each point to each point of a bounded reference set."""
-    refs = _reference_array(references, [key, x, y, t], limit)
-    listed = points.select(key, x, y, t, F.explode(refs).alias("_ref"))
-    return listed.select(
-        key, F.col("_ref")[key].alias("ref"),
-        F.hypot(F.col(x) - F.col("_ref")[x], F.col(y) - F.col("_ref")[y]).alias("space"),
-        F.abs(F.col(t) - F.col("_ref")[t]).alias("time"))
+def pair_distances(points: DataFrame, references: DataFrame, k: int = 8, key: str = "id", x: str = "x", y: str = "y",
+                   t: str = "t", target: int = tiling.TARGET) -> DataFrame:
+    """Spatial and temporal distance of each point to its ``k`` nearest references, by distance and then id.
+
+    Both sides are tiled, so neither has to be small, and the output grows with the points alone.
+    """
+    refs = references.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    base = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_spot", _spot(x, y))
+    spots = base.select(F.col("_spot").alias("qid"), F.col(x).cast("double").alias("x"),
+                        F.col(y).cast("double").alias("y")).distinct()
+    offered = refs.select(F.col(key).alias("did"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    near = tiling.nearest(spots, offered, k, tiling.fit_tiles(spots, target))
+    listed = base.join(near.withColumnRenamed("qid", "_spot"), "_spot").select(
+        key, F.col(t).alias("_t"), F.explode("near").alias("_hit")).select(
+        key, "_t", F.col("_hit")["id"].alias("ref"), F.col("_hit")["dist"].alias("space"))
+    times = refs.select(F.col(key).alias("ref"), F.col(t).alias("_rt"))
+    return listed.join(times, "ref").select(key, "ref", "space", F.abs(F.col("_t") - F.col("_rt")).alias("time"))
 
 
 def pair_distance_stats(pairs: DataFrame, column: str = "space", zero: float = 1e-6) -> DataFrame:

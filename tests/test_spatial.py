@@ -134,10 +134,25 @@ def test_nearest_cells_equal_brute_force(spark):
         assert found.get((p.longitude, p.latitude)) == (i if inside else None)
 
 
-def test_reference_set_is_guarded(points):
+def test_feature_references_are_guarded(points):
     df, _ = points
     with pytest.raises(ValueError):
-        spatial.pair_distances(df.withColumn("t", F.lit(1.0)), df.withColumn("t", F.lit(1.0)), limit=10)
+        spatial.mahalanobis(df, df, ["x", "y"], limit=10)
+
+
+def test_pair_distances(points):
+    df, _ = points
+    timed = df.withColumn("t", F.col("x") * 2)
+    got = spatial.pair_distances(timed, timed, 3).collect()
+    rows = [(r["id"], r["x"], r["y"]) for r in df.collect()]
+    want = {}
+    for i, x, y in rows:
+        best = sorted((float(np.hypot(x - a, y - b)), j) for j, a, b in rows)[:3]
+        want[i] = [round(d, 9) for d, _ in best]
+    found = {}
+    for r in got:
+        found.setdefault(r["id"], []).append(round(r["space"], 9))
+    assert {k: sorted(v) for k, v in found.items()} == want
 
 
 def test_correlation_p_values():
