@@ -30,9 +30,20 @@ def _(v: Views):
     return _round(evaluate.metrics(v.pred, group=["yr"]))
 
 
-@case("metric_p_values")
-def _(v: Views):
-    return evaluate.with_p_value(evaluate.metrics(v.pred, "l_discount", "l_tax", ["fold"]))
+#: Student's distribution has a finite series for whole degrees of freedom; sin = |r|, cos = sqrt(1 - r*r).
+@case("metric_p_values", """with f as (select fold, avg(abs(l_discount - l_tax)) as mae, sqrt(avg((l_discount - l_tax)*(l_discount - l_tax))) as rmse,
+    corr(l_discount, l_tax) as r, count(*) as n from pred group by 1),
+    k as (select fold, n - 2 as v, r, unnest(range(0, greatest(cast(floor((n - 2)/2.0) as bigint), 1))) as k from f where n > 2 and r is not null),
+    e as (select *, case when k = 0 then 1.0 when v % 2 = 0 then (2*k - 1)/(2.0*k)*(1 - r*r) else 2*k/(2.0*k + 1)*(1 - r*r) end as factor from k),
+    c as (select fold, v, r, exp(sum(ln(factor)) over (partition by fold order by k)) as term from e),
+    s as (select fold, any_value(v) as v, any_value(r) as r, sum(term) as series from c group by 1),
+    p as (select fold, 1 - case when v % 2 = 0 then abs(r)*series when v = 1 then 2/pi()*asin(abs(r))
+        else 2/pi()*(asin(abs(r)) + abs(r)*sqrt(1 - r*r)*series) end as p from s)
+    select f.fold, round(mae, 6) as mae, round(rmse, 6) as rmse, round(r, 6) as r, n, n as total, 1.0::double as valid_ratio,
+    case when r is null then null when n = 2 then 1.0 else round(p, 6) end as r_pvalue from f left join p using (fold)""")
+def _(v: Views):
+    table = evaluate.with_p_value(evaluate.metrics(v.pred, "l_discount", "l_tax", ["fold"]))
+    return rounded(table, 6, "mae", "rmse", "r", "r_pvalue")
 
 
 FOLDS = """with f as (select fold, avg(abs(y_true - y_pred)) as mae, sqrt(avg((y_true - y_pred)*(y_true - y_pred))) as rmse, corr(y_true, y_pred) as r from pred group by 1)"""

@@ -121,7 +121,11 @@ def _(v: Views):
     return spatial.dbscan(v.station.select("num", "lon", "lat", "altitude"), ["lon", "lat", "altitude"], 0.12, 4, "num")
 
 
-@case("coef_clusters")
+@case("coef_clusters", """select station_id, true as in_range, cast(4 as bigint) as clusters from
+    (select station_id from obs group by 1 having avg(swe) is not null)""")
 def _(v: Views):
     means = v.obs.groupBy("station_id").agg(F.avg("swe").alias("coef_a"), F.avg("ord").alias("coef_b"))
-    return spatial.cluster_coefficients(means, ["coef_a", "coef_b"], 4)
+    found = spatial.cluster_coefficients(means, ["coef_a", "coef_b"], 4)
+    # what SQL can know of a clustering: every station is in one of the clusters, and none of them is empty
+    used = found.agg(F.count_distinct("cluster")).scalar()
+    return found.select("station_id", F.col("cluster").between(0, 3).alias("in_range"), used.alias("clusters"))

@@ -378,9 +378,12 @@ def cluster_coefficients(means: DataFrame, coefficients: Sequence[str], k: int,
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     stages = [VectorAssembler(inputCols=list(coefficients), outputCol="_raw"),
-              StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
+              StandardScaler(inputCol="_raw", outputCol="_even", withMean=True),
+              # a bisection starts from two centres next to the mean, moved by a share of its length: the constant
+              # keeps the mean of centred values away from zero, where nothing would be split
+              VectorAssembler(inputCols=["_even", "_one"], outputCol="_scaled"),
               BisectingKMeans(k=k, featuresCol="_scaled", predictionCol="cluster", seed=seed)]
-    known = means.dropna(subset=list(coefficients))
+    known = means.dropna(subset=list(coefficients)).withColumn("_one", F.lit(1.0))
     return Pipeline(stages=stages).fit(known).transform(known).select(station, "cluster")
 
 
