@@ -149,10 +149,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     ident = F.struct(F.col(key).alias("_key"), F.col(source).alias("source"),
                      F.size(words_of(text_of(text))).cast("bigint").alias("size"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), ident.alias("_id"), F.xxhash64(text).alias("_print"))
-    # places only matter where rows share key, source and size
-    placed = rows.join(lists, "_id")
-    single = placed.where(F.size("_copies") == 1).withColumn("_times", F.get("_copies", F.lit(0)))
+    # one shuffle of the documents: the place of a row among those with its key, source and size picks its copies
     rank = F.row_number().over(Window.partitionBy("_id").orderBy("_print"))
-    shared = placed.where(F.size("_copies") > 1).withColumn("_times", F.get("_copies", rank - 1))
-    taken = single.unionByName(shared).where("_times > 0")
+    taken = rows.join(lists, "_id").withColumn("_times", F.get("_copies", rank - 1)).where("_times > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
