@@ -19,7 +19,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationloom.llm.common import slices, stored
@@ -71,32 +71,39 @@ def references() -> list[int]:
     return [0] + [int(np.uint64(3 << 2 * i).astype(np.int64)) for i in range(PAIRS)]
 
 
-def distance_table(prints: DataFrame) -> DataFrame:
-    """``_fp, _far``: Hamming distances of each fingerprint to the references."""
-    return prints.select("_fp", F.array(*[F.bit_count(F.col("_fp").bitwiseXOR(F.lit(r))).cast("tinyint")
-                                          for r in references()]).alias("_far"))
+def distance_table(prints: DataFrame, bits: int) -> DataFrame:
+    """``_fp, _far, _place``: a row for each meeting place of a fingerprint, with its distances to the references.
 
-
-def _meeting_places(bits: int) -> Column:
-    """Array of keys, one per choice of four groups: the number of the choice and the pair counts of its groups."""
+    A place is one choice of four groups and the pair counts of these groups, written in base three.
+    """
     groups = [list(range(g, PAIRS, bits + 4)) for g in range(bits + 4)]
-    set_bits = [((F.get("_far", F.lit(0)) - F.get("_far", F.lit(i + 1)) + 2) / 2).cast("bigint") for i in range(PAIRS)]
-    digits = []
-    for group in groups:        # base three: a pair has 0, 1 or 2 bits set
-        value = F.lit(0).cast("bigint")
-        for i in group:
-            value = value * 3 + set_bits[i]
-        digits.append(value)
-    return F.array(*[F.xxhash64(F.lit(n), *[digits[g] for g in chosen])
-                     for n, chosen in enumerate(combinations(range(bits + 4), 4))])
+    choices, known = list(combinations(range(bits + 4), 4)), np.array(references(), np.int64).view(np.uint64)
+    base = 3 ** max(map(len, groups))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints_ = batch.column(0).to_numpy().view(np.uint64)
+            far = np.bitwise_count(prints_[:, None] ^ known).astype(np.int8)
+            set_bits = (far[:, :1].astype(np.int64) - far[:, 1:] + 2) // 2        # of each pair: 0, 1 or 2
+            digits = [sum(set_bits[:, i] * 3 ** k for k, i in enumerate(group)) for group in groups]
+            places = np.stack([((digits[a] * base + digits[b]) * base + digits[c]) * base + digits[d] + n * base ** 4
+                               for n, (a, b, c, d) in enumerate(choices)], axis=1)
+            rows = len(prints_) * len(choices)
+            each = np.repeat(np.arange(len(prints_)), len(choices))
+            flat = pa.array(far[each].reshape(-1))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(prints_[each].view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * far.shape[1], pa.int32()), flat),
+                pa.array(places.reshape(-1))], ["_fp", "_far", "_place"])
+
+    return prints.select("_fp").mapInArrow(run, "_fp long, _far array<tinyint>, _place long")
 
 
 def links(prints: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
     """``a, b``: enough links between different fingerprints to join all that are within ``bits`` of each other."""
     if not 1 <= bits <= 2:
         raise ValueError("bits must be 1 or 2")
-    table = distance_table(prints)
-    placed = stored(table.select("_fp", "_far", F.explode(_meeting_places(bits)).alias("_place")))
+    placed = stored(distance_table(prints, bits))
     sizes = placed.groupBy("_place").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     met = stored(placed.join(sizes, "_place"))
     few = met.where(F.col("_n") <= crowd).select("_place", "_fp", "_far")
