@@ -28,7 +28,7 @@ class Limits:
     word_words: int = 60           # fewer words than this: no comparison of words
     common: int = 40               # words of a language's reference
     common_chars: int = 5          # common words are short: longer ones are not counted
-    languages: int = 32            # references kept, those with most words: bounds what every task holds
+    languages: int = 32            # languages that the SQL statement looks at; the operator takes all of them
 
 
 def _repeat_words(words: str, hashes: str) -> Column:
@@ -126,8 +126,8 @@ def divergences(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id",
         "_plain", F.greatest(F.col("_chars") - sum((F.col(c) for c in classes[:-1]), F.lit(0)), F.lit(0)))
     sums = table.where(F.col("_lang").isNotNull()).groupBy("_lang").agg(
         F.sum("n_words").alias("_n"), *[F.sum(c).alias(c) for c in classes])
-    refs = sums.orderBy(F.desc("_n"), "_lang").limit(limits.languages).collect()
-    refs = [r for r in refs if r["_n"] > 0]
+    # every language has a reference: some 50 numbers each, however many documents it has
+    refs = [r for r in sums.orderBy(F.desc("_n"), "_lang").collect() if r["_n"] > 0]
     counted = table.withColumn("base_failed", base_failed())
     if not refs:
         empty = F.lit(None).cast("double")
@@ -135,34 +135,45 @@ def divergences(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id",
                               "n_repeat_words", "base_failed", empty.alias("char_distance"),
                               empty.alias("word_distance"), F.lit(True).alias("fits"))
 
-    share = {(r["_lang"], r["_word"]): r["_n"] for r in top}
-    chars = [[r[c] / sum(r[c] for c in classes) for c in classes] for r in refs]
-    words = {w: [share.get((r["_lang"], w), 0) / r["_n"] for r in refs] for w in vocabulary}
-    known = [sum(q[k] for q in words.values()) for k in range(len(refs))]
+    number = {r["_lang"]: k for k, r in enumerate(refs)}
+    holders: dict[str, list[tuple[int, float]]] = {w: [] for w in vocabulary}
+    known = [0.0] * len(refs)
+    for r in top:
+        k = number[r["_lang"]]
+        holders[r["_word"]].append((k, r["_n"] / refs[k]["_n"]))
+        known[k] += r["_n"] / refs[k]["_n"]
 
     def doubles(values: list[float]) -> Column:
         return F.array(*[F.lit(float(v)) for v in values])
 
+    each = F.array(*[F.struct(
+        F.lit(k).alias("k"), doubles([r[c] / sum(r[x] for x in classes) for c in classes]).alias("chars"),
+        F.lit(max(0.0, 1 - known[k])).alias("other"), F.lit(known[k]).alias("known")) for k, r in enumerate(refs)])
     total = sum((F.col(c) for c in classes), F.lit(0))
-    char_parts = [sum((_term(F.coalesce(F.try_divide(c, total), F.lit(0.0)), F.lit(float(q)))
-                       for c, q in zip(classes, ref)), F.lit(0.0)) for ref in chars]
-    lookup = F.create_map(*[x for w, q in words.items() for x in (F.lit(w), doubles(q))]) if words else None
-    shares = F.transform("_runs", lambda r: F.struct(
-        (r["n"] / F.col("n_words")).alias("p"), F.element_at(lookup, r["word"]).alias("q"))) if words else None
-
-    def word_part(k: int) -> Column:
-        seen = F.aggregate("_shares", F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q")),
-                           lambda a, s: F.struct((a["d"] + _term(s["p"], F.get(s["q"], F.lit(k)))).alias("d"),
-                                                 (a["p"] + s["p"]).alias("p"),
-                                                 (a["q"] + F.get(s["q"], F.lit(k))).alias("q")))
-        other, missing = F.lit(max(0.0, 1 - known[k])), F.lit(known[k])
-        return F.transform(F.array(seen), lambda a: a["d"] + _term(F.greatest(1 - a["p"], F.lit(0.0)), other)
-                           + F.greatest(missing - a["q"], F.lit(0.0)) / 2)[0]
-
-    measured = counted.withColumn("_shares", shares) if words else counted
-    measured = measured.withColumn("_d", F.array(*[F.struct(
-        F.sqrt(F.greatest(c, F.lit(0.0))).alias("c"),
-        (F.sqrt(F.greatest(word_part(k), F.lit(0.0))) if words else F.lit(0.0)).alias("w")) for k, c in enumerate(char_parts)]))
+    measured = counted.withColumns({f"_p{c}": F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0)) for c in classes})
+    zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"))
+    if vocabulary:
+        # a word adds half its share to the distance from a language that does not list it; entries correct that
+        lookup = F.create_map(*[x for w, held in holders.items() for x in (F.lit(w), F.array(*[
+            F.struct(F.lit(k).alias("k"), F.lit(q).alias("q")) for k, q in held]))])
+        entries = F.flatten(F.transform("_runs", lambda r: F.transform(F.element_at(lookup, r["word"]), lambda h: F.struct(
+            h["k"].alias("k"), h["q"].alias("q"),
+            (_term(r["n"] / F.col("n_words"), h["q"]) - r["n"] / F.col("n_words") / 2).alias("d")))))
+        seen = F.aggregate("_runs", F.lit(0.0), lambda a, r: a + r["n"] / F.col("n_words"))
+        measured = measured.withColumns({"_entries": entries, "_seen": seen})
+
+    def word_distance(ref: Column) -> Column:
+        if not vocabulary:
+            return F.lit(0.0)
+        own = F.aggregate("_entries", zero, lambda a, e: F.when(e["k"] == ref["k"], F.struct(
+            (a["d"] + e["d"]).alias("d"), (a["q"] + e["q"]).alias("q"))).otherwise(a))
+        return F.transform(F.array(own), lambda a: F.sqrt(F.greatest(
+            F.col("_seen") / 2 + a["d"] + _term(F.greatest(1 - F.col("_seen"), F.lit(0.0)), ref["other"])
+            + F.greatest(ref["known"] - a["q"], F.lit(0.0)) / 2, F.lit(0.0))))[0]
+
+    measured = measured.withColumn("_d", F.transform(each, lambda ref: F.struct(
+        F.sqrt(F.greatest(sum((_term(F.col(f"_p{c}"), F.get(ref["chars"], F.lit(j))) for j, c in enumerate(classes)),
+                              F.lit(0.0)), F.lit(0.0))).alias("c"), word_distance(ref).alias("w"))))
     by_char, by_word = F.col("n_words") >= limits.char_words, F.col("n_words") >= limits.word_words
 
     def fit(d: Column) -> Column:

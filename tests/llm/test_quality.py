@@ -73,3 +73,18 @@ def test_without_languages(odd):
 
     r = quality.judge(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert len(r) == len(TEXTS) and all(x.char_distance is None and x.kept == (not x.base_failed) for x in r)
+
+
+def test_every_language_has_a_reference(spark):
+    letters = "αβγδεζηθ"
+
+    def text(k, size):
+        words = ["".join(chr(ord(c) + 0) for c in (letters[i % 8], letters[i // 8], "abcdefghij"[k % 10])) for i in range(40)] \
+            if k == 40 else [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}{chr(97 + k % 26)}{chr(97 + k // 26)}" for i in range(40)]
+        return " ".join(words[(i * i + 3 * i) % 37] + ("" if i % 7 else str(i)) for i in range(size))
+
+    rows = [(f"{k}-{n}", text(k, 300 if k < 40 else 80), f"l{k:02}") for k in range(41) for n in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert got["40-0"].char_distance < 0.1           # by the references of 32 languages: far above 0.25
+    assert [(i, r.kept) for i, r in got.items() if r.kept == r.base_failed] == []
