@@ -88,3 +88,20 @@ def test_every_language_has_a_reference(spark):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     assert got["40-0"].char_distance < 0.1           # by the references of 32 languages: far above 0.25
     assert [(i, r.kept) for i, r in got.items() if r.kept == r.base_failed] == []
+
+
+def test_text_without_common_words_goes(spark, given):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    made = [(f"g{i}", " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+                               for _ in range(300)), None) for i in range(5)]
+    docs = given.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang").union(
+        spark.createDataFrame(made, "doc_id string, text string, lang string"))
+    got = quality.judge(docs).collect()
+    made_up = [r for r in got if r.doc_id.startswith("g")]
+    assert len(made_up) == 5 and not any(r.kept or r.base_failed for r in made_up)
+    clean = [r for r in got if not r.doc_id.startswith("g") and r.n_symbols == 0 and not r.base_failed]
+    assert len(clean) > 50 and all(r.kept for r in clean)
