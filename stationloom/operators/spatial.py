@@ -211,6 +211,8 @@ def pair_distances(points: DataFrame, references: DataFrame, k: int = 8, key: st
 
 
 def pair_distance_stats(pairs: DataFrame, column: str = "space", zero: float = 1e-6) -> DataFrame:
+    """Statistics of the pairs given. From ``pair_distances`` those are each point's nearest references only, so mean and
+    maximum are not those of the whole distance matrix."""
     d = F.col(column)
     return pairs.agg(F.count(d).alias("pairs"), F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"),
                      F.stddev_pop(d).alias("std"), F.avg(F.when(d < zero, 1.0).otherwise(0.0)).alias("zero_share"))
