@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import exact_dedup, language, mixing, pieces, quality, scoring, sharding, simhash, token_files, toxicity
+from stationloom.llm import centroids, exact_dedup, language, minhash, mixing, pieces, quality, scoring, sharding, simhash
+from stationloom.llm import token_files, toxicity, whitening
 from stationloom.llm.common import documents
 
 
@@ -54,6 +55,18 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_minhash_prints(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.edit_likeness(documents(spark, folder))
+
+
+def op12_whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{folder.rstrip('/')}/embeddings.parquet"))
+
+
+def op13_filtered_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{folder.rstrip('/')}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_divergence": op2_quality_divergence,
@@ -65,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attention_scores": op8_attention_scores,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
+    "op11_minhash_prints": op11_minhash_prints,
+    "op12_whitened_vectors": op12_whitened_vectors,
+    "op13_filtered_centroids": op13_filtered_centroids,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,7 +155,34 @@ def shards_sql(shards: int = 8) -> str:
             row_number() over (partition by shard order by m) - 1 as slot, cast(grown_shard as integer) as grown_shard from s"""
 
 
+def centroids_sql(rounds: int = centroids.ROUNDS) -> str:
+    """``centroids.cluster`` with its fixed settings: every vector against every centroid, in integers."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f"""
+        a{r} as (select vec_id, any_value(v) as v, min(d * {centroids.CLUSTERS} + k) as best from (
+            select t.vec_id, t.v, c.k, list_sum(list_transform(range(1, 65), lambda i: (t.v[i] - c.v[i]) * (t.v[i] - c.v[i])))::bigint as d
+            from kept t, c{r} c) group by vec_id),"""
+        if r < rounds:
+            steps += f"""
+        c{r + 1} as (select c.k, coalesce(m.v, c.v) as v from c{r} c left join (
+            select k, list(({floor})::bigint order by i) as v from (
+                select best % {centroids.CLUSTERS} as k, i, sum(v[i])::bigint as s, count(*) as n
+                from a{r}, unnest(range(1, 65)) g(i) group by all) group by k) m using (k)),"""
+    return f"""
+        with kept as (select vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::double)::bigint) as v
+            from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+        c0 as (select row_number() over (order by sha256('1:' || vec_id)) - 1 as k, v from kept
+            qualify k < {centroids.CLUSTERS}),{steps}
+        f as (select vec_id, best % {centroids.CLUSTERS} as k, best // {centroids.CLUSTERS} as distance from a{rounds})
+        select vec_id, k::integer as cluster, distance, (sum(distance) over (partition by k))::bigint as cluster_inertia,
+            (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+        from f join c{rounds} c using (k)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_filtered_centroids": centroids_sql(),
     "op2_quality_divergence": quality_sql(),
     "op6_rendezvous_shards": shards_sql(),
     "op9_exact_dedup": f"""
