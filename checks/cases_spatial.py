@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import Views, case, rounded
-from stationloom.operators import spatial
+from stationloom.operators import spatial, ward
 
 KNN = """with e as (select * from (select a.num as id, b.num as neighbor, a.altitude as za, b.altitude as zb,
     sqrt((a.lon - b.lon)*(a.lon - b.lon) + (a.lat - b.lat)*(a.lat - b.lat)) as d,
@@ -91,17 +91,41 @@ def _(v: Views):
     return rounded(spatial.pair_distances(_timed(v), _refs(v), 8), 6, "space", "time")
 
 
-@case("pair_distance_stats", f"""select count(*) as pairs, round(min(space), 6) as min, round(max(space), 6) as max, round(avg(space), 6) as mean,
-    round(stddev_pop(space), 6) as std, avg(case when space < 1e-6 then 1.0::double else 0 end) as zero_share from {NEAR_REFS} where rn <= 8""")
+@case("pair_distance_stats", f"""select count(*) as pairs, round(min(d), 6) as min, round(max(d), 6) as max, round(avg(d), 6) as mean,
+    round(stddev_pop(d), 6) as std, round(avg(case when d < 1e-6 then 1.0::double else 0 end), 9) as zero_share, 0.0::double as mean_error
+    from (select sqrt((s.lon - r.lon)*(s.lon - r.lon) + (s.lat - r.lat)*(s.lat - r.lat)) as d from station s, station r)""")
 def _(v: Views):
-    return rounded(spatial.pair_distance_stats(spatial.pair_distances(_timed(v), _refs(v), 8)), 6, "min", "max", "mean", "std")
+    places = v.station.select(F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return rounded(rounded(spatial.pair_distance_stats(places, places), 6, "min", "max", "mean", "std"), 9, "zero_share")
+
+
+@case("pair_time_stats", f"""select count(*) as pairs, round(min(d), 6) as min, round(max(d), 6) as max, round(avg(d), 6) as mean,
+    round(stddev_pop(d), 6) as std, round(avg(case when d < 1e-6 then 1.0::double else 0 end), 9) as zero_share
+    from (select abs(s.altitude - r.t) as d from station s, {REFS} r)""")
+def _(v: Views):
+    out = spatial.pair_distance_stats(_timed(v), _refs(v), ["t"]).drop("mean_error")
+    return rounded(rounded(out, 6, "min", "max", "mean", "std"), 9, "zero_share")
 
 
 @case("feature_distance", f"""with c as (select var_samp(lon) a, covar_samp(lon, lat) b, var_samp(lat) d from station),
-    p as (select s.num as id, r.id as ref, s.lon - r.x as u, s.lat - r.y as w from station s, {REFS} r)
-    select id, ref, round(sqrt((d*u*u - 2*b*u*w + a*w*w)/(a*d - b*b)), 6) as distance from p, c""")
+    p as (select s.num as id, r.id as ref, s.lon - r.x as u, s.lat - r.y as w from station s, {REFS} r),
+    f as (select id, ref, sqrt((d*u*u - 2*b*u*w + a*w*w)/(a*d - b*b)) as distance from p, c)
+    select id, ref, round(distance, 6) as distance from f qualify row_number() over (partition by id order by distance, ref) <= 8""")
 def _(v: Views):
-    return rounded(spatial.mahalanobis(_timed(v), _refs(v), ["x", "y"]), 6, "distance")
+    return rounded(spatial.mahalanobis(_timed(v), _refs(v), ["x", "y"], 8), 6, "distance")
+
+
+@case("feature_neighbours", """with f as (select num, lon, lat, altitude from station),
+    c as (select var_samp(lon) aa, covar_samp(lon, lat) ab, covar_samp(lon, altitude) ac, var_samp(lat) bb, covar_samp(lat, altitude) bc,
+        var_samp(altitude) cc from f),
+    d as (select *, aa*(bb*cc - bc*bc) - ab*(ab*cc - bc*ac) + ac*(ab*bc - bb*ac) as det from c),
+    p as (select s.num as id, r.num as ref, s.lon - r.lon as u, s.lat - r.lat as v, s.altitude - r.altitude as w from f s, f r),
+    e as (select id, ref, sqrt(((bb*cc - bc*bc)*u*u + (aa*cc - ac*ac)*v*v + (aa*bb - ab*ab)*w*w + 2*(ac*bc - ab*cc)*u*v
+        + 2*(ab*bc - ac*bb)*u*w + 2*(ab*ac - aa*bc)*v*w)/det) as distance from p, d)
+    select id, ref, round(distance, 6) as distance from e qualify row_number() over (partition by id order by distance, ref) <= 5""")
+def _(v: Views):
+    rows = v.station.select(F.col("num").alias("id"), "lon", "lat", "altitude")
+    return rounded(spatial.mahalanobis(rows, rows, ["lon", "lat", "altitude"], 5), 6, "distance")
 
 
 DBSCAN = """with recursive m as (select avg(lon) a1, stddev_pop(lon) s1, avg(lat) a2, stddev_pop(lat) s2, avg(altitude) a3, stddev_pop(altitude) s3 from station),
@@ -121,11 +145,19 @@ def _(v: Views):
     return spatial.dbscan(v.station.select("num", "lon", "lat", "altitude"), ["lon", "lat", "altitude"], 0.12, 4, "num")
 
 
-@case("coef_clusters", """select station_id, true as in_range, cast(4 as bigint) as clusters from
-    (select station_id from obs group by 1 having avg(swe) is not null)""")
+@case("coef_clusters", """select station_id, dense_rank() over (order by first) - 1 as cluster
+    from (select station_id, min(station_id) over (partition by landuse_code % 4) as first from station)""")
+def _(v: Views):
+    # four bands of stations, each a spread-out line: wider along itself than the bands are apart from one another
+    band = (F.col("landuse_code") % 4).cast("double")
+    means = v.station.select("station_id", (band * 40 + F.col("num") % 7).alias("coef_a"),
+                             (band * band * 30 + F.col("num") % 11).alias("coef_b"))
+    return ward.ward_clusters(means, ["coef_a", "coef_b"], 4, "station_id")
+
+
+@case("ward_costs", """select count(distinct lon || ',' || lat) - 1 as merges, round(count(*)*(var_pop(lon) + var_pop(lat)), 4) as total from station""")
 def _(v: Views):
-    means = v.obs.groupBy("station_id").agg(F.avg("swe").alias("coef_a"), F.avg("ord").alias("coef_b"))
-    found = spatial.cluster_coefficients(means, ["coef_a", "coef_b"], 4)
-    # what SQL can know of a clustering: every station is in one of the clusters, and none of them is empty
-    used = found.agg(F.count_distinct("cluster")).scalar()
-    return found.select("station_id", F.col("cluster").between(0, 3).alias("in_range"), used.alias("clusters"))
+    # all merges together cost the squared error around the common mean
+    places = v.station.groupBy(F.array("lon", "lat").alias("_w")).agg(F.min("num").alias("node"), F.count(F.lit(1)).alias("_n"))
+    tree = ward.merges(places, 2, finish=100)
+    return rounded(tree.agg(F.count(F.lit(1)).alias("merges"), F.sum("height").alias("total")), 4, "total")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationloom.functions import geo
-from stationloom.operators import tiles as tiling
+from stationloom.operators import cells as cellular
 from stationloom.sources.spec import GridSpec
 
 KM_PER_DEGREE = math.pi * geo.EARTH_KM / 180
@@ -55,7 +55,7 @@ def sample_yearly(stations: DataFrame, years: Sequence[int], cells: DataFrame, g
 
 
 def nearest_cells(points: DataFrame, cells: DataFrame, cap_km: float = 50.0, lon: str = "longitude",
-                  lat: str = "latitude", cell: str = "cell_id", target: int = tiling.TARGET) -> DataFrame:
+                  lat: str = "latitude", cell: str = "cell_id", target: int = cellular.TARGET) -> DataFrame:
     """Nearest cell of each distinct point by squared degrees, kept when the great circle is under the cap.
 
     A cell within ``cap_km`` lies inside a known circle in degrees, so points search that circle only; a
@@ -64,22 +64,19 @@ def nearest_cells(points: DataFrame, cells: DataFrame, cap_km: float = 50.0, lon
     half = F.lit(cap_km / KM_PER_DEGREE)
     ratio = F.sin(F.radians(half)) / F.cos(F.radians(lat))
     wide = F.when(ratio.between(0, 1), F.degrees(F.asin(ratio))).otherwise(F.lit(180.0))
-    spots = points.select(lon, lat).dropna().distinct()
-    queries = spots.select(
-        F.concat_ws("|", F.col(lon).cast("string"), F.col(lat).cast("string")).alias("qid"),
-        F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"),
-        (F.sqrt(half * half + wide * wide) * 1.000001).alias("_r"))
+    place = cellular.vector(lon, lat)
+    queries = points.select(lon, lat).dropna().distinct().select(
+        place.alias("_w"), (F.sqrt(half * half + wide * wide) * 1.000001).alias("_r"))
     # cells at one position are one candidate: the smallest id
-    centres = cells.select(F.col(cell).alias("did"), F.col(lon).cast("double").alias("x"),
-                           F.col(lat).cast("double").alias("y")).groupBy("x", "y").agg(F.min("did").alias("did"))
-    found = tiling.nearest(queries, centres, 1, tiling.fit_tiles(centres, target), first_radius=True)
+    centres = cells.dropna(subset=[lon, lat]).groupBy(place.alias("_w")).agg(F.min(cell).alias("did"))
+    found = cellular.nearest_within(queries.withColumn("qid", F.col("_w")), centres, 1,
+                                    cellular.fit_cells(centres, 2, target))
     matched = found.where(F.size("near") > 0).select("qid", F.col("near")[0]["id"].alias("did"))
-    at = centres.select("did", F.col("x").alias("matched_lon"), F.col("y").alias("matched_lat"))
-    joined = queries.select("qid", "x", "y").join(matched, "qid").join(at, "did")
-    return joined.select(
-        F.col("x").alias(lon), F.col("y").alias(lat), F.col("did").alias(cell), "matched_lon", "matched_lat",
-        geo.haversine_km(F.col("y"), F.col("x"), F.col("matched_lat"), F.col("matched_lon")).alias("distance_km"),
-    ).where(F.col("distance_km") < cap_km)
+    joined = matched.join(centres, "did")
+    at = {lon: F.col("qid")[0], lat: F.col("qid")[1], "matched_lon": F.col("_w")[0], "matched_lat": F.col("_w")[1]}
+    return joined.select(*[c.alias(n) for n, c in at.items()], F.col("did").alias(cell)).withColumn(
+        "distance_km", geo.haversine_km(F.col(lat), F.col(lon), F.col("matched_lat"), F.col("matched_lon"))).where(
+        F.col("distance_km") < cap_km).select(lon, lat, cell, "matched_lon", "matched_lat", "distance_km")
 
 
 def sample_nearest(points: DataFrame, cells: DataFrame, values: DataFrame, cap_km: float = 50.0,

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stationloom.operators import sampling, spatial, tiles
+from stationloom.operators import cells, sampling, spatial
 from stationloom.operators.evaluate import correlation_p
 
 
@@ -43,9 +43,10 @@ def test_knn_with_fewer_points_than_k(spark):
     assert got == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
 
 
-def test_busy_tiles_are_split(points, monkeypatch):
+def test_busy_cells_are_split_on_both_sides(points, monkeypatch):
     df, pdf = points
-    monkeypatch.setattr(tiles, "QUERY_CAP", 7)
+    monkeypatch.setattr(cells, "ASKED", 7)
+    monkeypatch.setattr(cells, "HELD", 11)
     got = spatial.knn(df, 3, target=30).toPandas()
     want = np.sort(np.where(np.eye(len(pdf)) > 0, np.inf, distances(pdf)), axis=1)[:, :3]
     assert np.allclose(got.sort_values(["id", "rank"]).distance.to_numpy().reshape(-1, 3), want)
@@ -134,10 +135,75 @@ def test_nearest_cells_equal_brute_force(spark):
         assert found.get((p.longitude, p.latitude)) == (i if inside else None)
 
 
-def test_feature_references_are_guarded(points):
-    df, _ = points
-    with pytest.raises(ValueError):
-        spatial.mahalanobis(df, df, ["x", "y"], limit=10)
+def test_cells_on_a_line_are_as_many_as_on_a_square(spark):
+    r = np.random.default_rng(1)
+    for xy in (np.c_[np.full(3000, 80.0), r.uniform(20, 50, 3000)], r.uniform(0, 1, (3000, 2))):
+        data = spark.createDataFrame(pd.DataFrame(xy, columns=["x", "y"])).select(cells.vector("x", "y").alias("_w"))
+        found = cells.fit_cells(data, 2, 30)
+        assert len(found.counts) == 128 and found.counts.sum() == 3000 and found.counts.max() < 60 and found.counts.min() > 8
+        coords = found.project(xy)
+        at, leaf = found.visit(coords, np.full(3000, 0.5))
+        own = found.locate(coords, np.array([t["t"] for t in data.select(F.xxhash64("_w").alias("t")).collect()]))
+        inside = found.bound(coords, own + len(found.counts) - 1)
+        assert (inside == 0).all() and set(zip(range(3000), own)) <= set(zip(at.tolist(), leaf.tolist()))
+
+
+def test_equal_cuts_are_told_apart(spark):
+    # every pivot distance is the same for many vectors: corners of a cube
+    corners = np.array([[i >> b & 1 for b in range(10)] for i in range(1024)], float)
+    data = spark.createDataFrame([(c.tolist(),) for c in corners], "_w array<double>")
+    for pivots in (0, 4):
+        assert cells.fit_cells(data, 10, 32, pivots).counts.max() <= 48
+
+
+@pytest.mark.parametrize("p, target", [(2, 25), (8, 25), (8, 2000)])
+def test_feature_neighbours_equal_brute_force(spark, p, target):
+    r = np.random.default_rng(p)
+    base = r.normal(size=(260, p)) @ r.normal(size=(p, p))
+    base[100:140] = base[7]                        # many references at one place
+    names = [f"f{i}" for i in range(p)]
+    pdf = pd.DataFrame(base, columns=names)
+    pdf["id"] = [f"r{i:03d}" for i in range(len(pdf))]
+    df = spark.createDataFrame(pdf)
+    odd = df.limit(3).withColumn("f0", F.when(F.col("id") == "r001", float("nan"))).withColumn("id", F.concat(F.lit("odd"), "id"))
+    inverse = np.linalg.pinv(np.cov(base.T))
+    diff = base[:, None] - base
+    want = np.sqrt(np.maximum(np.einsum("ijk,kl,ijl->ij", diff, inverse, diff), 0))
+    got = spatial.mahalanobis(df.unionByName(odd), df.unionByName(odd), names, 6, train=df, target=target).toPandas()
+    assert len(got) == 6 * len(pdf)
+    for i, part in got.groupby("id"):
+        row = want[int(i[1:])]
+        best = np.lexsort((np.arange(len(row)), np.round(row, 9)))[:6]
+        found = sorted(zip(part.distance.round(9), part.ref))
+        assert np.allclose([d for d, _ in found], np.sort(row)[:6], atol=1e-8)
+        assert {x for d, x in found if d < row[best[-1]] - 1e-6} == {f"r{j:03d}" for j in best if row[j] < row[best[-1]] - 1e-6}
+
+
+@pytest.mark.parametrize("columns", [("x", "y"), ("v",), ("x", "y", "v")])
+def test_pair_statistics_of_the_whole_matrix(points, columns):
+    df, pdf = points
+    a = pdf[list(columns)].to_numpy()
+    b = a[::3] + 0.25
+    refs = df.where("id % 3 = 0").select(*[(F.col(c) + 0.25).alias(c) for c in columns])
+    for one, two, d in ((df, df, np.sqrt(((a[:, None] - a) ** 2).sum(-1))), (df, refs, np.sqrt(((a[:, None] - b) ** 2).sum(-1)))):
+        for target, tolerance in ((2000, 0.01), (12, 0.05), (12, 0.0)):
+            row = spatial.pair_distance_stats(one, two, columns, tolerance=tolerance, target=target).first()
+            assert row["pairs"] == d.size and row["min"] == pytest.approx(d.min(), abs=1e-12)
+            assert row["max"] == pytest.approx(d.max()) and row["zero_share"] == pytest.approx((d < 1e-6).mean())
+            assert abs(row["mean"] - d.mean()) <= row["mean_error"] + 1e-9 and row["mean_error"] <= tolerance * d.mean() * 1.5
+            if row["mean_error"] == 0:
+                assert row["std"] == pytest.approx(d.std())
+    assert spatial.pair_distance_stats(df.limit(0), df, columns).first()["pairs"] == 0
+
+
+def test_far_cells_are_not_compared(spark):
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame(r.uniform(0, 1, (4000, 2)), columns=["x", "y"])).select(
+        cells.vector("x", "y").alias("_w"), F.lit(1).alias("_n"))
+    found = cells.fit_cells(df, 2, 40)
+    own = cells.summary(df, found, np.zeros(2))
+    plan = cells.plan_pairs(own, own, 0.05, 1e-6)
+    assert len(plan.near) < 0.4 * len(found.counts) ** 2 and len(plan.looked) < 200 and plan.far_error > 0
 
 
 def test_pair_distances(points):
