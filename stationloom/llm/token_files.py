@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stationloom.llm.common import slices, stored, worker_memo
 
-CHUNK_BYTES = 4_000_000        # text handled at once by a task
+CHUNK_BYTES = 16_000_000       # text handled at once by a task
 BLOCK_TOKENS = 500_000         # ids of a block; a longer document is a block of its own
 CACHED_WORDS = 600_000         # words whose ids a worker remembers
 #: How the vocabulary file splits a text.
@@ -81,11 +81,14 @@ class WordEncoder:
                 return pieces[piece] if own is None else own
         return [find(ps[0]) if len(ps) == 1 else b"".join(map(find, ps)) for ps in split]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)
-                 if any(s in t for s in self.special)}
-        lists = pc.ascii_split_whitespace(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.string()))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = np.zeros(len(texts), bool)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        whole = {i: self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(odd).tolist()}
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", texts) if whole else texts)
         coded = lists.flatten().dictionary_encode()
         words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         values = list(map(self.words.get, words))
@@ -115,24 +118,32 @@ class WordEncoder:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_key, _ids``: the ids of every whole text (NULL: empty) with the end id, as packed integers. Written once."""
+    """``_key, _ids, _counts``: the ids of every whole text (NULL: empty) with the end id, as packed integers. Written once.
+
+    The last row of a task has no ids; it holds how often each id occurs in the task.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_memo(f"word-encoder {tokenizer}", lambda: WordEncoder(tokenizer))
-        width = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
-        end = np.array([end_id], width).tobytes()
+        vocabulary = max(encoder.size, end_id + 1)
+        width = _width(vocabulary)
+        end, total, kind_of = np.array([end_id], width).tobytes(), np.zeros(vocabulary, np.int64), None
         for batch in batches:
-            texts, keys = batch.column(1), batch.column(0)
-            sizes = [len(v) if v is not None else 0 for v in texts.cast(pa.large_binary()).to_pylist()]
-            for start, stop in slices(sizes, CHUNK_BYTES):
-                ids, counts = encoder.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()])
+            texts, keys, kind_of = batch.column(1).fill_null(""), batch.column(0), batch.column(0).type
+            for start, stop in slices(pc.binary_length(texts).to_pylist(), CHUNK_BYTES):
+                ids, counts = encoder.encode(texts.slice(start, stop - start))
+                total += np.bincount(ids, minlength=vocabulary)
+                total[end_id] += len(counts)
                 packed, bounds = ids.astype(width).tobytes(), np.cumsum(counts) * len(end)
                 ids = [packed[b - n * len(end):b] + end for b, n in zip(bounds.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([keys.slice(start, stop - start), pa.array(ids, pa.binary())],
-                                                 ["_key", "_ids"])
+                yield pa.RecordBatch.from_arrays([keys.slice(start, stop - start), pa.array(ids, pa.binary()),
+                                                  pa.nulls(len(ids), pa.binary())], ["_key", "_ids", "_counts"])
+        if kind_of is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind_of), pa.nulls(1, pa.binary()), pa.array([total.tobytes()])],
+                                             ["_key", "_ids", "_counts"])
 
     kind = dict(docs.dtypes)[key]
-    return stored(docs.select(key, text).mapInArrow(encode, f"_key {kind}, _ids binary"), codec="zstd")
+    return stored(docs.select(key, text).mapInArrow(encode, f"_key {kind}, _ids binary, _counts binary"), codec="zstd")
 
 
 def _width(vocabulary: int) -> str:
@@ -140,19 +151,19 @@ def _width(vocabulary: int) -> str:
 
 
 def frequency_order(table: DataFrame, vocabulary: int) -> np.ndarray:
-    """All ids of the vocabulary, the commonest first, ties by id. Tasks send one count per id, never the ids."""
-    width = _width(vocabulary)
+    """All ids of the vocabulary, the commonest first, ties by id. Only the counts of the tasks are read, never the ids."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for packed in batch.column(0):
-                total += np.bincount(np.frombuffer(packed.as_py(), width), minlength=vocabulary)
+                total += np.frombuffer(packed.as_py(), np.int64)
         found = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], ["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for row in table.select("_ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    parts = table.where(F.col("_counts").isNotNull()).select("_counts")
+    for row in parts.mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[row[0]] = row[1]
     return np.argsort(-counts, kind="stable").astype(np.uint32)
 
@@ -208,7 +219,7 @@ def write_files(table: DataFrame, order: np.ndarray, block_tokens: int = BLOCK_T
                     "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
                 number += 1
 
-    tied = table.withColumn("_tie", F.xxhash64("_ids"))
+    tied = table.where(F.col("_ids").isNotNull()).withColumn("_tie", F.xxhash64("_ids"))
     ordered = tied.repartitionByRange("_key", "_tie").sortWithinPartitions("_key", "_tie").select("_key", "_ids")
     return stored(ordered.mapInArrow(blocks, schema), codec="zstd")
 
