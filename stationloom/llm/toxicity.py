@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ EDGE = ".,;:!?\"'()[]"
 
 @dataclass(frozen=True)
 class Settings:
-    train_docs: int = 20_000       # expected labelled documents in the log-odds, and at most as many in the fit
+    train_docs: int = 20_000       # expected labelled documents of each class in the log-odds, and again in the fit
     prior: float = 0.01            # weight of the Dirichlet prior as a share of the training texts
     significance: float = 5.0      # likelihood ratio a token needs beyond what the number of tokens explains
     tokens: int = 50_000           # tokens kept, the most significant first
@@ -91,9 +91,14 @@ def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(f), int(t), float(b - a)) for f, t, a, b in found]
 
 
+def _words(texts: pa.Array) -> pa.ListArray:
+    """Lower-cased words between white space of any kind, for training and scanning alike."""
+    return pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+
+
 def _tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different words, the place of each word among them, and the bounds of the texts."""
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    lists = _words(texts)
     coded = lists.flatten().dictionary_encode()
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
@@ -114,12 +119,13 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int]]:
                       CHUNK_BYTES)
 
 
-def log_odds(counts: pd.DataFrame, toxic_texts: int, clean_texts: int, settings: Settings) -> dict[str, float]:
+def log_odds(counts: pd.DataFrame, toxic_texts: int, clean_texts: int, settings: Settings,
+             tried: int | None = None) -> dict[str, float]:
     """Log-odds of the tokens that toxic texts hold significantly more often. ``counts``: ``token, toxic, clean``,
     the numbers of different texts with the token.
 
     The prior of a token follows its share of all texts. A likelihood ratio decides what is significant; its bound
-    rises with the number of tokens tried.
+    rises with the number of tokens ``tried``, those of ``counts`` unless told.
     """
     toxic, clean = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
     everything = toxic_texts + clean_texts
@@ -132,7 +138,7 @@ def log_odds(counts: pd.DataFrame, toxic_texts: int, clean_texts: int, settings:
         ratio = 2 * (np.where(toxic > 0, toxic * np.log(toxic / ((toxic + clean) * even)), 0)
                      + np.where(clean > 0, clean * np.log(clean / ((toxic + clean) * (1 - even))), 0))
     table = pd.DataFrame({"token": counts["token"], "odds": odds, "ratio": ratio})
-    bound = 2 * np.log(max(len(table), 1)) + settings.significance
+    bound = 2 * np.log(max(tried or len(table), 1)) + settings.significance
     table = table[(ratio > bound) & (odds > settings.drift)].sort_values(["ratio", "token"], ascending=[False, True])
     return dict(zip(table["token"].head(settings.tokens), table["odds"].head(settings.tokens)))
 
@@ -142,11 +148,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     """Fold 0 gives the log-odds, fold 2 the chance law and the logistic fit; None if a class is missing."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         (F.max(label) > 0).cast("int").alias("_label")).withColumn("_fold", crc_class(key, 3)).where("_fold <> 1")
-    size = known.count()
+    size = {row[0]: row[1] for row in known.groupBy("_label").count().collect()}
     if not size:
         return None
+    # rare toxic texts are all taken while their number allows it; the fit allows for the classes' shares
+    share = {label_: min(1.0, 2.0 * settings.train_docs / n) for label_, n in size.items()}
     u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(7)), 11).cast("double") * 2.0 ** -53
-    picked = known.where(u < 2.0 * settings.train_docs / size).withColumnRenamed(key, "_id")
+    picked = known.where(u < F.when(F.col("_label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))).withColumnRenamed(
+        key, "_id")
     # the sample is bounded by train_docs, whatever the size of the tables
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     sample = stored(texts.join(F.broadcast(picked), F.col("_key") == F.col("_id")).select("_text", "_label", "_fold"))
@@ -154,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen, texts = {0: Counter(), 1: Counter()}, [0, 0]
-            for text_, label_ in zip(batch["_text"], batch["_label"]):
-                words = {x.strip(EDGE) for x in text_.lower().split()} - {""}
+            for listed, label_ in zip(_words(pa.array(batch["_text"], pa.string())).to_pylist(), batch["_label"]):
+                words = {x.strip(EDGE) for x in listed} - {""}
                 seen[int(label_)].update(words | {w[:settings.start] + "*" for w in words if len(w) > settings.start})
                 texts[int(label_)] += 1
             tokens = sorted(seen[0].keys() | seen[1].keys())
@@ -169,10 +178,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     sizes = counted.where("token = ''").first()
     if sizes is None or not sizes["toxic"] or not sizes["clean"]:
         return None
-    # a token of one or two toxic texts cannot be significant
-    shared = counted.where("token <> '' and toxic >= 3").orderBy(F.desc("toxic"), "token").limit(
-        20 * settings.tokens).toPandas()
-    weights = log_odds(shared, sizes["toxic"], sizes["clean"], settings)
+    tokens = counted.where("token <> '' and toxic > 0")
+    tried, even = tokens.count(), sizes["toxic"] / (sizes["toxic"] + sizes["clean"])
+    both = F.col("toxic") + F.col("clean")
+    ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * even)) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - even)))).otherwise(0.0))
+    # only tokens that may be significant reach the driver, the most significant first
+    bound = 2 * float(np.log(max(tried, 1))) + settings.significance
+    shared = tokens.withColumn("_ratio", ratio).where((F.col("_ratio") > bound - 1e-6) & (
+        F.col("toxic") > both * even)).orderBy(F.desc("_ratio"), "token").limit(2 * settings.tokens).toPandas()
+    weights = log_odds(shared, sizes["toxic"], sizes["clean"], settings, tried)
     model = Model(weights, settings.drift, settings.start)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,13 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
 
     seen = sample.where("_fold = 2").select("_text", "_label").mapInArrow(
         measure, "_label int, n long, scores array<double>").toPandas()
-    return _calibrate(model, seen)
+    fitted = _calibrate(model, seen)
+    # the odds of the sample hold more toxic texts than those of the table where only the clean ones were thinned
+    return replace(fitted, offset=fitted.offset - float(np.log(share.get(1, 1.0) / share.get(0, 1.0))))
 
 
 def _calibrate(model: Model, seen: pd.DataFrame) -> Model:
     """Chance law from clean documents, then a logistic fit of the labels on the evidence."""
-    from dataclasses import replace
-
     clean = seen[seen["_label"] == 0]
     scores = np.concatenate([np.zeros(0), *[np.asarray(s) for s in clean["scores"]]])
     # exponential tail of chance scores, kept proper by one pseudo-segment per unit of score

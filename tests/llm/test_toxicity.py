@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from odd_rows import TEXTS
@@ -76,3 +77,23 @@ def test_odd_rows(odd, empty, spark):
     assert toxicity.rate(empty, labels).count() == 0
     none = toxicity.rate(odd, labels.limit(0)).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
+
+
+def test_any_white_space_parts_words(spark):
+    docs, labels = fixture(spark)
+    model = toxicity.train(docs, labels)
+    odd = docs.withColumn("text", F.translate("text", " ", "\u00a0"))
+    scores = [{r.doc_id: r.score for r in toxicity.find_passages(d, model).collect()} for d in (docs, odd)]
+    assert scores[0] == scores[1]
+    assert {r.doc_id: r.predicted for r in toxicity.rate(odd, labels).collect()} == {
+        r.doc_id: r.predicted for r in toxicity.rate(docs, labels).collect()}
+
+
+def test_tokens_of_two_toxic_texts_count_where_these_are_rare(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    toxic = [i for i in range(6000, 6100) if fold(i) == 0][:2] + [i for i in range(6000, 6100) if fold(i) == 2][:2]
+    rows = [(i, f"plain words about house number {i}") for i in range(6000)]
+    rows += [(i, f"plain words with vilest thing number {i}") for i in toxic]
+    labels = spark.createDataFrame([(i, int(i >= 6000)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, toxicity.Settings(train_docs=1000))
+    assert "vilest" in model.weights and "words" not in model.weights
