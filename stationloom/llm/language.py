@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -182,16 +183,21 @@ def train(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
           lang: str = "lang") -> tuple[Models, dict] | None:
     """Models from fold 0 and their calibration from fold 2; None if nothing can be learned.
 
+    A language whose documents are all in fold 2 is learned from these and not calibrated.
     Counting is distributed and counts are summed before they reach the driver, where the bounded sample leaves at
     most ``grams`` rows for each language.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    per_lang = usable.where(crc_class(key, 3) == 0).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(
-        settings.languages).collect()
-    shares = {r[0]: min(1.0, settings.train_docs / r[1]) for r in per_lang}
+    fold = crc_class(key, 3)
+    per_lang = usable.where(fold != 1).groupBy(lang).agg(F.count_if(fold == 0).alias("first"), F.count(F.lit(1)).alias(
+        "all")).orderBy(F.desc("all"), lang).limit(settings.languages).collect()
+    early = {r[0]: min(1.0, settings.train_docs / r["first"]) for r in per_lang if r["first"]}
+    late = {r[0]: min(1.0, settings.train_docs / r["all"]) for r in per_lang if not r["first"]}
+    shares = {**early, **late}
     if not shares:
         return None
-    counted = stored(_sample(docs, shares, 0, key, text, lang).mapInPandas(
+    rows = [_sample(docs, part, of, key, text, lang) for part, of in ((early, 0), (late, 2)) if part]
+    counted = stored(reduce(DataFrame.unionByName, rows).mapInPandas(
         _count, "_lang string, _key long, _n long").groupBy("_lang", "_key").agg(F.sum("_n").alias("_n")))
     tables, names = [], []
     for name in sorted(shares):
@@ -214,7 +220,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
                 n, bits = models.entropies(batch["_text"].iloc[start:stop].tolist(), letters)
                 yield pd.DataFrame({"_lang": batch["_lang"].iloc[start:stop].to_numpy(), "_n": n, "_bits": list(bits)})
 
-    seen = _sample(docs, {k: v for k, v in shares.items() if k in names}, 2, key, text, lang).mapInPandas(
+    seen = _sample(docs, {k: v for k, v in early.items() if k in names} or shares, 2, key, text, lang).mapInPandas(
         measure, "_lang string, _n long, _bits array<double>").where("_n > 0").toPandas()
     return models, _calibrate(seen, names)
 

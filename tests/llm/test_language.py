@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -85,3 +86,19 @@ def test_labels_of_held_out_rows_are_not_read(given):
     def view(df):
         return sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.identify(df).collect())
     assert view(given) == view(other)
+
+
+def test_language_of_one_fold_only(spark):
+    def fold(i):
+        return zlib.crc32(str(i).encode()) % 3
+
+    rng = random.Random(2)
+    words = {"aa": ["river", "house", "green", "stone", "water"], "bb": ["fluss", "haus", "stein", "wasser", "baum"],
+             "cc": ["joki", "talo", "kivi", "vesi", "puuta"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(20)), lang) for i in range(900) for lang in [("aa", "bb", "cc")[i // 300]]
+            if lang != "cc" or fold(i) != 0]
+    found = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {i: lang for i, _, lang in rows}
+    held = [r for r in found if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
+    assert {r.lang_pred for r in held} == {"aa", "bb", "cc"}
