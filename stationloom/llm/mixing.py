@@ -142,7 +142,12 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, limit: float = LIMIT,
         key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents themselves, each as many times as the plan says, with their columns as they are."""
+    """The documents themselves, each as many times as the plan says, with their columns as they are.
+
+    NULL and empty texts have no words and are never taken; NULL keys and sources are values like others. Repeated rows
+    are rows of their own, and of rows equal in key, source and size a hash of the text settles which gets which
+    copies. An empty table gives no rows.
+    """
     plan = stored(copy_counts(stored(word_sizes(docs, key, text, source)), weights, share, limit))
     lists = plan.groupBy(F.struct("_key", "source", "size").alias("_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_k", "copies"))), lambda c: c["copies"]).alias("_copies"))
