@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import Views, case, rounded
-from stationloom.operators import evaluate, features, models
+from stationloom.operators import boost, evaluate, features, models
 from stationloom.plans import evaluation
 
 
@@ -42,6 +42,19 @@ def _(v: Views):
     return _beats_constant(_by_fold(models.group_k_fold(_frame(v), FEATURES, "swe", "station_id", 5)))
 
 
+# The next two return what the trees say. SQL cannot grow them: tests/test_boost.py compares with refits, one per group.
+@case("boosted_cv_metrics")
+def _(v: Views):
+    found, _ = boost.boosted_cross_validation(_frame(v), FEATURES, "swe", "year", trees=4, depth=3)
+    return rounded(models.cross_validation_report(found)["folds"].select("fold", "n", "mae", "rmse", "r"), 6, "mae", "rmse", "r")
+
+
+@case("boosted_importance")
+def _(v: Views):
+    _, importance = boost.boosted_cross_validation(_frame(v), FEATURES, "swe", "landuse_code", trees=4, depth=3)
+    return rounded(importance, 6, "importance")
+
+
 HASH_TEST = """(select *, row_number() over (order by md5(cast(ord as varchar)), ord) <= floor(count(*) over () * 0.2::double) as held
     from (select o.ord, o.swe, s.zone from obs o join station s using (station_id) where o.swe is not null))"""
 

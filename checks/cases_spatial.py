@@ -159,5 +159,5 @@ def _(v: Views):
 def _(v: Views):
     # all merges together cost the squared error around the common mean
     places = v.station.groupBy(F.array("lon", "lat").alias("_w")).agg(F.min("num").alias("node"), F.count(F.lit(1)).alias("_n"))
-    tree = ward.merges(places, 2, finish=100)
+    tree = ward.merges(places, 2)
     return rounded(tree.agg(F.count(F.lit(1)).alias("merges"), F.sum("height").alias("total")), 4, "total")

@@ -255,12 +255,12 @@ def weight_sum_correlations(df: DataFrame, others: Sequence[str], weights: str =
 
 def ks_distance(df: DataFrame, value: str, is_first: Column, is_second: Column) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic. Equal values are counted first, so ties cost nothing."""
-    counts = df.where((is_first | is_second) & F.col(value).isNotNull()).groupBy(value).agg(
-        F.count_if(is_first).alias("a"), F.count_if(is_second).alias("b"))
-    totals = one_row(counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    running = running_sums(counts, value, [], {"ca": "a", "cb": "b"})
-    gap = F.abs(F.col("ca") / totals.getField("a") - F.col("cb") / totals.getField("b"))
-    return running.agg(F.max(gap).alias("d"), F.sum("a").alias("n_first"), F.sum("b").alias("n_second"))
+    counts = df.withColumn(value, known(F.col(value))).where((is_first | is_second) & F.col(value).isNotNull()).groupBy(value).agg(
+        F.count_if(is_first).alias("_first"), F.count_if(is_second).alias("_second"))
+    totals = one_row(counts.agg(F.sum("_first").alias("_first"), F.sum("_second").alias("_second")))
+    running = running_sums(counts, value, [], {"_ca": "_first", "_cb": "_second"})
+    gap = F.abs(F.col("_ca") / totals.getField("_first") - F.col("_cb") / totals.getField("_second"))
+    return running.agg(F.max(gap).alias("d"), F.sum("_first").alias("n_first"), F.sum("_second").alias("n_second"))
 
 
 def weight_stability(df: DataFrame, weights: str = "weights") -> DataFrame:
@@ -275,6 +275,7 @@ def quartile_groups(df: DataFrame, by: str, value: str, include_lowest: bool = F
     By default bins are closed on the left and the maximum is in none, with population deviation;
     ``include_lowest`` gives right-closed bins that hold every row, with sample deviation.
     """
+    df = df.withColumns({c: known(F.col(c)) for c in dict.fromkeys([by, value])})
     edges = one_row(exact_quantiles(df, by, {f"q{i}": i / 4 for i in range(5)}))
     v, bin_ = F.col(by), F.lit(None).cast("int")
     for i in (3, 2, 1, 0):

@@ -77,9 +77,10 @@ def frequency_encode(df: DataFrame, column: str = "landuse_code", name: str | No
 def target_encode(df: DataFrame, column: str = "landuse_code", target: str = "swe", smoothing: float = 10.0,
                   name: str | None = None) -> DataFrame:
     """Class mean of the target pulled to the overall mean by ``smoothing`` pseudo-rows."""
-    overall = df.agg(F.avg(target).alias("m")).scalar()
+    value = known(F.col(target))
+    overall = df.agg(F.avg(value).alias("m")).scalar()
     stats = df.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(target).alias("_n"), F.sum(target).alias("_s"))
+        F.count(value).alias("_n"), F.sum(value).alias("_s"))
     # a class without any target has no mean and so no code
     smooth = (F.col("_s") + smoothing * overall) / (F.col("_n") + smoothing)
     return df.join(stats, column, "left").withColumn(name or f"{column}_target", smooth).drop("_n", "_s")
@@ -185,19 +186,21 @@ def fit_missing(train: DataFrame, numeric: Sequence[str], text: Sequence[str] =
 
 def scale_like(train: DataFrame, df: DataFrame, columns: Sequence[str], method: str = "minmax",
                epsilon: float = 1e-8) -> DataFrame:
-    """Scale ``df`` with the statistics of the training rows."""
+    """Scale ``df`` with the statistics of the training rows; NaN is missing and becomes NULL, and so
+    does a column without spread where ``epsilon`` is 0."""
+    x = {c: known(F.col(c)) for c in columns}
     if method == "minmax":
-        stats = one_row(train.agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in columns]))
+        stats = one_row(train.agg(*[F.struct(F.min(x[c]).alias("a"), F.max(x[c]).alias("b")).alias(c) for c in columns]))
 
         def scaled(c: str) -> Column:
             a, b = stats.getField(c).getField("a"), stats.getField(c).getField("b")
-            return (F.col(c) - a) / (b - a + epsilon)
+            return F.try_divide(x[c] - a, b - a + epsilon)
     elif method == "standard":
-        stats = one_row(train.agg(*[F.struct(F.avg(c).alias("a"), F.stddev_pop(c).alias("b")).alias(c)
+        stats = one_row(train.agg(*[F.struct(F.avg(x[c]).alias("a"), F.stddev_pop(x[c]).alias("b")).alias(c)
                                     for c in columns]))
 
         def scaled(c: str) -> Column:
-            return (F.col(c) - stats.getField(c).getField("a")) / (stats.getField(c).getField("b") + epsilon)
+            return F.try_divide(x[c] - stats.getField(c).getField("a"), stats.getField(c).getField("b") + epsilon)
     else:
         raise ValueError(f"unknown method {method!r}")
     return df.withColumns({c: scaled(c) for c in columns})

@@ -47,10 +47,10 @@ def merge_parts(parts: Sequence[Part], keys: Sequence[str] = KEYS) -> DataFrame:
             values = [F.col(source) for source in part.values.values()]
             # one whole row per key: the order column decides, then known values before missing ones
             ties = [x for v in values for x in (v.isNull(), v)]
-            by = F.struct(F.col(part.order).alias("o"), *[t.alias(f"t{k}") for k, t in enumerate(ties)]) if part.order \
-                else F.struct(*[t.alias(f"t{k}") for k, t in enumerate(ties)])
+            if part.order:      # a row without an order comes after those that have one, and is not lost
+                ties = [F.col(part.order).isNull(), F.col(part.order), *ties]
             columns.append(F.struct(*[v.alias(out) for v, out in zip(values, part.values)]).alias(row))
-            columns.append((F.when(F.col(part.order).isNotNull(), by) if part.order else by).alias(order))
+            columns.append(F.struct(*[t.alias(f"t{k}") for k, t in enumerate(ties)]).alias(order))
             picks[row] = list(part.values)
             aggregates[row] = F.min_by(row, order)
         stacked.append(part.df.select(*columns))

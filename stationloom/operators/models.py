@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import product
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,9 +188,12 @@ def forest_per_cluster(train: DataFrame, test: DataFrame, features: Sequence[str
 
 def ols(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()
         ) -> tuple[list[float], DataFrame]:
-    """Least-squares coefficients (intercept last) and test predictions."""
-    model = least_squares(label).fit(assemble(train, features, label))
-    predicted = model.transform(assemble(test, features, label, keep))
+    """Least-squares coefficients (intercept last) and test predictions; missing features get the training means."""
+    columns = [f"_f_{c}" for c in features]
+    rows, asked = _labelled(train, features, label, []), _labelled(test, features, label, keep)
+    plan = fit_missing(rows, columns, strategy="mean")
+    model = least_squares(label).fit(assemble(plan.training(rows), columns, label))
+    predicted = model.transform(assemble(plan.replay(asked), columns, label, keep))
     return [*map(float, model.coefficients), float(model.intercept)], predicted.select(
         *keep, F.col(label).cast("double").alias("y_true"), "y_pred")
 
@@ -204,10 +206,16 @@ def train_test(df: DataFrame, key: str, test: float = 0.2) -> tuple[DataFrame, D
 
 
 def standardized_model(df: DataFrame, features: Sequence[str], label: str, key: str, **settings) -> DataFrame:
-    """Assembler, scaler and boosted trees fitted on 80 % of the rows and applied to the rest."""
-    train, test = train_test(df.dropna(subset=[label, *features]), key)
+    """Assembler, scaler and boosted trees fitted on 80 % of the labelled rows and applied to the rest.
+
+    Missing features get the training means.
+    """
+    columns = [f"_f_{c}" for c in features]
+    train, test = train_test(_labelled(df, features, label, [key]), key)
+    fills = fit_missing(train, columns, strategy="mean")
+    train, test = fills.training(train), fills.replay(test)
     plan = Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_raw"),
+        VectorAssembler(inputCols=columns, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True), boosted_trees(label, **settings)])
     return plan.fit(train).transform(test).select(key, F.col(label).cast("double").alias("y_true"), "y_pred")
 
@@ -225,21 +233,87 @@ def fit_importance(df: DataFrame, features: Sequence[str], label: str, **setting
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str, group: str, grid: Mapping[str, Sequence],
                 folds: int = 5, parallelism: int = 4, **settings) -> DataFrame:
-    """RMSE of every setting of a grid over folds of whole groups."""
-    keyed = df.join(group_folds(df, group, folds).withColumn("_fold", F.col("fold").cast("int")).drop("fold"), group)
-    data = assemble(keyed, features, label, ["_fold"])
-    model = boosted_trees(label, **settings)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(model.getParam(name), list(values))
-    maps = builder.build()
-    search = CrossValidator(
-        estimator=model, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=parallelism,
-        evaluator=RegressionEvaluator(labelCol=label, predictionCol="y_pred", metricName="rmse")).fit(data)
-    rows = [(*[float(m[model.getParam(n)]) for n in grid], float(s)) for m, s in zip(maps, search.avgMetrics)]
+    """Mean RMSE of every setting of a grid over folds of whole groups.
+
+    Rows without a group are in the first fold; missing features get the means of the fold's training rows.
+    """
+    rows = []
+    for values in product(*grid.values()):
+        own = {**settings, **dict(zip(grid, values))}
+        found = group_k_fold(df, features, label, group, folds, lambda target, own=own: boosted_trees(target, **own),
+                             parallelism=parallelism)
+        rows.append((*map(float, values), metrics(found, group=["fold"]).agg(F.avg("rmse")).first()[0]))
     return df.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in [*grid, "rmse"]))
 
 
+def _promising(space: Mapping[str, Sequence], seen: list[tuple[tuple, float]], rng: np.random.Generator,
+               draws: int = 256) -> tuple | None:
+    """The untried setting whose values stand most in the better quarter of the trials compared with the rest.
+
+    A tree-structured Parzen estimate over listed values: every value of a parameter has a smoothed share among the good
+    trials and one among the others. Small spaces are looked through whole, large ones by draws from the good shares.
+    """
+    values, tried = list(space.values()), {s for s, _ in seen}
+    ranked = [s for s, _ in sorted(seen, key=lambda item: item[1])]
+    cut = -(-len(ranked) // 4)
+
+    def shares(part: list[tuple]) -> list[np.ndarray]:
+        return [np.array([sum(s[i] == x for s in part) + 1.0 for x in v]) / (len(part) + len(v)) for i, v in enumerate(values)]
+
+    good, rest = shares(ranked[:cut]), shares(ranked[cut:])
+    size = int(np.prod([len(v) for v in values]))
+    if size <= draws * 16:
+        found = [s for s in product(*[range(len(v)) for v in values])]
+    else:
+        found = sorted({tuple(int(rng.choice(len(v), p=g)) for v, g in zip(values, good)) for _ in range(draws)})
+    open_ = [s for s in found if tuple(v[i] for v, i in zip(values, s)) not in tried]
+    if not open_:
+        return None
+    score = np.array([sum(np.log(g[i] / r[i]) for g, r, i in zip(good, rest, s)) for s in open_])
+    best = np.flatnonzero(score >= score.max() - 1e-12)
+    return tuple(v[i] for v, i in zip(values, open_[int(rng.choice(best))]))
+
+
+def sequential_search(df: DataFrame, features: Sequence[str], label: str, group: str, space: Mapping[str, Sequence],
+                      trials: int = 20, folds: int = 5, startup: int = 4, make: Callable = boosted_trees, seed: int = 42,
+                      **settings) -> DataFrame:
+    """``trial, <parameters>, folds, rmse, pruned``: settings tried one after another over folds of whole groups.
+
+    The first ``startup`` settings are drawn at random, later ones where good trials lie. A trial whose mean error is
+    above the median of the earlier trials after as many folds is given up. Rows without a group are in the first fold,
+    missing features get the means of the fold's training rows. The same seed gives the same table.
+    """
+    data = _labelled(df, features, label, [group])
+    dealt = group_folds(data.where(F.col(group).isNotNull()), group, folds)
+    data = data.join(dealt, group, "left").withColumn("fold", F.coalesce("fold", F.lit(0))).persist()
+    numbers = sorted(r[0] for r in data.select("fold").distinct().collect())
+    rng, seen, rows, paths = np.random.default_rng(seed), [], [], []
+    for trial in range(trials):
+        if trial < startup:
+            chosen = _promising(space, [(s, 0.0) for s, _ in seen], rng)        # no trial is better than another yet
+        else:
+            chosen = _promising(space, seen, rng)
+        if chosen is None:
+            break
+        own, errors, pruned = {**settings, **dict(zip(space, chosen))}, [], False
+        for k, fold in enumerate(numbers):
+            mine = F.col("fold") == fold
+            found = _fit_and_predict(data.where(~mine), data.where(mine), features, label,
+                                     lambda target: make(target, **own), ["fold"])
+            errors.append(found.agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("y_pred"), 2)))).first()[0])
+            mean = float(np.mean(errors))
+            earlier = [p[k] for p in paths if len(p) > k]
+            if trial >= startup and k + 1 < len(numbers) and earlier and mean > float(np.median(earlier)):
+                pruned = True
+                break
+        paths.append([float(np.mean(errors[:k + 1])) for k in range(len(errors))])
+        seen.append((chosen, paths[-1][-1]))
+        rows.append((trial, *map(float, chosen), len(errors), paths[-1][-1], pruned))
+    data.unpersist()
+    kinds = ", ".join(f"`{n}` double" for n in space)
+    return df.sparkSession.createDataFrame(rows, f"trial int, {kinds}, folds int, rmse double, pruned boolean")
+
+
 def cross_validated(df: DataFrame, features: Sequence[str], label: str, group: str, make: Callable = boosted_trees,
                     folds: int | None = None) -> DataFrame:
     """Each group left out by itself, or whole groups in as many folds as the caller names."""
@@ -266,13 +340,13 @@ def repeated_runs(df: DataFrame, features: Sequence[str], label: str, stations:
     """
     ensure_checkpoint_dir(df.sparkSession)
     split = repeated_splits(stations, runs, cluster, station).select("run", station, "split").checkpoint()
-    data = assemble(df, features, label, [station]).persist()
+    data = _labelled(df, features, label, [station]).persist()
 
     def rows(run: int, part: str) -> DataFrame:
         chosen = split.where((F.col("run") == run) & (F.col("split") == part)).select(station)
         return data.join(chosen, station, "left_semi")
 
-    parts = [make(label).fit(rows(run, "train")).transform(rows(run, "test")).select(
+    parts = [_fit_and_predict(rows(run, "train"), rows(run, "test"), features, label, make, [station]).select(
         F.lit(run).alias("run"), F.col(label).cast("double").alias("y_true"), "y_pred") for run in range(1, runs + 1)]
     out = reduce(DataFrame.unionByName, parts).checkpoint()
     data.unpersist()

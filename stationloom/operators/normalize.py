@@ -55,14 +55,15 @@ def valid_coordinates(df: DataFrame, lon: str = "longitude", lat: str = "latitud
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], last: bool = False) -> DataFrame:
-    """One row per key: the first (or last) in an explicit order.
+    """One row per key: the first (or last) in an explicit order, and among equals in the order of the other columns.
 
     An aggregate rather than a window: copies of a key are reduced before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    by = F.struct(*order)
+    ties = [c for c in rest if "map<" not in dict(df.dtypes)[c] and dict(df.dtypes)[c] != "variant"]
+    by = F.struct(*order, *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)])
     pick = F.max_by if last else F.min_by
     best = df.groupBy(*keys).agg(pick(F.struct(*rest), by).alias("_row"))
     return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)

@@ -23,7 +23,7 @@ def tall(df: DataFrame, columns: Sequence[str], name: str, value: str, keep: Seq
 
 
 def station_coverage(df: DataFrame, value: str = "swe", station: str = "station_id") -> DataFrame:
-    per = df.groupBy(station).agg(_rows().alias("records"), F.count(value).alias("valid"))
+    per = df.groupBy(station).agg(_rows().alias("records"), F.count(known(F.col(value))).alias("valid"))
     return per.withColumn("coverage_pct", guarded_percent(F.col("valid"), F.col("records")))
 
 

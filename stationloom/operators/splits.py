@@ -50,9 +50,9 @@ def split_time(df: DataFrame, key: str, date: str = "date", share: float = 0.2,
 
     Days are few, so their row counts are added up first; only equal days are ordered further.
     """
-    ranked = hash_order_rank(df, key, lead=[date], digits=2)
+    ranked = hash_order_rank(df.withColumn("_day", F.to_date(date)), key, lead=["_day"], digits=2)
     held = F.col("rn") > F.col("n") - _whole(share) if last else F.col("rn") <= _whole(share)
-    return ranked.withColumn("split", F.when(held, "valid").otherwise("train")).drop("rn", "n")
+    return ranked.withColumn("split", F.when(held, "valid").otherwise("train")).drop("rn", "n", "_day")
 
 
 def split_zones(df: DataFrame, zone: str = "zone", share: float = 0.2) -> DataFrame:

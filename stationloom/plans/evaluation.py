@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stationloom.functions.scalar import known
 from stationloom.operators import evaluate, filters, models
 from stationloom.operators.features import impute
 from stationloom.operators.filters import require
@@ -22,9 +23,9 @@ def complete_analysis(df: DataFrame, features: Sequence[str], label: str = "swe"
     Missing features are filled from the training rows of each fold.
     """
     require(df, [station, date, label])
-    known = df.where(F.col(label).isNotNull()).withColumn("_year", F.year(date))
+    labelled = df.where(known(F.col(label)).isNotNull()).withColumn("_year", F.year(date))
     ensure_checkpoint_dir(df.sparkSession)
-    data = known.select(station, "_year", label, *features).checkpoint()
+    data = labelled.select(station, "_year", label, *features).checkpoint()
     out: dict[str, DataFrame] = {}
     overall, spread = [], []
     for scheme, group, folds in (("station", station, station_folds), ("yearly", "_year", None)):
