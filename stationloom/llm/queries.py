@@ -115,7 +115,7 @@ def quality_sql(limits: quality.Limits = quality.Limits()) -> str:
             greatest(word_chars - n_symbols - n_digit - n_upper - n_point - n_foreign, 0) as n_plain from b),
         r as (select lang, sum(n_words) as n, {", ".join(f"sum({c}) as {c}" for c in classes)},
             {" + ".join(f"sum({c})" for c in classes)} as total from f where lang is not null group by 1
-            having sum(n_words) > 0 order by n desc, lang limit {limits.languages}),
+            having sum(n_words) > 0),
         u as (select doc_id, lang, unnest(words) as word from f),
         k as (select lang, word, count(*) as n from u where lang is not null and length(word) <= {limits.common_chars} group by 1, 2
             qualify row_number() over (partition by lang order by n desc, word) <= {limits.common}),
