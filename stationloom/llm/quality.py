@@ -28,7 +28,6 @@ class Limits:
     word_words: int = 60           # fewer words than this: no comparison of words
     common: int = 40               # words of a language's reference
     common_chars: int = 5          # common words are short: longer ones are not counted
-    languages: int = 32            # languages that the SQL statement looks at; the operator takes all of them
 
 
 def _repeat_words(words: str, hashes: str) -> Column:
