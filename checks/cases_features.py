@@ -1,11 +1,14 @@
 """Encoders, imputation, scaling, weighting and recipes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import Views, case, rounded
 from stationloom.operators import features
 from stationloom.operators.quality import onehot_check
 from stationloom.plans import recipes
+from stationloom.session import ensure_checkpoint_dir
 
 LAND = """with s as (select num, altitude, case when num % 17 = 0 then null else landuse_code end as landuse_code from station)"""
 
@@ -147,3 +150,49 @@ def _(v: Views):
     plan = recipes.Recipe().add("data_analyzer", "basic").add("data_fixer", order="ord").add("feature_encoder", "composite")
     out = plan.run(df).drop("station_id", "date", "landuse_code")
     return rounded(out, 9, "landuse_code_freq")
+
+
+RECIPE = """with o as (select ord, station_id, date, 'x' as landuse_class, case when ord % 4 = 0 then null else cast(ord % 7 as bigint) end as landuse_code from obs),
+    f as (select station_id, min_by(landuse_code, (date, ord)) as first from o where landuse_code is not null and date is not null group by 1),
+    s as (select o.ord, o.station_id, o.date, coalesce(o.landuse_code, f.first) as landuse_code from o left join f using (station_id)
+        where o.date is null or o.date not in (date '2025-10-10', date '2025-10-11')),
+    a as (select count(*) as n, 4 * count(*) - count(ord) - count(station_id) - count(date) - count(landuse_code) as missing from o),
+    b as (select count(*) as n, count(*) - count(landuse_code) as unclassed, 3 * count(*) - count(ord) - count(station_id) - count(date) as rest from s)"""
+STEPS = """
+    select cast(1 as bigint) as position, 'data_analyzer' as step, 'basic' as version, cast(5 as bigint) as columns, n as rows, missing from a
+    union all select 2, 'data_fixer', 'v1', 4, n, unclassed + rest from b
+    union all select 3, 'feature_encoder', 'composite', 15, n, 2 * unclassed + rest from b"""
+
+
+def _recipe_input(v: Views):
+    return v.obs.select("ord", "station_id", "date", F.lit("x").alias("landuse_class"),
+                        F.when(F.col("ord") % 4 != 0, F.col("ord") % 7).alias("landuse_code"))
+
+
+@case("recipe_observed", RECIPE + STEPS + " union all select 0, 'input', '', 5, n, missing from a")
+def _(v: Views):
+    summary = recipes.advanced_analysis().observed(
+        _recipe_input(v), lambda df: df.write.format("noop").mode("overwrite").save())
+    return summary.drop("seconds")
+
+
+@case("recipe_staged", RECIPE + STEPS)
+def _(v: Views):
+    folder = f"{ensure_checkpoint_dir(v.spark)}/recipe-{uuid.uuid4().hex}"
+    return recipes.advanced_analysis().staged(_recipe_input(v), folder)[1].drop("seconds")
+
+
+@case("recipe_reports", RECIPE + """,
+    r as (select 'landuse_class' as "column", landuse_class as class, count(*) as records from o group by 2
+        union all select 'landuse_code', cast(landuse_code as varchar), count(*) from o group by 2),
+    p as (select count(*) as records, count(distinct station_id) as stations, count(*) filter (date in (date '2025-10-10', date '2025-10-11')) as bad_dates,
+        count(distinct landuse_code) as n_classes, count(*) - count(landuse_code) as missing from o)
+    select "column", class, r.records, 100.0 * r.records / p.records as pct, stations, bad_dates, 'landuse_class' as columns_to_drop, n_classes, missing,
+        case when n_classes <= 10 then 'onehot' when n_classes <= 50 then 'hash_8_16' else 'hash_16_32' end as advice from r, p""")
+def _(v: Views):
+    found = recipes.advanced_analysis().reports(_recipe_input(v))
+    # these two have one row
+    preview, advice = (found[f"1_data_analyzer/{r}"].select(F.struct("*")).scalar() for r in ("repair_preview", "encoding_advice"))
+    return found["1_data_analyzer/class_distribution"].withColumns({
+        **{c: preview[c] for c in ("stations", "bad_dates", "columns_to_drop")},
+        **{c: advice[c] for c in ("n_classes", "missing", "advice")}})

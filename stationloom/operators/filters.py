@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationloom.functions import scalar
@@ -53,9 +53,14 @@ def fill_to_null(df: DataFrame, columns: Sequence[str], fill: float = -9999.0) -
     return df.withColumns({c: scalar.null_if(F.col(c), fill) for c in columns}).dropna("all", subset=list(columns))
 
 
+def is_bad_date(date: Column, bad: Sequence[str] = BAD_DATES) -> Column:
+    """NULL where there is no date."""
+    return F.to_date(date).isin(*[F.lit(b).cast("date") for b in bad])
+
+
 def drop_bad_dates(df: DataFrame, date: str = "date", bad: Sequence[str] = BAD_DATES) -> DataFrame:
-    d = F.to_date(date)
-    return df.where(d.isNull() | ~d.isin(*[F.lit(b).cast("date") for b in bad]))
+    found = is_bad_date(F.col(date), bad)
+    return df.where(found.isNull() | ~found)
 
 
 def column_variety(df: DataFrame, columns: Sequence[str]) -> DataFrame:

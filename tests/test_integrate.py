@@ -168,6 +168,41 @@ def test_recipes_chain_without_writing(spark):
         recipes.Recipe().add("nothing")
 
 
+RECIPE_ROWS = [("1", "2014-01-01", None, "x", 1.0), ("1", "2014-01-02", 11, "x", float("nan")),
+               ("1", "2025-10-11", 11, None, None), (None, "2014-01-01", 4, "x", 2.0), ("2", None, None, "x", 2.0)]
+RECIPE_TYPES = "station_id string, date string, landuse_code int, landuse_class string, `a.b` double"
+
+
+def test_recipe_summaries_count_rows_and_missing_cells(spark, tmp_path):
+    df = spark.createDataFrame(RECIPE_ROWS, RECIPE_TYPES)
+    plan = recipes.advanced_analysis()
+    runs, written = [], tmp_path / "out"
+    observed = plan.observed(df, lambda out: (runs.append(1), out.write.parquet(str(written)))).orderBy("position").collect()
+    # input: station, date, two codes, class, NaN and NULL; the fixer drops a row and a column and fills one code
+    assert [(r["step"], r["columns"], r["rows"], r["missing"]) for r in observed] == [
+        ("input", 5, 5, 7), ("data_analyzer", 5, 5, 7), ("data_fixer", 4, 4, 4), ("feature_encoder", 15, 4, 5)]
+    assert len(runs) == 1 and spark.read.parquet(str(written)).count() == 4 and all(r["seconds"] >= 0 for r in observed)
+    out, staged = plan.staged(df, str(tmp_path / "steps"))
+    assert [(r["step"], r["rows"], r["missing"]) for r in staged.orderBy("position").collect()] == [
+        (r["step"], r["rows"], r["missing"]) for r in observed[1:]]
+    assert sorted(map(str, out.collect())) == sorted(map(str, plan.run(df).collect()))
+    assert spark.read.parquet(str(tmp_path / "steps" / "02_data_fixer")).count() == 4
+    empty = plan.observed(df.limit(0), lambda out: out.write.format("noop").mode("overwrite").save())
+    assert {(r["rows"], r["missing"]) for r in empty.collect()} == {(0, 0)}
+
+
+def test_recipe_reports(spark):
+    found = recipes.advanced_analysis().reports(spark.createDataFrame(RECIPE_ROWS, RECIPE_TYPES))
+    assert sorted(found) == [f"1_data_analyzer/{r}" for r in (
+        "class_distribution", "encoding_advice", "repair_preview", "station_consistency")]
+    preview = found["1_data_analyzer/repair_preview"].first()
+    assert tuple(preview) == (5, 2, 1, "landuse_class")
+    classes = {(r["column"], r["class"]): (r["records"], r["pct"]) for r in found["1_data_analyzer/class_distribution"].collect()}
+    assert classes == {("landuse_code", None): (2, 40.0), ("landuse_code", "11"): (2, 40.0), ("landuse_code", "4"): (1, 20.0),
+                       ("landuse_class", "x"): (4, 80.0), ("landuse_class", None): (1, 20.0)}
+    assert recipes.quick_fix().reports(spark.createDataFrame(RECIPE_ROWS, RECIPE_TYPES)) == {}
+
+
 def test_every_row_is_predicted_once_by_a_model_without_its_group(spark):
     df = spark.range(120).select((F.col("id") % 6).alias("g"), F.col("id").cast("double").alias("x"),
                                  (F.col("id") * 2.0).alias("y"))
