@@ -1,10 +1,14 @@
 """Coverage, distribution, consistency and duplicates."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import Views, case, rounded
 from stationloom.functions import calendar as cal
 from stationloom.operators import quality
+from stationloom.session import ensure_checkpoint_dir
+from stationloom.sources import writers
 from stationloom.sources.spec import TERRAIN_FEATURES
 
 
@@ -220,3 +224,45 @@ def _(v: Views):
     sheets = reports(v.obs)
     joined = sheets["station_coverage"].join(sheets["station_time_coverage"].drop("records"), "station_id")
     return rounded(joined.select("station_id", "records", "coverage_pct", "first_date", "last_date"), 6, "coverage_pct")
+
+
+def _published(v: Views, outputs: dict) -> str:
+    folder = f"{ensure_checkpoint_dir(v.spark)}/published-{uuid.uuid4().hex}"
+    writers.publish(outputs, folder, v.spark)
+    return folder
+
+
+@case("published_period", """select 'parquet' as format, ord, station_id, date, swe from obs
+    union all select 'csv', ord, station_id, date, swe from obs""")
+def _(v: Views):
+    folder = _published(v, writers.period_outputs(
+        v.obs.select("ord", "station_id", "date", "swe"), "obs", "1992-01-01", "1998-12-31"))
+    parts = [writers.read_published(v.spark, folder, f"obs_19920101_19981231.{f}").withColumn("format", F.lit(f))
+             for f in ("parquet", "csv")]
+    return parts[0].unionByName(parts[1])
+
+
+@case("published_sheets", """with s as (select station_id, count(*) as records, count(swe) as valid, min(date) as first_date, max(date) as last_date from obs group by 1),
+    o as (select count(*) as stations, cast(sum(records) as bigint) as all_records, cast(sum(valid) as bigint) as valid_values from s)
+    select station_id, records, round(100.0::double*valid/records, 6) as coverage_pct, first_date, last_date, stations, all_records, valid_values from s, o""")
+def _(v: Views):
+    from stationloom.plans.fusion import reports
+
+    folder = _published(v, writers.sheet_outputs(reports(v.obs)))
+    sheets = {name: writers.read_published(v.spark, folder, name) for name in writers.published_names(v.spark, folder)}
+    overall = sheets["overall_coverage"].select(F.struct("*")).scalar()
+    joined = sheets["station_coverage"].join(sheets["station_time_coverage"].drop("records"), "station_id")
+    return rounded(joined.select("station_id", "records", "coverage_pct", "first_date", "last_date", overall["stations"].alias("stations"),
+                                 overall["records"].alias("all_records"), overall["valid"].alias("valid_values")), 6, "coverage_pct")
+
+
+@case("published_evaluation", """with p as (select fold, count(*) as records, sum(y_true) as total from pred group by 1),
+    a as (select count(*) as all_records from pred)
+    select fold, records, round(total, 2) as total, all_records from p, a""")
+def _(v: Views):
+    by_fold = v.pred.groupBy("fold").agg(F.count(F.lit(1)).alias("records"))
+    total = v.pred.agg(F.count(F.lit(1)).alias("all_records"))
+    folder = _published(v, writers.evaluation_outputs(v.pred.select("fold", "y_true"), by_fold, by_fold.limit(0), total))
+    predictions, folds, summary = (writers.read_published(v.spark, folder, n) for n in ("predictions", "folds", "summary"))
+    sums = predictions.groupBy("fold").agg(F.round(F.sum("y_true"), 2).alias("total"))
+    return folds.join(sums, "fold").withColumn("all_records", summary.scalar())

@@ -99,3 +99,29 @@ def test_kinds(spark):
     assert infer_kind(dated, "landcover") == "yearly" and infer_kind(dated, "terrain_features") == "static"
     with pytest.raises(ValueError):
         SourceSpec("x", kind="other")
+
+
+def test_published_outputs_come_together_or_not_at_all(spark, tmp_path):
+    folder = str(tmp_path / "results")
+    rows = [("a", 1.5, "say \"hi\", then go"), ("b", None, ""), (None, float("nan"), None)]
+    first = spark.createDataFrame(rows, "id string, value double, note string")
+    with pytest.raises(ValueError):
+        writers.read_published(spark, folder, "one")
+    assert writers.published_names(spark, folder) == []
+    writers.publish({f: writers.Output(first, f) for f in ("parquet", "csv", "json", "orc")}, folder, spark)
+    wanted = sorted(map(str, first.collect()))
+    for name in writers.published_names(spark, folder):
+        back = writers.read_published(spark, folder, name)
+        assert back.schema == first.schema and sorted(map(str, back.collect())) == wanted, name
+    # the second output fails while it is written: the first one does not appear, and the old version stays
+    broken = first.select(F.raise_error("no luck").cast("string").alias("id"))
+    with pytest.raises(Exception, match="no luck"):
+        writers.publish({"csv": writers.Output(first.limit(1), "csv"), "two": writers.Output(broken)}, folder, spark)
+    assert len(writers.published_names(spark, folder)) == 4
+    assert writers.read_published(spark, folder, "csv").count() == 3
+    assert len(list((tmp_path / "results" / "versions").iterdir())) == 1
+    # a partitioned output keeps its column order, and a new version replaces the one before
+    writers.publish({"one": writers.Output(first, partition_by=("id",))}, folder, spark)
+    assert writers.published_names(spark, folder) == ["one"]
+    assert writers.read_published(spark, folder, "one").columns == first.columns
+    assert sorted(map(str, writers.read_published(spark, folder, "one").collect())) == wanted
