@@ -24,6 +24,8 @@ from stationloom.session import ensure_checkpoint_dir
 
 BINS = 32               # and one for missing values
 CHUNK, BLOCK = 4_096, 64        # rows of a chunk, folds of a block
+SPREAD = 100_000        # rows of a partition of chunks; smaller ones where cores would idle
+CUT = 10                # trees between two checkpoints, the others are persisted
 HELD = 16               # blocks whose histograms a task keeps at a time
 
 
@@ -36,6 +38,8 @@ class Settings:
     depth: int = 5
     share: float = 1.0
     least: int = 2          # rows on each side of a split
+    first: float | None = None      # rate of the first tree, where it is another
+    fill: bool = False      # missing features get the mean of the fold's rows instead of a side of their own
 
 
 def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
@@ -69,17 +73,23 @@ class Tree:
     def of(self, start: int, stop: int) -> Tree:
         return Tree(self.feature[start:stop], self.bin[start:stop], self.missing_left[start:stop], self.value[start:stop])
 
-    def nodes(self, x: np.ndarray, level: int) -> np.ndarray:
-        """Node of every row in every fold after so many levels; rows stay at a node without a split."""
-        folds = np.arange(len(self.feature))
-        node = np.zeros((len(x), len(folds)), np.int64)
-        rows = np.arange(len(x))[:, None]
-        for _ in range(level):
-            feature = self.feature[folds, node]
-            value = x[rows, np.maximum(feature, 0)]
-            left = np.where(value == BINS, self.missing_left[folds, node], value <= self.bin[folds, node])
-            node = np.where(feature >= 0, 2 * node + 2 - left, node)
-        return node
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each fold and node the feature to look at, and for each of its bins the next node."""
+        folds, nodes = self.feature.shape
+        value = np.arange(BINS + 1)
+        left = np.where(value == BINS, self.missing_left[..., None], value <= self.bin[..., None])
+        at = np.arange(nodes)[None, :, None]
+        after = np.where(self.feature[..., None] >= 0, 2 * at + 2 - left, at)
+        return np.maximum(self.feature, 0).astype(np.int64), after.reshape(folds, -1)
+
+
+def walk(feature: np.ndarray, after: np.ndarray, x: np.ndarray, level: int) -> np.ndarray:
+    """Node of every row in one fold after so many levels; rows stay at a node without a split."""
+    node = np.zeros(len(x), np.int64)
+    flat, at = x.reshape(-1), np.arange(len(x)) * x.shape[1]
+    for _ in range(level):
+        node = after.take(node * (BINS + 1) + flat.take(at + feature.take(node)))
+    return node
 
 
 def best_split(hist: np.ndarray, least: int) -> tuple[float, int, int, bool, np.ndarray] | None:
@@ -106,21 +116,27 @@ class Opener:
 
     start: np.ndarray           # mean label of each fold's rows
     block: int
+    fills: np.ndarray | None    # bin of each fold's missing values, by feature
 
     def __call__(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
         first = row["block"] * self.block
         last = min(first + self.block, len(self.start))
         y = np.frombuffer(row["y"])
-        pred = np.frombuffer(row["pred"]).reshape(len(y), -1) if row["pred"] else np.broadcast_to(
-            self.start[first:last], (len(y), last - first))
-        return np.frombuffer(row["x"], np.uint8).reshape(len(y), -1), y, np.frombuffer(row["code"], "<i8"), pred, first, last
+        pred = np.frombuffer(row["pred"]).reshape(last - first, -1) if row["pred"] else np.broadcast_to(
+            self.start[first:last, None], (last - first, len(y)))
+        x = np.frombuffer(row["x"], np.uint8).reshape(len(y), -1)
+        return x.astype(np.int64), y, np.frombuffer(row["code"], "<i8"), pred, first, last
+
+    def bins(self, x: np.ndarray, fold: int) -> np.ndarray:
+        """The rows' bins as the fold's model sees them."""
+        return x if self.fills is None else np.where(x == BINS, self.fills[fold], x)
 
 
 class Boosting:
     """The growing models of all folds over a stored table of chunks."""
 
     def __init__(self, df: DataFrame, features: Sequence[str], label: str, group: str | None, keep: Sequence[str],
-                 settings: Settings) -> None:
+                 settings: Settings, whole: bool = True) -> None:
         ensure_checkpoint_dir(df.sparkSession)
         self.settings, self.width, self.keep = settings, len(features), list(dict.fromkeys([*keep, *([group] if group else [])]))
         names = [f"_f_{c}" for c in features]
@@ -129,12 +145,18 @@ class Boosting:
         rows = category_codes(rows, group, "_code") if group else rows.withColumn("_code", F.lit(-1))
         rows = rows.withColumn("_seed", F.xxhash64("_y", *names, *self.keep)).checkpoint()
         edges = bin_edges(rows, names)
-        sums = {r["_code"]: (r["n"], r["s"]) for r in rows.groupBy("_code").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s")).collect()}
-        n, s = (sum(v[i] or 0 for v in sums.values()) for i in (0, 1))
-        self.folds = len(sums) + 1 if group else 1             # the last fold sees all rows
-        left = [(n - sums.get(f, (0, 0))[0], s - sums.get(f, (0, 0))[1]) for f in range(self.folds - 1)] + [(n, s)]
-        self.opener = Opener(np.array([b / a if a else 0.0 for a, b in left]), BLOCK)
+        known_sums = [c for f in names for c in (F.count(f), F.coalesce(F.sum(f), F.lit(0.0)))]
+        sums = {r["_code"]: np.array([r["n"], r["s"], *r["f"]], float) for r in rows.groupBy("_code").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"), F.array(*[c.cast("double") for c in known_sums]).alias("f")).collect()}
+        total = sum(sums.values(), np.zeros(2 + 2 * self.width))
+        self.whole = whole or not group                        # then the last fold sees all rows
+        self.folds = len(sums) + self.whole if group else 1
+        left = [total - sums.get(f, 0) if group and f < len(sums) else total for f in range(self.folds)]
+        fills = None
+        if settings.fill:
+            fills = np.array([[np.searchsorted(e, v[3 + 2 * j] / v[2 + 2 * j]) if v[2 + 2 * j] else BINS
+                               for j, e in enumerate(edges)] for v in left], np.int64).reshape(self.folds, self.width)
+        self.opener = Opener(np.array([v[1] / v[0] if v[0] else 0.0 for v in left]), BLOCK, fills)
         self.gains = np.zeros(self.width)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +172,14 @@ class Boosting:
                             x, np.asarray(part["_y"], "<f8"), np.asarray(part["_code"]).astype("<i8"),
                             np.asarray(part["_seed"]).astype("<i8")))], ["keep", "x", "y", "code", "seed"])
 
-        packed = rows.select(F.struct(*[F.col(c) for c in self.keep], F.lit(0).alias("_")).alias("_keep"), "_y", "_code", "_seed", *names)
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        self.tasks = max(1, min(self.folds, max(cores, -(-self.folds // BLOCK))))
+        packed = rows.repartition(int(max(min(cores, -(-total[0] // CHUNK)), -(-total[0] // SPREAD), 1))).select(F.struct(*[F.col(c) for c in self.keep], F.lit(0).alias("_")).alias("_keep"), "_y", "_code", "_seed", *names)
         kind = packed.schema["_keep"].dataType.simpleString()
         blocks = -(-self.folds // BLOCK)
         self.chunks = packed.mapInArrow(pack, f"keep array<{kind}>, x binary, y binary, code binary, seed binary").withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("pred", F.lit(None).cast("binary")).checkpoint()
-        self.kind = kind
+        self.kind, self.stored = kind, None
 
     def _level(self, tree: Tree, number: int, level: int) -> None:
         """Split every node of one level of every fold."""
@@ -172,6 +196,8 @@ class Boosting:
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
+            feature, after = tree.steps()
+            size = count * (BINS + 1)
             for batch in batches:
                 for row in batch.to_pylist():
                     x, y, code, pred, first, last = opened(row)
@@ -180,17 +206,17 @@ class Boosting:
                         oldest = next(iter(held))
                         yield from sent(oldest, held.pop(oldest))
                     total = held.setdefault(first, np.zeros((f, count, p, BINS + 1, 2)))
-                    node = tree.of(first, last).nodes(x, level) - begin
-                    use = (node >= 0) & (code[:, None] != np.arange(first, last))
-                    if settings.share < 1:
-                        use &= _drawn(np.frombuffer(row["seed"], "<u8"), number, settings.share)[:, None]
-                    r, c = np.nonzero(use)
-                    slot, rest = c * count + node[r, c], y[r] - pred[r, c]
-                    for j in range(p):
-                        key = slot * (BINS + 1) + x[r, j]
-                        size = f * count * (BINS + 1)
-                        total[:, :, j, :, 0] += np.bincount(key, minlength=size).reshape(f, count, BINS + 1)
-                        total[:, :, j, :, 1] += np.bincount(key, rest, size).reshape(f, count, BINS + 1)
+                    drawn = None if settings.share >= 1 else _drawn(np.frombuffer(row["seed"], "<u8"), number, settings.share)
+                    for c in range(f):
+                        bins = opened.bins(x, first + c)
+                        node = walk(feature[first + c], after[first + c], bins, level) - begin
+                        use = (node >= 0) & (code != first + c)
+                        use = np.flatnonzero(use if drawn is None else use & drawn)
+                        slot, rest, bins = node[use] * (BINS + 1), (y - pred[c])[use], bins[use]
+                        for j in range(p):
+                            key = slot + bins[:, j]
+                            total[c, :, j, :, 0] += np.bincount(key, minlength=size).reshape(count, BINS + 1)
+                            total[c, :, j, :, 1] += np.bincount(key, rest, size).reshape(count, BINS + 1)
             for first, total in held.items():
                 yield from sent(first, total)
 
@@ -214,31 +240,47 @@ class Boosting:
         schema = ("fold int, node int, gain double, feature int, bin int, missing_left boolean, value double, left double, "
                   "right double")
         found = self.chunks.select("x", "y", "code", "seed", "block", "pred").mapInArrow(
-            add, "fold int, node int, hist binary").groupBy("fold").applyInArrow(choose, schema).toPandas()
+            add, "fold int, node int, hist binary").repartition(self.tasks, "fold").groupBy("fold").applyInArrow(
+            choose, schema).toPandas()
         fold, node = found["fold"].to_numpy(), found["node"].to_numpy() + begin
         tree.feature[fold, node], tree.bin[fold, node] = found["feature"], found["bin"]
         tree.missing_left[fold, node], tree.value[fold, node] = found["missing_left"], found["value"]
         tree.value[fold, 2 * node + 1], tree.value[fold, 2 * node + 2] = found["left"], found["right"]
-        own = found[(found["fold"] == self.folds - 1) & (found["feature"] >= 0)]
-        np.add.at(self.gains, own["feature"].to_numpy(), own["gain"].to_numpy())
+        if self.whole:
+            own = found[(found["fold"] == self.folds - 1) & (found["feature"] >= 0)]
+            np.add.at(self.gains, own["feature"].to_numpy(), own["gain"].to_numpy())
+
+    def _keep(self, moved: DataFrame, cut: bool) -> None:
+        """Persisted until the next tree has read it, so the disk holds a few tables at a time; a checkpoint now and then
+        bounds what a lost executor costs."""
+        before, self.stored = self.stored, None
+        if cut:
+            self.chunks = moved.checkpoint()
+        else:
+            self.chunks = self.stored = moved.persist()
+            moved.count()
+        if before is not None:
+            before.unpersist()
 
     def grow(self) -> Boosting:
         for number in range(self.settings.trees):
             tree = Tree.empty(self.folds, self.settings.depth)
             for level in range(self.settings.depth):
                 self._level(tree, number, level)
-            opened, depth, rate = self.opener, self.settings.depth, self.settings.rate
+            opened, depth = self.opener, self.settings.depth
+            rate = self.settings.rate if number or self.settings.first is None else self.settings.first
 
-            def move(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:
+            def move(batches: Iterator[pa.RecordBatch], tree=tree, rate=rate) -> Iterator[pa.RecordBatch]:
+                feature, after = tree.steps()
                 for batch in batches:
                     made = []
                     for row in batch.select(["x", "y", "code", "seed", "block", "pred"]).to_pylist():
                         x, _, _, pred, first, last = opened(row)
-                        own = tree.of(first, last)
-                        made.append((pred + rate * own.value[np.arange(last - first), own.nodes(x, depth)]).tobytes())
+                        made.append(np.stack([pred[c - first] + rate * tree.value[c].take(walk(
+                            feature[c], after[c], opened.bins(x, c), depth)) for c in range(first, last)]).tobytes())
                     yield batch.set_column(batch.schema.get_field_index("pred"), "pred", pa.array(made, pa.binary()))
 
-            self.chunks = self.chunks.mapInArrow(move, self.chunks.schema).checkpoint()
+            self._keep(self.chunks.mapInArrow(move, self.chunks.schema), (number + 1) % CUT == 0 or number + 1 == self.settings.trees)
         return self
 
     def held_out(self) -> DataFrame:
@@ -253,7 +295,7 @@ class Boosting:
                     at = np.flatnonzero((code >= first) & (code < last)) if not alone else np.arange(len(y))
                     column = code[at] - first if not alone else np.zeros(len(at), np.int64)
                     yield pa.RecordBatch.from_arrays([
-                        batch["keep"][i].values.take(pa.array(at)), pa.array(y[at]), pa.array(pred[at, column])],
+                        batch["keep"][i].values.take(pa.array(at)), pa.array(y[at]), pa.array(pred[column, at])],
                         ["keep", "y_true", "y_pred"])
 
         found = self.chunks.mapInArrow(own, f"keep {self.kind}, y_true double, y_pred double")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationloom.functions.scalar import known
+from stationloom.operators import boost
 from stationloom.operators.evaluate import fold_summary, metrics
 from stationloom.operators.features import fit_missing
 from stationloom.operators.ranking import hash_order_rank, null_safe
@@ -58,11 +59,33 @@ def _fit_and_predict(train: DataFrame, test: DataFrame, features: Sequence[str],
     return model.transform(assemble(plan.replay(test), columns, label, keep))
 
 
+def _at_once(model) -> boost.Settings | None:
+    """Settings under which ``boost`` grows the trees of such a boosting; None where it cannot.
+
+    The first tree of a boosting enters whole, the others fit twice the residuals, as the gradient of squared error is.
+    """
+    if not isinstance(model, GBTRegressor):
+        return None
+    plain = {"lossType": "squared", "maxBins": boost.BINS, "minInfoGain": 0.0, "minWeightFractionPerNode": 0.0,
+             "featureSubsetStrategy": "all"}
+    if any(model.getOrDefault(n) != v for n, v in plain.items()) or any(
+            model.isDefined(n) for n in ("weightCol", "validationIndicatorCol")):
+        return None
+    return boost.Settings(model.getMaxIter(), 2 * model.getStepSize(), model.getMaxDepth(), model.getSubsamplingRate(),
+                          model.getMinInstancesPerNode(), first=1.0, fill=True)
+
+
 def _cross_validate(data: DataFrame, features: Sequence[str], label: str, make: Callable, keep: Sequence[str],
                     parallelism: int) -> DataFrame:
     """One model per value of ``fold``, NULL being a fold like others. The predictions are written with
-    ``checkpoint``: every report would otherwise carry, and run, all the models again."""
+    ``checkpoint``: every report would otherwise carry, and run, all the models again. Boosted trees of all folds grow
+    together, other models are fitted one by one."""
     ensure_checkpoint_dir(data.sparkSession)
+    if settings := _at_once(make(label)):
+        model = boost.Boosting(data, [f"_f_{c}" for c in features], label, "fold", keep, settings, whole=False)
+        if model.folds < 2:
+            raise ValueError("cross-validation needs two folds with labelled rows")
+        return model.grow().held_out().select(*dict.fromkeys([*keep, "fold"]), "y_true", "y_pred").checkpoint()
     data = data.persist()
     folds = sorted((r[0] for r in data.select("fold").distinct().collect()), key=lambda f: (f is None, f))
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stationloom.operators import boost
+from stationloom.operators import boost, models
 
 
 def plain_trees(x, y, asked, trees, rate, depth, least=2):
@@ -83,3 +83,34 @@ def test_share_of_rows_and_no_rows(spark, rows):
             .toPandas().sort_values("id").y_pred.to_numpy() for n in (1, 3))
     assert np.allclose(a, b)
     assert boost.boosted_cross_validation(df.limit(0), ["a", "b"], "y", "g", trees=1, depth=1)[0].count() == 0
+
+
+def test_cross_validation_of_boosted_trees_needs_no_fit_a_fold(spark, rows):
+    counts = []
+    for folds in (2, 6):
+        df = spark.createDataFrame(rows.dropna())
+        spark.sparkContext.setJobGroup(f"folds-{folds}", "")
+        found = models.group_k_fold(df, ["a", "b"], "y", "id", folds, lambda t: models.boosted_trees(t, maxIter=2, maxDepth=2), ["g"])
+        assert found.count() == len(rows.dropna()) and found.columns == ["id", "g", "fold", "y_true", "y_pred"]
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds-{folds}")))
+        spark.sparkContext.setJobGroup("", "")
+    assert abs(counts[0] - counts[1]) <= 3 and counts[0] > 0
+
+
+def test_cross_validation_grows_the_trees_of_a_boosting(spark, rows):
+    """Few values, so the bins cut as Spark ML does: its fit for each fold gives the same predictions."""
+    few = rows.assign(a=rows.a.round(0).clip(-1, 1), b=(rows.b * 8).round(0)).dropna(subset=["a"])
+    df = spark.createDataFrame(few)
+
+    def make(label):
+        return models.boosted_trees(label, maxIter=3, maxDepth=2, subsamplingRate=1.0)
+
+    data = models._labelled(df, ["a", "b"], "y", ["g", "id"]).withColumn("fold", F.col("g"))
+    want = {}
+    for fold in set(few.g):
+        own = F.col("fold").eqNullSafe(F.lit(fold))
+        parts = models._fit_and_predict(data.where(~own), data.where(own), ["a", "b"], "y", make, ["id"])
+        want |= {r["id"]: r["y_pred"] for r in parts.collect()}
+    got = {r["id"]: r["y_pred"] for r in models.leave_one_group_out(df, ["a", "b"], "y", "g", make, ["id"]).collect()}
+    assert got.keys() == want.keys()
+    assert np.allclose([got[i] for i in sorted(got)], [want[i] for i in sorted(got)])
