@@ -108,11 +108,10 @@ def _(v: Views):
 
 
 @case("feature_distance", f"""with c as (select var_samp(lon) a, covar_samp(lon, lat) b, var_samp(lat) d from station),
-    p as (select s.num as id, r.id as ref, s.lon - r.x as u, s.lat - r.y as w from station s, {REFS} r),
-    f as (select id, ref, sqrt((d*u*u - 2*b*u*w + a*w*w)/(a*d - b*b)) as distance from p, c)
-    select id, ref, round(distance, 6) as distance from f qualify row_number() over (partition by id order by distance, ref) <= 8""")
+    p as (select s.num as id, r.id as ref, s.lon - r.x as u, s.lat - r.y as w from station s, {REFS} r)
+    select id, ref, round(sqrt((d*u*u - 2*b*u*w + a*w*w)/(a*d - b*b)), 6) as distance from p, c""")
 def _(v: Views):
-    return rounded(spatial.mahalanobis(_timed(v), _refs(v), ["x", "y"], 8), 6, "distance")
+    return rounded(spatial.mahalanobis(_timed(v), _refs(v), ["x", "y"], None), 6, "distance")
 
 
 @case("feature_neighbours", """with f as (select num, lon, lat, altitude from station),

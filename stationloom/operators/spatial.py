@@ -274,9 +274,10 @@ def pair_distance_stats(points: DataFrame, references: DataFrame, columns: Seque
         F.lit(plan.far_error / pairs).alias("mean_error"))
 
 
-def mahalanobis(points: DataFrame, references: DataFrame, features: Sequence[str], k: int = 8, key: str = "id",
+def mahalanobis(points: DataFrame, references: DataFrame, features: Sequence[str], k: int | None = 8, key: str = "id",
                 train: DataFrame | None = None, target: int = TARGET) -> DataFrame:
-    """``key, ref, distance``: the k nearest references in feature space, whitened by the covariance of the training rows.
+    """``key, ref, distance``: the k nearest references in feature space, whitened by the covariance of the training rows;
+    with ``k=None`` every reference, one row per pair.
 
     Points and references are whitened once. The references are a metric index: cells cut by their distances to pivots,
     pruned by the triangle inequality; a point searches its own cell and then those its k-th distance reaches. Rows
@@ -295,6 +296,10 @@ def mahalanobis(points: DataFrame, references: DataFrame, features: Sequence[str
         parts = [sum((c * F.lit(float(turn[i, j])) for i, c in enumerate(centred)), F.lit(0.0)) for j in range(p)]
         return df.dropna(subset=list(features)).withColumn("_w", F.array(*parts))
 
+    if k is None:
+        refs = white(references).select(F.col(key).alias("ref"), F.col("_w").alias("_v"))
+        apart = F.sqrt(sum((F.pow(F.col("_w")[j] - F.col("_v")[j], 2) for j in range(p)), F.lit(0.0)))
+        return white(points).select(key, "_w").crossJoin(refs).select(key, "ref", apart.alias("distance"))
     near = _nearest_references(white(points).select(key, "_w"), white(references), p, k, key, target, min(2 * p, 16))
     return near.select(key, F.explode("near").alias("_hit")).select(
         key, F.col("_hit")["id"].alias("ref"), F.col("_hit")["dist"].alias("distance"))

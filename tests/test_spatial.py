@@ -235,3 +235,14 @@ def test_density_clusters_of_text_ids(spark):
             found.setdefault(r["cluster"], set()).add(r["num"])
         return sorted(map(sorted, found.values()))
     assert groups("station_id") == groups("num") and len(groups("num")) > 3
+
+
+def test_distances_to_all_references(spark):
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(40, 2)) @ [[2, 1], [0, 1]], r.normal(size=(12, 2))
+    points, refs = (spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(t)], "id long, x double, y double")
+                    for t in (a, b))
+    got = {(r["id"], r["ref"]): r["distance"] for r in spatial.mahalanobis(points, refs, ["x", "y"], None).collect()}
+    inverse = np.linalg.inv(np.cov(a.T))
+    want = {(i, j): np.sqrt((u - w) @ inverse @ (u - w)) for i, u in enumerate(a) for j, w in enumerate(b)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
