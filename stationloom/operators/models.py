@@ -187,7 +187,8 @@ def forest_per_cluster(train: DataFrame, test: DataFrame, features: Sequence[str
     """
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
-    data, held = _labelled(train, features, label, [cluster]).persist(), _labelled(test, features, label, [cluster])
+    # written once: every cluster would otherwise run the plan of the test rows, with its split, again
+    data, held = (_labelled(df, features, label, [cluster]).checkpoint() for df in (train, test))
     names = sorted(r[0] for r in data.where(F.col(cluster).isNotNull()).select(cluster).distinct().collect())
 
     def forest(target: str) -> RandomForestRegressor:
@@ -204,9 +205,7 @@ def forest_per_cluster(train: DataFrame, test: DataFrame, features: Sequence[str
         parts = pool.map(run, names)
     strange = held.where(F.col(cluster).isNull() | ~F.col(cluster).isin(names) if names else F.lit(True)).select(
         cluster, F.col(label).cast("double").alias("y_true"), F.lit(None).cast("double").alias("y_pred"))
-    out = reduce(DataFrame.unionByName, [*parts, strange]).checkpoint()
-    data.unpersist()
-    return out
+    return reduce(DataFrame.unionByName, [*parts, strange]).checkpoint()
 
 
 def ols(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()
