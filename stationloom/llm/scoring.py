@@ -6,8 +6,7 @@ that stands everywhere is one row per block. The counts return to their block, w
 score its documents.
 
 The attention model learns from all training texts: what stands before each id is counted over all of them, and its
-weights come from windows drawn by hash out of texts of any length, a share of all windows, so they grow with the table.
-The windows are dealt into groups; in each round a task per group goes on from the common weights, which are then averaged.
+weights come from all their windows, unless the caller asks for a share, which is drawn by hash. The windows are dealt into groups; in each round a task per group goes on from the common weights, which are then averaged.
 """
 
 from __future__ import annotations
@@ -34,15 +33,15 @@ BLOCK_BYTES = 12_000_000       # text of a block; a longer document is a block o
 SCORE_WORDS = 200_000          # words scored at once
 BATCH = 64                     # windows of a training step
 ROUNDS = 10                    # how often the weights of all groups are averaged
-GROUP_WINDOWS, GROUPS = 65_536, 128    # windows of a training group; from 128 groups on they grow instead
+GROUP_WINDOWS, LOTS = 65_536, 128      # windows of a training group; groups are added up in so many lots
 
 
 @dataclass(frozen=True)
 class Settings:
     vocabulary: str            # ranks of a byte-level vocabulary
     pattern: str               # how that vocabulary splits a text
-    window_share: float = 0.05     # share of the training windows that the weights are learned from,
-    window_bytes: int = 4_000_000  # but windows of this much text at least, or all there are
+    window_share: float = 1.0      # share of the training windows that the weights are learned from: all;
+    window_bytes: int = 4_000_000  # with less, windows of this much text at least, or all there are
     steps: int = 1200              # least number of training steps; more where a group has more windows
     unigram: float = 0.4       # share of the baseline in a word's probability
     folds: int = 5
@@ -97,7 +96,9 @@ def _streams(sizes: np.ndarray, place: np.ndarray, ids: np.ndarray, parts: np.nd
 
 
 def window_share(docs: DataFrame, settings: Settings, text: str = "text") -> float:
-    """Share of the windows to draw; it falls to ``window_share`` as the table grows and stays there."""
+    """Share of the windows to draw: ``window_share``, or more where the table is small."""
+    if settings.window_share >= 1:
+        return 1.0
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     return min(1.0, max(settings.window_share, settings.window_bytes / max(size, 1)))
 
@@ -233,7 +234,7 @@ def neighbour_counts(blocks: DataFrame, counts: np.ndarray) -> np.ndarray:
 def window_groups(blocks: DataFrame) -> DataFrame:
     """``group, n, windows``: the drawn windows dealt into groups by their hash, in the order of their hash."""
     total = blocks.agg(F.sum(F.octet_length("marks").cast("long"))).first()[0] or 0
-    groups = max(1, min(GROUPS, -(-total // 8 // GROUP_WINDOWS)))
+    groups = max(1, -(-total // 8 // GROUP_WINDOWS))
     wide = 4 * (attention.WINDOW + 1)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +265,12 @@ def train_model(blocks: DataFrame, settings: Settings, counts: np.ndarray) -> tu
         model.unlearned(vocabulary, counts)
         return model, vocabulary
     model.close_empty(vocabulary)
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        states = [np.frombuffer(s, np.float32) for s in rows.sort_values("group")["state"]]
+        return pd.DataFrame({"lot": [int(key[0])], "n": [len(states)],
+                             "state": [np.sum(states, axis=0, dtype=np.float64).tobytes()]})
+
     each = -(-max(settings.steps, -(-largest // BATCH)) // ROUNDS)
     state = model.state()
     for turn in range(ROUNDS):
@@ -276,9 +283,10 @@ def train_model(blocks: DataFrame, settings: Settings, counts: np.ndarray) -> tu
                     yield pa.RecordBatch.from_pydict({"group": pa.array([row["group"]], pa.int32()),
                                                       "state": pa.array([after.tobytes()], pa.binary())})
 
-        found = groups.mapInArrow(run, "group int, state binary").collect()
-        state = np.mean([np.frombuffer(r["state"], np.float32) for r in sorted(found, key=lambda r: r["group"])], axis=0,
-                        dtype=np.float64).astype(np.float32)
+        found = groups.mapInArrow(run, "group int, state binary").groupBy(F.pmod("group", F.lit(LOTS)).alias("lot")).applyInPandas(
+            add, "lot int, n int, state binary").collect()
+        state = (np.sum([np.frombuffer(r["state"]) for r in sorted(found, key=lambda r: r["lot"])], axis=0) / sum(
+            r["n"] for r in found)).astype(np.float32)
     model.take(state)
     return model, vocabulary
 

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from odd_rows import TEXTS
+from pyspark.sql import functions as F
 
 from stationloom.llm import attention, scoring
 
@@ -93,6 +94,20 @@ def test_learns_from_texts_of_any_length(spark):
     assert np.allclose([r.score for r in sorted(got)], [r.score for r in sorted(again)], rtol=1e-6)
 
 
+def test_weights_learn_from_all_windows_of_a_large_table(spark, given, monkeypatch):
+    docs = spark.range(200).select(F.expr("repeat('a red fox ', 100000)").alias("text"))       # 200 MB of text
+    assert scoring.window_share(docs, SETTINGS) == 1.0
+    # more groups than lots, each of them enters the average
+    monkeypatch.setattr(scoring, "GROUP_WINDOWS", 700)
+    blocks = scoring.word_blocks(given, SETTINGS)
+    counts, states = scoring.subword_counts(blocks, SETTINGS), []
+    for lots in (2, 128):
+        monkeypatch.setattr(scoring, "LOTS", lots)
+        states.append(scoring.train_model(blocks, SETTINGS, counts)[0].state())
+    assert scoring.window_groups(blocks).count() > 2
+    assert np.allclose(*states, rtol=1e-3, atol=1e-4)
+
+
 def test_training_windows_and_counts_follow_the_table(given, monkeypatch):
     settings = scoring.Settings(SETTINGS.vocabulary, SETTINGS.pattern, window_share=0.2, window_bytes=0)
     coder = scoring.Subwords(settings)
