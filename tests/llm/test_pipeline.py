@@ -15,6 +15,11 @@ def test_every_operator_is_registered():
     assert names | {"pipeline"} <= set(entry.queries()) and set(queries.ORACLE_SQL) <= names
 
 
+def test_further_operators_are_registered():
+    numbers = {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit()}
+    assert numbers == set(range(1, 14)) and set(queries.FURTHER_SQL) <= set(queries.FURTHER) & set(entry.oracle_sql())
+
+
 def test_stages(spark, given, folder):
     docs, columns = given, given.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
