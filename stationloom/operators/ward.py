@@ -67,24 +67,35 @@ def nearest_clusters(state: DataFrame, width: int, target: int = cellular.TARGET
     return found.groupBy("node").agg(F.min(F.struct("cost", "best")).alias("_b")).select("node", "_b.best", "_b.cost")
 
 
+def _cheapest(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest cluster to merge with, the first at a tie, and the cost; some rows of the matrix at a time."""
+    best, cost = np.zeros(len(w), np.int64), np.zeros(len(w))
+    step = max(1, (cellular.BLOCK >> 2) // len(w))
+    for start in range(0, len(w), step):
+        part = slice(start, start + step)
+        c = costs(w[part], n[part], w, n)
+        c[np.arange(len(c)), np.arange(start, start + len(c))] = np.inf
+        best[part], cost[part] = c.argmin(axis=1), c.min(axis=1)
+    return best, cost
+
+
 def _merge_rest(state: list, turn: int) -> list[tuple]:
-    """All further merges ``a, b, height, turn`` of a bounded number of clusters, by the same rounds on one matrix."""
+    """All further merges ``a, b, height, turn`` of a bounded number of clusters, by the same rounds on the driver."""
     names = np.array([r["node"] for r in state], object)
     order = np.argsort(names, kind="stable")
     names = names[order]
     w, n = np.array([r["_w"] for r in state])[order], np.array([r["_n"] for r in state], float)[order]
     height, merges = np.array([r["_h"] for r in state])[order], []
     while len(names) > 1:
-        c = costs(w, n, w, n)
-        np.fill_diagonal(c, np.inf)
-        best = c.argmin(axis=1)
+        best, cost = _cheapest(w, n)
         a = np.flatnonzero((best[best] == np.arange(len(best))) & (np.arange(len(best)) < best))
         if not len(a):                        # equal costs in a ring: the first of the cheapest pairs
-            i, j = np.unravel_index(c.argmin(), c.shape)
+            i = cost.argmin()
+            j = best[i]
             a, best = np.array([min(i, j)]), best.copy()
-            best[a] = max(i, j)
+            best[a], cost[a] = max(i, j), cost[i]
         b = best[a]
-        height[a] = np.maximum(np.maximum(height[a], height[b]), c[a, b])
+        height[a] = np.maximum(np.maximum(height[a], height[b]), cost[a])
         merges += [(names[i], names[j], float(height[i]), turn) for i, j in zip(a, b)]
         w[a] = (w[a] * n[a, None] + w[b] * n[b, None]) / (n[a] + n[b])[:, None]
         n[a] += n[b]

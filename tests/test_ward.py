@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -59,3 +61,13 @@ def test_copies_ties_and_few_rows(spark):
     ring = [(i, float(np.cos(i * np.pi / 3)), float(np.sin(i * np.pi / 3))) for i in range(6)]
     got = ward.ward_clusters(spark.createDataFrame(ring, "id long, a double, b double"), ["a", "b"], 3, standardise=False, finish=5)
     assert len({r["cluster"] for r in got.collect()}) == 3
+
+
+def test_the_rest_needs_no_whole_matrix():
+    r = np.random.default_rng(2)
+    state = [{"node": i, "_w": [float(r.integers(0, 300)), float(r.integers(0, 300))], "_n": 1, "_h": 0.0} for i in range(ward.FINISH)]
+    tracemalloc.start()
+    merges = ward._merge_rest(state, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merges) == ward.FINISH - 1 and peak < 8 * ward.FINISH ** 2          # less than the matrix of costs
