@@ -16,14 +16,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationloom.llm.common import slices, worker_memo
 
 SPACE = "▁"
-CHUNK_BYTES = 2_000_000        # text handled at once by a task
-CACHED_PARTS = 300_000         # parts of texts whose ids a worker remembers
+CHUNK_BYTES = 500_000          # text handled at once by a task
+CACHED_PARTS = 150_000         # parts of texts whose ids a worker remembers
 BYTE, USER, NORMAL = 6, 4, 1   # fixed values: piece types of the model file
 
 
@@ -175,23 +176,29 @@ class PieceCodec:
         stop = (SPACE if spaces_lead else "") + ("\n" if lines_apart else "")
         heads = ([f"{SPACE}+[^{stop}]*"] if spaces_lead else []) + ([f"\n[^{stop}]*"] if lines_apart else [])
         self._parts = re.compile("|".join([*heads, f"[^{stop}]+"])).findall if stop else lambda text: [text] if text else []
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.unusual = limit, {}, {}
 
     def _learn(self, parts: list[str]) -> None:
         cut = self.cutter.encode(parts, num_threads=1)
         ids = np.fromiter(chain.from_iterable(cut), np.int32)
-        sizes = self.sizes[ids]
-        all_ids, all_sizes, at = ids.tobytes(), sizes.tobytes(), 0
+        all_ids, at = ids.tobytes(), 0
         for part, own in zip(parts, cut):
             n = at + len(own)
-            self.known[part] = (all_ids[4 * at:4 * n], all_sizes[2 * at:2 * n])
+            self.known[part] = all_ids[4 * at:4 * n]
             at = n
-        if not sizes.all():            # an unknown piece is as long as the characters it stands for
+        if not self.sizes[ids].all():  # an unknown piece is as long as the characters it stands for
             for part, own in zip(parts, cut):
                 if not self.sizes[own].all():
                     surfaces = self.cutter.encode(part, return_type="proto").pieces
-                    self.known[part] = (self.known[part][0],
-                                        np.array([len(p.surface.encode()) for p in surfaces], np.uint16).tobytes())
+                    self.unusual[part] = np.array([len(p.surface.encode()) for p in surfaces], np.uint16)
+
+    def _sizes(self, ids: np.ndarray, parts: list[str], found: list[bytes]) -> np.ndarray:
+        """Bytes of each piece."""
+        sizes = self.sizes[ids]
+        if sizes.all():
+            return sizes
+        return np.concatenate([self.unusual[p] if p in self.unusual else self.sizes[np.frombuffer(f, np.int32)]
+                               for p, f in zip(parts, found)])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: ids, and the first and the last-but-one byte offsets of their spans in the UTF-8 text."""
@@ -201,14 +208,15 @@ class PieceCodec:
         new = seen.difference(self.known)
         if new and len(self.known) + len(new) > self.limit:
             self.known.clear()
+            self.unusual.clear()
             new = seen
         if new:
             self._learn(list(new))
         get, out = self.known.__getitem__, []
         for (_, source), parts in zip(normal, split):
             found = list(map(get, parts))
-            ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-            ends = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), np.uint16), dtype=np.int64)
+            ids = np.frombuffer(b"".join(found), np.int32)
+            ends = np.cumsum(self._sizes(ids, parts, found), dtype=np.int64)
             last = source[ends]
             first = source[np.concatenate([[0], ends[:-1]])] if len(ends) else last
             out.append((ids, first, last))
@@ -233,7 +241,7 @@ def encode_documents(docs: DataFrame, model: str, end_id: bool = True, key: str
         stop = pieces.model.eos_id()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            sizes = [len(v) if v is not None else 0 for v in texts.cast(pa.large_binary()).to_pylist()]
+            sizes = pc.binary_length(texts.fill_null("")).to_pylist()
             for start, end in slices(sizes, CHUNK_BYTES):
                 rows = pieces.encode([t or "" for t in texts.slice(start, end - start).to_pylist()])
                 if end_id:
