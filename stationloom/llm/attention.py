@@ -307,10 +307,11 @@ class Model:
 
     def advance(self, state: np.ndarray, rows: np.ndarray, vocabulary: Vocabulary, start: int, done: int, stop: int,
                 steps: int, batch: int = 64, rate: float = 0.02) -> np.ndarray:
-        """The state after steps ``done`` to ``stop`` of ``steps`` over the windows of ``rows``, taken in turn."""
+        """The state after steps ``done`` to ``stop`` of ``steps`` over the windows of ``rows``, taken in turn from the first."""
         moments = self.take(state)
         for step in range(done + 1, stop + 1):
-            ids, scored, target = inputs_of(rows[np.arange((step - 1) * batch, step * batch) % len(rows)], start, vocabulary)
+            ids, scored, target = inputs_of(rows[np.arange((step - 1 - done) * batch, (step - done) * batch) % len(rows)], start,
+                                            vocabulary)
             self._adam(self.gradients(ids, scored, vocabulary.classes[target])[1], moments, step, steps, rate)
         return np.concatenate([v.reshape(-1) for v in self.p.values()] + [
             moments[k][j].reshape(-1) for j in (0, 1) for k in self.p]).astype(np.float32)

@@ -104,22 +104,22 @@ def window_share(docs: DataFrame, settings: Settings, text: str = "text") -> flo
 
 
 def word_blocks(docs: DataFrame, settings: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per block: its documents, their packed words, its different words with training counts and ids, and the
-    drawn training windows with the hash that drew them."""
+    """One row per block: its documents, their packed words, its different words with training counts and ids, the hashes
+    of the drawn training windows, which windows are drawn (a bit each), and the end id."""
     share = window_share(docs, settings, text)
     kind = dict(docs.dtypes)[key]
     schema = (f"block long, keys array<{kind}>, held array<boolean>, sizes array<int>, control binary, data binary, "
-              "words array<string>, train array<long>, ids binary, parts binary, marks binary, windows binary")
+              "words array<string>, train array<long>, ids binary, parts binary, marks binary, drawn binary, end int")
 
     def draw(sizes, place, ids, parts, seeds, end) -> tuple[np.ndarray, np.ndarray]:
-        marks, rows = [np.zeros(0, "<i8")], [np.zeros((0, attention.WINDOW + 1), "<i4")]
+        marks, drawn = [np.zeros(0, "<i8")], [np.zeros(0, bool)]
         for start, stop, _, _, _, stream in _streams(sizes, place, ids, parts, end):
             of, first, _ = attention.windows(stream.lengths)
             mark = _mixed(seeds[start:stop].view(np.uint64)[of] + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             chosen = (mark >> np.uint64(11)) * 2.0 ** -53 < share
             marks.append(mark[chosen].view("<i8"))
-            rows.append(stream.rows(of[chosen], first[chosen]))
-        return np.concatenate(marks), np.concatenate(rows)
+            drawn.append(chosen)
+        return np.concatenate(marks), np.packbits(np.concatenate(drawn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, number = _subwords(settings), TaskContext.get().partitionId(), 0
@@ -161,12 +161,28 @@ def word_blocks(docs: DataFrame, settings: Settings, key: str = "doc_id", text:
                     "ids": pa.array([ids.astype("<u2" if coder.size <= 1 << 16 else "<u4").tobytes()], pa.binary()),
                     "parts": pa.array([parts.tobytes()], pa.binary()),
                     "marks": pa.array([marks.tobytes()], pa.binary()),
-                    "windows": pa.array([drawn.tobytes()], pa.binary())})
+                    "drawn": pa.array([drawn.tobytes()], pa.binary()), "end": pa.array([coder.end], pa.int32())})
                 number += 1
 
     rows = docs.select(F.col(key).alias("_key"), (crc_class(key, settings.folds) == settings.held_out).alias("_held"),
                        F.col(text).alias("_text"), F.xxhash64(key, text).alias("_seed"))
-    return stored(rows.mapInArrow(run, schema), codec="zstd")
+    return stored(rows.mapInArrow(run, schema), codec="zstd", large_rows=True)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one by one: a block has megabytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _training(row: dict):
+    """What ``_streams`` gives, of the training texts of a block."""
+    sizes, mine = np.array(row["sizes"], np.int64), ~np.array(row["held"], bool)
+    place = unpack(row["control"], row["data"], int(sizes.sum())).astype(np.int64)[np.repeat(mine, sizes)]
+    parts = np.frombuffer(row["parts"], "<u4").astype(np.int64)
+    ids = np.frombuffer(row["ids"], "<u2" if row["end"] < 1 << 16 else "<u4")
+    return _streams(sizes[mine], place, ids, parts, row["end"])
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
@@ -204,19 +220,14 @@ def subword_counts(blocks: DataFrame, settings: Settings) -> np.ndarray:
 
 def neighbour_counts(blocks: DataFrame, counts: np.ndarray) -> np.ndarray:
     """What stands before each id in all training texts; tasks send sums, never words."""
-    classes, size, end = attention.own_classes(counts), len(counts), len(counts) - 1
-    width = "<u2" if size <= 1 << 16 else "<u4"
+    classes, size = attention.own_classes(counts), len(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                near = attention.neighbours(size) if near is None else near
-                sizes, mine = np.array(row["sizes"], np.int64), ~np.array(row["held"], bool)
-                place = unpack(row["control"], row["data"], int(sizes.sum())).astype(np.int64)[np.repeat(mine, sizes)]
-                parts = np.frombuffer(row["parts"], "<u4").astype(np.int64)
-                for *_, stream in _streams(sizes[mine], place, np.frombuffer(row["ids"], width), parts, end):
-                    attention.add_neighbours(near, stream.ids, stream.lengths, classes)
+        for row in _each(batches):
+            near = attention.neighbours(size) if near is None else near
+            for *_, stream in _training(row):
+                attention.add_neighbours(near, stream.ids, stream.lengths, classes)
         if near is not None:
             at, before = np.nonzero(near)
             for k in range(0, len(at), 100_000):
@@ -224,43 +235,94 @@ def neighbour_counts(blocks: DataFrame, counts: np.ndarray) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(at[part].astype(np.int32)), pa.array(before[part].astype(
                     np.int32)), pa.array(near[at[part], before[part]].astype(np.int64))], ["id", "before", "n"])
 
-    sums = blocks.select("sizes", "held", "control", "data", "ids", "parts").mapInArrow(
+    sums = blocks.select("sizes", "held", "control", "data", "ids", "parts", "end").mapInArrow(
         run, "id int, before int, n long").groupBy("id", "before").agg(F.sum("n").alias("n")).toArrow()
     near = np.zeros((size, attention.CLASSES - attention.GROUPS), np.float32)
     near[sums["id"].to_numpy(), sums["before"].to_numpy()] = sums["n"].to_numpy()
     return near
 
 
-def window_groups(blocks: DataFrame) -> DataFrame:
-    """``group, n, windows``: the drawn windows dealt into groups by their hash, in the order of their hash."""
+def group_count(blocks: DataFrame) -> int:
+    """Groups that the drawn windows are dealt into."""
     total = blocks.agg(F.sum(F.octet_length("marks").cast("long"))).first()[0] or 0
-    groups = max(1, -(-total // 8 // GROUP_WINDOWS))
-    wide = 4 * (attention.WINDOW + 1)
+    return max(1, -(-total // 8 // GROUP_WINDOWS))
+
+
+def largest_group(blocks: DataFrame) -> int:
+    """Windows of the largest group, 0 if no window is drawn."""
+    groups = group_count(blocks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            found, n = np.unique(np.mod(np.frombuffer(row["marks"], "<i8"), groups), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["group", "n"])
+
+    return blocks.select("marks").mapInArrow(count, "group long, n long").groupBy("group").agg(F.sum("n").alias("n")).agg(
+        F.max("n")).first()[0] or 0
+
+
+def window_groups(blocks: DataFrame, turn_windows: int | None = None) -> DataFrame:
+    """``group, n, windows``: the drawn windows dealt into groups by their hash, in the order of their hash.
+
+    With ``turn_windows`` the windows of each of the ``ROUNDS`` turns are a column of their own, ``turn0, turn1, ...``,
+    so a turn reads no others: as many windows each, which go on where the turn before ends and start again after the
+    last; a group with fewer is whole in each turn.
+    """
+    groups, wide = group_count(blocks), attention.WINDOW + 1
+    names = ["windows"] if turn_windows is None else [f"turn{t}" for t in range(ROUNDS)]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                marks = np.frombuffer(row["marks"], "<i8")
-                for k in range(0, len(marks), 20_000):
-                    rows = [row["windows"][i * wide:(i + 1) * wide] for i in range(k, min(k + 20_000, len(marks)))]
-                    yield pa.RecordBatch.from_arrays([pa.array(marks[k:k + 20_000]), pa.array(rows, pa.binary())],
-                                                     ["mark", "ids"])
+        """A row for each group that has windows in a block; ids take two bytes where they fit, -1 is then 65535."""
+        for row in _each(batches):
+            kind = "<u2" if row["end"] < (1 << 16) - 1 else "<i4"
+            marks, drawn, at, found = np.frombuffer(row["marks"], "<i8"), np.frombuffer(row["drawn"], np.uint8), 0, []
+            drawn = np.unpackbits(drawn).astype(bool)
+            for *_, stream in _training(row):
+                of, first, _ = attention.windows(stream.lengths)
+                chosen = drawn[at:at + len(of)]
+                found.append(stream.rows(of[chosen], first[chosen]).astype(kind))
+                at += len(of)
+            if not len(marks):
+                continue
+            group = np.mod(marks, groups)
+            order = np.argsort(group, kind="stable")
+            own, n = np.unique(group, return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            windows = np.concatenate(found)[order]
+            held = [pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(data)])
+                    for data, size in ((marks[order], 8), (windows, windows.itemsize * wide))]
+            whole = pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *held], ["group", "marks", "windows"])
+            for start in range(0, len(n), 64):
+                yield whole.slice(start, 64)
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mark", "ids"])
-        return pd.DataFrame({"group": [int(rows["group"].iloc[0])], "n": [len(rows)], "windows": [b"".join(rows["ids"])]})
-
-    return stored(blocks.select("marks", "windows").mapInArrow(split, "mark long, ids binary").withColumn(
-        "group", F.pmod("mark", F.lit(groups)).cast("int")).groupBy("group").applyInPandas(
-        join, "group int, n long, windows binary"))
+        marks, data = np.frombuffer(b"".join(rows["marks"]), "<i8"), b"".join(rows["windows"])
+        small = len(data) == 2 * wide * len(marks)
+        windows = np.frombuffer(data, "<u2" if small else "<i4").reshape(-1, wide).astype("<i4")
+        if small:
+            windows[windows == (1 << 16) - 1] = -1
+        order = np.argsort(marks, kind="stable")
+        if (np.diff(marks[order]) == 0).any():
+            order = np.array(sorted(range(len(marks)), key=lambda i: (marks[i], windows[i].tobytes())))
+        n = len(order)
+        if turn_windows is None:
+            turns = [order]
+        else:
+            turns = [order[np.arange(t * turn_windows, t * turn_windows + min(turn_windows, n)) % n] for t in range(ROUNDS)]
+        return pd.DataFrame({"group": [int(rows["group"].iloc[0])], "n": [n]} | {
+            name: [windows[turn].tobytes()] for name, turn in zip(names, turns)})
+
+    dealt = blocks.select("sizes", "held", "control", "data", "ids", "parts", "marks", "drawn", "end").mapInArrow(
+        split, "group int, marks binary, windows binary")
+    return stored(dealt.groupBy("group").applyInPandas(
+        join, "group int, n long, " + ", ".join(f"{name} binary" for name in names)), codec="zstd", large_rows=True)
 
 
 def train_model(blocks: DataFrame, settings: Settings, counts: np.ndarray) -> tuple[Model, Vocabulary]:
     """The attention model and its classes, from all training texts. Weights and moments of the groups are averaged in
     the order of the groups, so the model does not depend on how the table is split."""
     vocabulary, model, end = Vocabulary.of(counts, neighbour_counts(blocks, counts)), Model(), len(counts) - 1
-    groups = window_groups(blocks)
-    largest = groups.agg(F.max("n")).first()[0]
+    largest = largest_group(blocks)
     if not largest:
         model.unlearned(vocabulary, counts)
         return model, vocabulary
@@ -272,18 +334,17 @@ def train_model(blocks: DataFrame, settings: Settings, counts: np.ndarray) -> tu
                              "state": [np.sum(states, axis=0, dtype=np.float64).tobytes()]})
 
     each = -(-max(settings.steps, -(-largest // BATCH)) // ROUNDS)
-    state = model.state()
+    groups, state = window_groups(blocks, each * BATCH), model.state()
     for turn in range(ROUNDS):
         def run(batches: Iterator[pa.RecordBatch], state=state, turn=turn) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    windows = np.frombuffer(row["windows"], "<i4").reshape(-1, attention.WINDOW + 1)
-                    after = Model().advance(state, windows, vocabulary, end, turn * each, (turn + 1) * each,
-                                            ROUNDS * each, BATCH)
-                    yield pa.RecordBatch.from_pydict({"group": pa.array([row["group"]], pa.int32()),
-                                                      "state": pa.array([after.tobytes()], pa.binary())})
-
-        found = groups.mapInArrow(run, "group int, state binary").groupBy(F.pmod("group", F.lit(LOTS)).alias("lot")).applyInPandas(
+            for row in _each(batches):
+                windows = np.frombuffer(row["windows"], "<i4").reshape(-1, attention.WINDOW + 1)
+                after = Model().advance(state, windows, vocabulary, end, turn * each, (turn + 1) * each, ROUNDS * each, BATCH)
+                yield pa.RecordBatch.from_pydict({"group": pa.array([row["group"]], pa.int32()),
+                                                  "state": pa.array([after.tobytes()], pa.binary())})
+
+        states = groups.select("group", F.col(f"turn{turn}").alias("windows")).mapInArrow(run, "group int, state binary")
+        found = states.groupBy(F.pmod("group", F.lit(LOTS)).alias("lot")).applyInPandas(
             add, "lot int, n int, state binary").collect()
         state = (np.sum([np.frombuffer(r["state"]) for r in sorted(found, key=lambda r: r["lot"])], axis=0) / sum(
             r["n"] for r in found)).astype(np.float32)
@@ -350,7 +411,7 @@ def score_texts(docs: DataFrame, settings: Settings, key: str = "doc_id", text:
         return pd.concat(out) if out else pd.DataFrame(
             {c: [] for c in ("_key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
-    scored = blocks.drop("words", "train", "marks", "windows").groupBy("block").cogroup(counts.select("block", "place", "count").groupBy(
+    scored = blocks.drop("words", "train", "marks", "drawn", "end").groupBy("block").cogroup(counts.select("block", "place", "count").groupBy(
         "block")).applyInPandas(run, f"_key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                 "base_score double, score double")
     return scored.withColumnRenamed("_key", key)

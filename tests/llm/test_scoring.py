@@ -137,6 +137,27 @@ def test_training_windows_and_counts_follow_the_table(given, monkeypatch):
     assert (scoring.neighbour_counts(blocks, counts)[:-1] == near[:-1]).all()
 
 
+def test_a_turn_reads_its_own_windows_only(given, monkeypatch):
+    monkeypatch.setattr(scoring, "GROUP_WINDOWS", 700)
+    blocks = scoring.word_blocks(given, SETTINGS)
+    assert "windows" not in blocks.columns         # they are made from the words, not kept beside them
+    whole = {r.group: np.frombuffer(r.windows, "<i4").reshape(-1, attention.WINDOW + 1) for r in scoring.window_groups(blocks).collect()}
+    assert scoring.largest_group(blocks) == max(map(len, whole.values())) and len(whole) > 2
+    for each in (100, 5000):                       # fewer than a group has, and more
+        for r in scoring.window_groups(blocks, each).collect():
+            n = len(whole[r.group])
+            for t in range(scoring.ROUNDS):
+                want = whole[r.group][np.arange(t * each, t * each + min(each, n)) % n]
+                assert r.n == n and r[f"turn{t}"] == want.tobytes()
+    # steps over the slice of a turn are those over the whole group
+    counts = scoring.subword_counts(blocks, SETTINGS)
+    vocabulary, rows = attention.Vocabulary.of(counts, scoring.neighbour_counts(blocks, counts)), whole[0]
+    begin = np.arange(2 * 192, 2 * 192 + 192) % len(rows)
+    a, b = (attention.Model().advance(attention.Model().state(), r, vocabulary, len(counts) - 1, 6, 9, 30)
+            for r in (np.roll(rows, -2 * 192, axis=0), rows[begin]))
+    assert np.array_equal(a, b)
+
+
 def plain_log_prob(model: attention.Model, ids: list[int], at: int, target: int) -> float:
     """One position of one window by loops: attend to the places up to ``at``, then the dense part, then the classes."""
     p = {k: v.astype(float) for k, v in model.p.items()}
