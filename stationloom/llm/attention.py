@@ -17,6 +17,7 @@ WIDTH, HIDDEN, CLASSES = 16, 32, 128
 GROUPS, OTHERS = 24, 8           # classes that several ids share, and embeddings of each
 AT_ONCE = 128                    # windows per batch: what fits into a core's cache
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+FIRST, PAST = 65534, 65535       # in coded windows: the start id before a first window, places past the end of a text
 SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 ONES = np.ones(CLASSES, np.float32)
 
@@ -108,13 +109,13 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Room:
     """Arrays that one batch leaves to the next: getting fresh pages costs more time than the arithmetic on them."""
 
-    def __init__(self) -> None:
-        self.held: dict[str, np.ndarray] = {}
+    def __init__(self, kind: type = np.float32) -> None:
+        self.kind, self.held = kind, {}
 
     def __call__(self, name: str, *shape: int) -> np.ndarray:
         size = int(np.prod(shape))
         if name not in self.held or self.held[name].size < size:
-            self.held[name] = np.empty(size, np.float32)
+            self.held[name] = np.empty(size, self.kind)
         return self.held[name][:size].reshape(shape)
 
 
@@ -176,6 +177,13 @@ class Model:
 
     def _log_probs(self, ids: np.ndarray, scored: np.ndarray, target: np.ndarray, room: Room,
                    p: dict[str, np.ndarray]) -> np.ndarray:
+        logit = self._forward(ids, scored, room, p)["logit"]
+        picked = logit[np.arange(len(target)), target]
+        np.exp(logit, out=logit)
+        return picked - np.log(logit @ ONES)
+
+    def _forward(self, ids: np.ndarray, scored: np.ndarray, room: Room, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The logits at the scored positions and what led to them; ``weight`` is not divided by its sums ``z``."""
         n, wide = len(ids), WIDTH + 1
         x = np.take(p["embed"], ids, axis=0, out=room("x", n, WINDOW, wide), mode="clip")
         x += p["place"]
@@ -190,32 +198,95 @@ class Model:
         at = np.flatnonzero(scored)
         h = np.take(flat, at, axis=0, out=room("h", len(at), wide), mode="clip")
         mixed = np.take(mixed, at, axis=0, out=room("m", len(at), wide), mode="clip")
-        mixed /= mixed[:, WIDTH:].copy()
+        z = mixed[:, WIDTH:].copy()
+        mixed /= z
         h += np.matmul(mixed, p["o"], out=room("o", len(at), wide))
         up = np.matmul(h, p["up"], out=room("up", len(at), HIDDEN))
         np.maximum(up, 0, out=up)
-        h += np.matmul(up, p["down"], out=room("o", len(at), wide))
-        logit = np.matmul(h, p["out"], out=room("logit", len(at), CLASSES))
-        picked = logit[np.arange(len(target)), target]
-        np.exp(logit, out=logit)
-        return picked - np.log(logit @ ONES)
+        top = np.matmul(up, p["down"], out=room("o", len(at), wide))
+        top += h                        # h stays for the gradients
+        logit = np.matmul(top, p["out"], out=room("logit", len(at), CLASSES))
+        return {"flat": flat, "q": q, "k": k, "v": v, "weight": weight, "at": at, "z": z, "mixed": mixed, "h": h, "up": up,
+                "top": top, "logit": logit}
 
     def _widened(self) -> dict[str, np.ndarray]:
         """The weights for inputs with a one as last entry: it carries the biases and adds up the attention."""
-        p, one = self.p, np.eye(WIDTH + 1, dtype=np.float32)[WIDTH:]
-
-        def below(matrix: np.ndarray, row: np.ndarray | float = 0.0) -> np.ndarray:
-            return np.concatenate([matrix, np.broadcast_to(np.float32(row), (1, matrix.shape[1]))])
-
-        def beside(matrix: np.ndarray, entry: float = 0.0) -> np.ndarray:
-            return np.concatenate([matrix, np.full((len(matrix), 1), entry, np.float32)], axis=1)
-
-        return {"embed": beside(p["embed"], 1.0), "place": beside(p["place"]),
-                "q": below(p["q"] * np.float32(WIDTH ** -0.5)), "k": below(p["k"]),
-                "v": np.concatenate([beside(p["v"]), one]), "o": below(beside(p["o"])), "up": below(p["up"], p["up0"]),
-                "down": beside(p["down"]), "out": below(p["out"], p["out0"])}
-
-    def gradients(self, ids: np.ndarray, scored: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        p, wide = self.p, WIDTH + 1
+
+        def framed(rows: int, columns: int, *parts: tuple[int, int, np.ndarray | float]) -> np.ndarray:
+            out = np.zeros((rows, columns), p["embed"].dtype)
+            for row, column, part in parts:
+                size = np.shape(part) or (rows, 1)
+                out[row:row + size[0], column:column + size[1]] = part
+            return out
+
+        return {"embed": framed(len(p["embed"]), wide, (0, 0, p["embed"]), (0, WIDTH, 1.0)),
+                "place": framed(WINDOW, wide, (0, 0, p["place"])),
+                "q": framed(wide, WIDTH, (0, 0, p["q"] * np.float32(WIDTH ** -0.5))), "k": framed(wide, WIDTH, (0, 0, p["k"])),
+                "v": framed(wide, wide, (0, 0, p["v"]), (WIDTH, WIDTH, np.ones((1, 1), np.float32))),
+                "o": framed(wide, wide, (0, 0, p["o"])), "up": framed(wide, HIDDEN, (0, 0, p["up"]), (WIDTH, 0, p["up0"][None])),
+                "down": framed(HIDDEN, wide, (0, 0, p["down"])),
+                "out": framed(wide, CLASSES, (0, 0, p["out"]), (WIDTH, 0, p["out0"][None]))}
+
+    def gradients(self, ids: np.ndarray, scored: np.ndarray, target: np.ndarray, room: Room | None = None) -> tuple[
+            float, dict[str, np.ndarray]]:
+        """Mean loss of a batch and the gradients of all weights; like ``log_probs`` without a search for the largest
+        exponent, which a batch gets only where one is too large."""
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            loss, g = self._gradients(ids, scored, target, room or Room(self.p["embed"].dtype))
+        return (loss, g) if np.isfinite(loss) else self.careful_gradients(ids, scored, target)
+
+    def _gradients(self, ids: np.ndarray, scored: np.ndarray, target: np.ndarray, room: Room) -> tuple[
+            float, dict[str, np.ndarray]]:
+        p, n, wide, size = self.p, len(ids), WIDTH + 1, len(target)
+        t = self._forward(ids, scored, room, self._widened())
+        flat, weight, at, up, mixed = t["flat"], t["weight"], t["at"], t["up"], t["mixed"]
+        rows, d = np.arange(size), t["logit"]
+        loss = -d[rows, target]
+        np.exp(d, out=d)
+        total = d @ ONES
+        loss = float((loss + np.log(total)).mean())
+        d *= (1.0 / (total * size)).astype(d.dtype)[:, None]
+        d[rows, target] -= 1.0 / size
+        out = np.matmul(d.T, t["top"]).T
+        g = {"out": out[:WIDTH], "out0": out[WIDTH]}
+        d_top = np.matmul(d, p["out"].T, out=room("d_top", size, WIDTH))
+        g["down"] = up.T @ d_top
+        d_up = np.matmul(d_top, p["down"].T, out=room("d_up", size, HIDDEN))
+        d_up *= up > 0
+        both = t["h"].T @ d_up
+        g["up"], g["up0"] = both[:WIDTH], both[WIDTH]
+        d_top += np.matmul(d_up, p["up"].T, out=room("d_h", size, WIDTH))
+        g["o"] = (mixed.T @ d_top)[:WIDTH]
+        # next to the gradient of what is mixed, over its sum, stands what the softmax takes off; the ones of v add it
+        d_mixed = np.matmul(d_top, p["o"].T, out=room("d_h", size, WIDTH))
+        some = room("some", size, wide)
+        some[:, :WIDTH] = d_mixed
+        np.einsum("ij,ij->i", d_mixed, mixed[:, :WIDTH], out=some[:, WIDTH])
+        some[:, WIDTH] *= -1
+        some /= t["z"]
+        whole = room("whole", n * WINDOW, wide)
+        whole[:] = 0
+        whole[at] = some
+        whole = whole.reshape(n, WINDOW, wide)
+        d_s = np.matmul(whole, t["v"].transpose(0, 2, 1), out=room("d_s", n, WINDOW, WINDOW))
+        d_s *= weight
+        d_qkv = room("d_qkv", n, WINDOW, 3 * WIDTH)
+        np.matmul(d_s, t["k"], out=d_qkv[:, :, :WIDTH])
+        np.matmul(d_s.transpose(0, 2, 1), t["q"], out=d_qkv[:, :, WIDTH:2 * WIDTH])
+        np.matmul(weight.transpose(0, 2, 1), whole[:, :, :WIDTH], out=d_qkv[:, :, 2 * WIDTH:])
+        d_qkv = d_qkv.reshape(-1, 3 * WIDTH)
+        scale = np.float32(WIDTH ** -0.5)
+        each = flat.T @ d_qkv
+        g["q"], g["k"], g["v"] = each[:WIDTH, :WIDTH] * scale, each[:WIDTH, WIDTH:2 * WIDTH], each[:WIDTH, 2 * WIDTH:]
+        d_x = np.matmul(d_qkv, np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1).T, out=room("d_x", n * WINDOW, WIDTH))
+        d_x[at] += d_top
+        g["place"] = d_x.reshape(n, WINDOW, WIDTH).sum(axis=0)
+        entry = ids.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
+        g["embed"] = np.bincount(entry.reshape(-1), d_x.reshape(-1), p["embed"].size).reshape(p["embed"].shape)
+        return loss, {name: g[name].astype(value.dtype, copy=False) for name, value in p.items()}
+
+    def careful_gradients(self, ids: np.ndarray, scored: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, t = self.p, self._attend(ids)
         mixed = t["m"].reshape(-1, WIDTH)
         full = t["x"] + (mixed @ p["o"]).reshape(t["x"].shape)
@@ -263,13 +334,13 @@ class Model:
             return []
         self.close_empty(vocabulary)
         rng, losses = np.random.default_rng(seed), []
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        weights, moments, room = *self.take(self.state()), Room()
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(text), batch)
             ids, scored, target = stream.batch(text[pick], first[pick], skip[pick], vocabulary)
-            loss, grads = self.gradients(ids, scored, vocabulary.classes[target])
+            loss, grads = self.gradients(ids, scored, vocabulary.classes[target], room)
             losses.append(loss)
-            self._adam(grads, moments, step, steps, rate)
+            self._adam(grads, weights, moments, step, steps, rate)
         return losses
 
     def close_empty(self, vocabulary: Vocabulary) -> None:
@@ -283,38 +354,41 @@ class Model:
         self.p["out"][:] = 0
         self.p["out0"][:] = np.log(np.maximum(total, 1e-30) / total.sum())
 
-    def _adam(self, grads: dict[str, np.ndarray], moments: dict[str, tuple], step: int, steps: int, rate: float) -> None:
+    def _adam(self, grads: dict[str, np.ndarray], weights: np.ndarray, moments: np.ndarray, step: int, steps: int,
+              rate: float) -> None:
+        """One step of all weights, which ``take`` has laid out as one vector."""
         speed = rate * min(1.0, step / 20, 2.0 * (1 - (step - 1) / steps) + 0.02)
-        for name, g in grads.items():
-            m, v = moments[name]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.p[name] -= (speed * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-7)).astype(
-                np.float32)
+        g, (m, v) = np.concatenate([grads[name].reshape(-1) for name in self.p]), moments
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        weights -= speed * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-7)
 
     def state(self) -> np.ndarray:
         """Weights and zero moments as one vector, for ``advance``."""
         weights = np.concatenate([v.reshape(-1) for v in self.p.values()])
         return np.concatenate([weights, np.zeros(2 * len(weights), np.float32)]).astype(np.float32)
 
-    def take(self, state: np.ndarray) -> dict[str, tuple]:
-        """Set the weights from a state vector; returns its moments."""
-        size, at, moments = len(state) // 3, 0, {}
+    def take(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Set the weights from a state vector, as views of one vector; returns this and the two moments."""
+        parts, at = state.reshape(3, -1).copy(), 0
         for name, value in self.p.items():
-            part = [state[k * size + at:k * size + at + value.size].reshape(value.shape).copy() for k in range(3)]
-            self.p[name], moments[name], at = part[0], (part[1], part[2]), at + value.size
-        return moments
+            self.p[name], at = parts[0, at:at + value.size].reshape(value.shape), at + value.size
+        return parts[0], parts[1:]
 
     def advance(self, state: np.ndarray, rows: np.ndarray, vocabulary: Vocabulary, start: int, done: int, stop: int,
                 steps: int, batch: int = 64, rate: float = 0.02) -> np.ndarray:
         """The state after steps ``done`` to ``stop`` of ``steps`` over the windows of ``rows``, taken in turn from the first."""
-        moments = self.take(state)
+        return self.advance_coded(state, coded(rows, start, vocabulary), int(vocabulary.inputs[start]), done, stop, steps, batch,
+                                  rate)
+
+    def advance_coded(self, state: np.ndarray, codes: np.ndarray, start: int, done: int, stop: int, steps: int, batch: int = 64,
+                      rate: float = 0.02) -> np.ndarray:
+        """``advance`` over windows from ``coded``; ``start`` is the embedding row of the start id."""
+        weights, moments, room = *self.take(state), Room()
         for step in range(done + 1, stop + 1):
-            ids, scored, target = inputs_of(rows[np.arange((step - 1 - done) * batch, (step - done) * batch) % len(rows)], start,
-                                            vocabulary)
-            self._adam(self.gradients(ids, scored, vocabulary.classes[target])[1], moments, step, steps, rate)
-        return np.concatenate([v.reshape(-1) for v in self.p.values()] + [
-            moments[k][j].reshape(-1) for j in (0, 1) for k in self.p]).astype(np.float32)
+            turn = codes[np.arange((step - 1 - done) * batch, (step - done) * batch) % len(codes)]
+            self._adam(self.gradients(*inputs_of_codes(turn, start), room)[1], weights, moments, step, steps, rate)
+        return np.concatenate([weights, moments.reshape(-1)]).astype(np.float32)
 
     def score(self, stream: Stream, vocabulary: Vocabulary) -> np.ndarray:
         """Natural log-probability of every id of the stream, each scored once."""
@@ -368,3 +442,19 @@ def inputs_of(rows: np.ndarray, start: int, vocabulary: Vocabulary):
     seen, target = rows[:, :-1], rows[:, 1:]
     scored = (target >= 0) & (np.arange(WINDOW) >= np.where(rows[:, :1] == start, 0, OVERLAP))
     return vocabulary.inputs[np.where(seen < 0, start, seen)], scored, target[scored]
+
+
+def coded(rows: np.ndarray, start: int, vocabulary: Vocabulary) -> np.ndarray:
+    """``Stream.rows`` with the embedding row of each id in its place, which tells its class too: two bytes an id."""
+    codes = vocabulary.inputs.astype("<u2")[rows]
+    codes[rows < 0] = PAST
+    codes[rows[:, 0] == start, 0] = FIRST
+    return codes
+
+
+def inputs_of_codes(codes: np.ndarray, start: int):
+    """What ``inputs_of`` gives, with the classes of the targets instead of their ids."""
+    own, seen, target = CLASSES - GROUPS, codes[:, :-1], codes[:, 1:]
+    scored = (target != PAST) & (np.arange(WINDOW) >= np.where(codes[:, :1] == FIRST, 0, OVERLAP))
+    found = target[scored].astype(np.int64)
+    return np.where(seen >= FIRST, start, seen).astype(np.int64), scored, np.where(found < own, found, own + (found - own) % GROUPS)

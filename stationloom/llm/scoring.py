@@ -261,9 +261,22 @@ def largest_group(blocks: DataFrame) -> int:
         F.max("n")).first()[0] or 0
 
 
-def window_groups(blocks: DataFrame, turn_windows: int | None = None) -> DataFrame:
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of two bytes, compressed: the lower bytes, then the upper ones, which are alike."""
+    return pa.compress(np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, 2).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 2 * count, "zstd", asbytes=True), np.uint8).reshape(2, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u2")
+
+
+def window_groups(blocks: DataFrame, turn_windows: int | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:
     """``group, n, windows``: the drawn windows dealt into groups by their hash, in the order of their hash.
 
+    With ``vocabulary`` the windows are those of ``attention.coded``, and ``_unpacked`` reads them: training needs no
+    more, and they take a third of the room of ids.
+
     With ``turn_windows`` the windows of each of the ``ROUNDS`` turns are a column of their own, ``turn0, turn1, ...``,
     so a turn reads no others: as many windows each, which go on where the turn before ends and start again after the
     last; a group with fewer is whole in each turn.
@@ -274,13 +287,14 @@ def window_groups(blocks: DataFrame, turn_windows: int | None = None) -> DataFra
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each group that has windows in a block; ids take two bytes where they fit, -1 is then 65535."""
         for row in _each(batches):
-            kind = "<u2" if row["end"] < (1 << 16) - 1 else "<i4"
+            kind = "<u2" if vocabulary or row["end"] < (1 << 16) - 1 else "<i4"
             marks, drawn, at, found = np.frombuffer(row["marks"], "<i8"), np.frombuffer(row["drawn"], np.uint8), 0, []
             drawn = np.unpackbits(drawn).astype(bool)
             for *_, stream in _training(row):
                 of, first, _ = attention.windows(stream.lengths)
                 chosen = drawn[at:at + len(of)]
-                found.append(stream.rows(of[chosen], first[chosen]).astype(kind))
+                rows = stream.rows(of[chosen], first[chosen])
+                found.append(attention.coded(rows, row["end"], vocabulary) if vocabulary else rows.astype(kind))
                 at += len(of)
             if not len(marks):
                 continue
@@ -288,18 +302,23 @@ def window_groups(blocks: DataFrame, turn_windows: int | None = None) -> DataFra
             order = np.argsort(group, kind="stable")
             own, n = np.unique(group, return_counts=True)
             ends = np.concatenate([[0], np.cumsum(n)])
-            windows = np.concatenate(found)[order]
-            held = [pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(data)])
-                    for data, size in ((marks[order], 8), (windows, windows.itemsize * wide))]
-            whole = pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *held], ["group", "marks", "windows"])
+            marks, windows = marks[order], np.concatenate(found)[order]
             for start in range(0, len(n), 64):
-                yield whole.slice(start, 64)
+                runs = [slice(ends[i], ends[i + 1]) for i in range(start, min(start + 64, len(n)))]
+                yield pa.RecordBatch.from_pydict({
+                    "group": pa.array(own[start:start + 64].astype(np.int32)),
+                    "marks": pa.array([marks[run].tobytes() for run in runs], pa.binary()),
+                    "windows": pa.array([_packed(windows[run]) if kind == "<u2" else windows[run].tobytes() for run in runs],
+                                        pa.binary()),
+                    "small": pa.array([kind == "<u2"] * len(runs))})
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        marks, data = np.frombuffer(b"".join(rows["marks"]), "<i8"), b"".join(rows["windows"])
-        small = len(data) == 2 * wide * len(marks)
-        windows = np.frombuffer(data, "<u2" if small else "<i4").reshape(-1, wide).astype("<i4")
-        if small:
+        marks = np.frombuffer(b"".join(rows["marks"]), "<i8")
+        windows = np.concatenate([
+            _unpacked(data, len(mark) // 8 * wide) if small else np.frombuffer(data, "<i4")
+            for mark, data, small in zip(rows["marks"], rows["windows"], rows["small"])]).reshape(-1, wide)
+        if not vocabulary and windows.dtype == np.uint16:
+            windows = windows.astype("<i4")
             windows[windows == (1 << 16) - 1] = -1
         order = np.argsort(marks, kind="stable")
         if (np.diff(marks[order]) == 0).any():
@@ -310,10 +329,10 @@ def window_groups(blocks: DataFrame, turn_windows: int | None = None) -> DataFra
         else:
             turns = [order[np.arange(t * turn_windows, t * turn_windows + min(turn_windows, n)) % n] for t in range(ROUNDS)]
         return pd.DataFrame({"group": [int(rows["group"].iloc[0])], "n": [n]} | {
-            name: [windows[turn].tobytes()] for name, turn in zip(names, turns)})
+            name: [_packed(windows[turn]) if vocabulary else windows[turn].tobytes()] for name, turn in zip(names, turns)})
 
     dealt = blocks.select("sizes", "held", "control", "data", "ids", "parts", "marks", "drawn", "end").mapInArrow(
-        split, "group int, marks binary, windows binary")
+        split, "group int, marks binary, windows binary, small boolean")
     return stored(dealt.groupBy("group").applyInPandas(
         join, "group int, n long, " + ", ".join(f"{name} binary" for name in names)), codec="zstd", large_rows=True)
 
@@ -334,16 +353,17 @@ def train_model(blocks: DataFrame, settings: Settings, counts: np.ndarray) -> tu
                              "state": [np.sum(states, axis=0, dtype=np.float64).tobytes()]})
 
     each = -(-max(settings.steps, -(-largest // BATCH)) // ROUNDS)
-    groups, state = window_groups(blocks, each * BATCH), model.state()
+    groups, state, begin = window_groups(blocks, each * BATCH, vocabulary), model.state(), int(vocabulary.inputs[end])
     for turn in range(ROUNDS):
         def run(batches: Iterator[pa.RecordBatch], state=state, turn=turn) -> Iterator[pa.RecordBatch]:
             for row in _each(batches):
-                windows = np.frombuffer(row["windows"], "<i4").reshape(-1, attention.WINDOW + 1)
-                after = Model().advance(state, windows, vocabulary, end, turn * each, (turn + 1) * each, ROUNDS * each, BATCH)
+                codes = _unpacked(row["windows"], min(row["n"], each * BATCH) * (attention.WINDOW + 1))
+                after = Model().advance_coded(state, codes.reshape(-1, attention.WINDOW + 1), begin, turn * each,
+                                              (turn + 1) * each, ROUNDS * each, BATCH)
                 yield pa.RecordBatch.from_pydict({"group": pa.array([row["group"]], pa.int32()),
                                                   "state": pa.array([after.tobytes()], pa.binary())})
 
-        states = groups.select("group", F.col(f"turn{turn}").alias("windows")).mapInArrow(run, "group int, state binary")
+        states = groups.select("group", "n", F.col(f"turn{turn}").alias("windows")).mapInArrow(run, "group int, state binary")
         found = states.groupBy(F.pmod("group", F.lit(LOTS)).alias("lot")).applyInPandas(
             add, "lot int, n int, state binary").collect()
         state = (np.sum([np.frombuffer(r["state"]) for r in sorted(found, key=lambda r: r["lot"])], axis=0) / sum(

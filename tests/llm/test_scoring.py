@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -31,6 +32,38 @@ def test_gradients():
         assert math.isclose((up - down) / 2e-5, grads[name][at], rel_tol=1e-3, abs_tol=1e-7)
 
 
+@pytest.mark.parametrize("scale", [1.0, 600.0])     # at the second one the exponents are too large for a float
+def test_fast_gradients_equal_careful_ones(scale):
+    rng, model, room = np.random.default_rng(4), attention.Model(2), attention.Room()
+    model.p["up0"][:] = rng.standard_normal(attention.HIDDEN)
+    model.p["out0"][:] = rng.standard_normal(attention.CLASSES)
+    model.p["out"] *= np.float32(scale)
+    for n in (5, 64, 3):                            # the room of a larger batch serves a smaller one
+        ids = rng.integers(0, len(model.p["embed"]), (n, attention.WINDOW))
+        scored = rng.random(ids.shape) < 0.7
+        target = rng.integers(0, attention.CLASSES, int(scored.sum()))
+        loss, grads = model.gradients(ids, scored, target, room)
+        want_loss, want = model.careful_gradients(ids, scored, target)
+        assert math.isclose(loss, want_loss, rel_tol=1e-4) and set(grads) == set(model.p)
+        for name, value in want.items():
+            assert grads[name].dtype == np.float32
+            np.testing.assert_allclose(grads[name], value, rtol=1e-3, atol=1e-5 * np.abs(value).max())
+
+
+def test_a_step_makes_no_large_arrays():
+    """The arrays of a training step stay for the next one; each step asks for little besides."""
+    rng, model, room = np.random.default_rng(6), attention.Model(), attention.Room()
+    ids = rng.integers(0, len(model.p["embed"]), (64, attention.WINDOW))
+    scored = np.ones(ids.shape, bool)
+    target = rng.integers(0, attention.CLASSES, ids.size)
+    model.gradients(ids, scored, target, room)
+    tracemalloc.start()
+    model.gradients(ids, scored, target, room)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_500_000                         # 5.5 MB before
+
+
 def test_windows_score_each_position_once():
     lengths = np.array([0, 1, 31, 32, 33, 56, 57, 500])
     text, start, first = attention.windows(lengths)
@@ -158,6 +191,25 @@ def test_a_turn_reads_its_own_windows_only(given, monkeypatch):
     assert np.array_equal(a, b)
 
 
+def test_training_reads_coded_windows(given, monkeypatch):
+    monkeypatch.setattr(scoring, "GROUP_WINDOWS", 700)
+    blocks = scoring.word_blocks(given, SETTINGS)
+    counts = scoring.subword_counts(blocks, SETTINGS)
+    vocabulary, end, wide = attention.Vocabulary.of(counts, scoring.neighbour_counts(blocks, counts)), len(counts) - 1, attention.WINDOW + 1
+    by_id, by_code = ({r.group: r for r in scoring.window_groups(blocks, 100, v).collect()} for v in (None, vocabulary))
+    assert list(sorted(by_id)) == list(sorted(by_code)) and len(by_id) > 2
+    room = [0, 0]
+    for group, r in by_id.items():
+        for t in range(scoring.ROUNDS):
+            rows, data = np.frombuffer(r[f"turn{t}"], "<i4").reshape(-1, wide), by_code[group][f"turn{t}"]
+            codes = scoring._unpacked(data, min(r.n, 100) * wide).reshape(-1, wide)
+            ids, scored, target = attention.inputs_of(rows, end, vocabulary)
+            found = attention.inputs_of_codes(codes, vocabulary.inputs[end])
+            assert all(np.array_equal(a, b) for a, b in zip(found, (ids, scored, vocabulary.classes[target])))
+            room[0], room[1] = room[0] + rows.size, room[1] + len(data)
+    assert room[1] < 1.25 * room[0]                 # bytes an id, four before
+
+
 def plain_log_prob(model: attention.Model, ids: list[int], at: int, target: int) -> float:
     """One position of one window by loops: attend to the places up to ``at``, then the dense part, then the classes."""
     p = {k: v.astype(float) for k, v in model.p.items()}
