@@ -114,3 +114,16 @@ def test_cross_validation_grows_the_trees_of_a_boosting(spark, rows):
     got = {r["id"]: r["y_pred"] for r in models.leave_one_group_out(df, ["a", "b"], "y", "g", make, ["id"]).collect()}
     assert got.keys() == want.keys()
     assert np.allclose([got[i] for i in sorted(got)], [want[i] for i in sorted(got)])
+
+
+def test_levels_look_at_places_not_at_rows(spark, monkeypatch):
+    monkeypatch.setattr(boost, "ROWS", 1_000)                   # one place lies in several chunks
+    n = 6_000
+    df = spark.range(n).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 5).cast("double").alias("a"),
+                               F.when(F.col("id") % 7 > 0, F.lit(1.0)).alias("b"), (F.col("id") % 5 + F.col("id") % 2).cast("double").alias("y"))
+    model = boost.Boosting(df, ["a", "b"], "y", "g", ["id"], boost.Settings(trees=2, depth=2, rate=0.5, share=0.7)).grow()
+    sizes = [len(r[0]) // 2 for r in model.chunks.select("x").collect()]
+    assert sum(sizes) < n // 50                                 # ten places, a few times where a chunk ends
+    got = {r["id"]: r for r in model.held_out().collect()}
+    assert sorted(got) == list(range(n)) and all(r["y_true"] == i % 5 + i % 2 and r["g"] == i % 3 for i, r in got.items())
+    assert len({(r["g"], i % 5, i % 7 > 0, r["y_pred"]) for i, r in got.items()}) == 30
