@@ -20,7 +20,7 @@ from stationloom.operators.cells import rows_of
 from stationloom.operators.features import scale_like
 from stationloom.operators.normalize import row_ids
 from stationloom.operators.spatial import connected_components
-from stationloom.session import ensure_checkpoint_dir
+from stationloom.session import ensure_checkpoint_dir, stored
 
 FINISH = 2_000          # clusters whose remaining merges one small matrix decides
 
@@ -58,8 +58,9 @@ def nearest_clusters(state: DataFrame, width: int, target: int = cellular.TARGET
             place[part], cost[part] = c.argmin(axis=1), c.min(axis=1)
         return pa.table([left["node"], names.take(pa.array(place)), pa.array(cost)], ["node", "best", "cost"])
 
-    held = cellular.with_cell(state.select("node", "_w", "_n"), index)
-    first = cellular.on_cells(held, held, search, schema, "node", "node").groupBy("node").agg(F.min("cost").alias("_u"))
+    # both passes read the cells, and the second reads what the first found, more than once
+    held = stored(cellular.with_cell(state.select("node", "_w", "_n"), index))
+    first = stored(cellular.on_cells(held, held, search, schema, "node", "node").groupBy("node").agg(F.min("cost").alias("_u")))
     # cost >= distance**2 * n * lightest / (n + lightest)
     reach = F.sqrt(F.col("_u") * (F.col("_n") + lightest) / (F.col("_n") * lightest))
     asked = cellular.with_visited(state.select("node", "_w", "_n").join(first, "node").withColumn("_r", reach).drop("_u"), index)
@@ -107,29 +108,28 @@ def _merge_rest(state: list, turn: int) -> list[tuple]:
 def merges(places: DataFrame, width: int, target: int = cellular.TARGET, finish: int = FINISH) -> DataFrame:
     """The whole tree over ``node, _w, _n``: ``a, b, height, turn``, where b is merged into a."""
     spark, kind = places.sparkSession, dict(places.dtypes)["node"]
-    ensure_checkpoint_dir(spark)
-    state, done, turn = places.withColumn("_h", F.lit(0.0)).checkpoint(), None, 0
+    state, done, turn = stored(places.withColumn("_h", F.lit(0.0))), None, 0
     while (count := state.count()) > max(finish, 1):
-        near = nearest_clusters(state, width, target).checkpoint()
+        near = stored(nearest_clusters(state, width, target))
         back = near.select(F.col("node").alias("_b"), F.col("best").alias("_a"))
-        pairs = near.join(back, (F.col("node") == F.col("_a")) & (F.col("best") == F.col("_b"))).where(
-            F.col("node") < F.col("best")).select(F.col("node").alias("a"), F.col("best").alias("b"), "cost").checkpoint()
+        pairs = stored(near.join(back, (F.col("node") == F.col("_a")) & (F.col("best") == F.col("_b"))).where(
+            F.col("node") < F.col("best")).select(F.col("node").alias("a"), F.col("best").alias("b"), "cost"))
         if pairs.isEmpty():                    # equal costs in a ring
-            pairs = near.orderBy("cost", F.least("node", "best"), F.greatest("node", "best")).limit(1).select(
-                F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b"), "cost").checkpoint()
+            pairs = stored(near.orderBy("cost", F.least("node", "best"), F.greatest("node", "best")).limit(1).select(
+                F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b"), "cost"))
         into = pairs.select(F.col("b").alias("node"), F.col("a").alias("_into"), "cost").unionByName(
             pairs.select(F.col("a").alias("node"), F.col("a").alias("_into"), "cost"))
         own = state.join(into, "node", "left").withColumn("_into", F.coalesce("_into", "node"))
         centre = F.array(*[F.sum(F.col("_w")[j] * F.col("_n")) / F.sum("_n") for j in range(width)])
-        state = own.groupBy(F.col("_into").alias("node")).agg(
+        state = stored(own.groupBy(F.col("_into").alias("node")).agg(
             centre.alias("_w"), F.sum("_n").alias("_n"), F.greatest(F.max("_h"), F.coalesce(F.max("cost"), F.lit(0.0))).alias(
-                "_h")).checkpoint()
+                "_h")))
         made = pairs.select("a", "b", "cost").join(state.select(F.col("node").alias("a"), F.col("_h").alias("height")), "a").select(
             "a", "b", "height", F.lit(turn).alias("turn"))
         done = made if done is None else done.unionByName(made)
         turn += 1
         if turn % 8 == 0:
-            done = done.checkpoint()
+            done = stored(done)
     rest = spark.createDataFrame(_merge_rest(state.collect(), turn) if count > 1 else [], f"a {kind}, b {kind}, height double, turn int")
     return rest if done is None else done.unionByName(rest)
 

@@ -1,3 +1,5 @@
+import contextlib
+import io
 import tracemalloc
 
 import numpy as np
@@ -71,3 +73,21 @@ def test_the_rest_needs_no_whole_matrix():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(merges) == ward.FINISH - 1 and peak < 8 * ward.FINISH ** 2          # less than the matrix of costs
+
+
+def test_estimated_sizes_do_not_multiply_from_turn_to_turn(spark, monkeypatch):
+    """Their product's digits once grew several times a turn, and so did the driver's memory."""
+    found, search = [], ward.nearest_clusters
+
+    def seen(state, *args):
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            state.explain("cost")
+        found.append(text.getvalue())
+        return search(state, *args)
+
+    monkeypatch.setattr(ward, "nearest_clusters", seen)
+    r = np.random.default_rng(3)
+    places = spark.createDataFrame([(i, [float(a), float(b)], 1) for i, (a, b) in enumerate(r.normal(size=(60, 2)))],
+                                   "node long, _w array<double>, _n long")
+    assert ward.merges(places, 2, finish=12).count() == 59 and len(found) > 2
+    assert all(" KiB" in t or " B" in t for t in found) and not any(x in t for t in found for x in ("GiB", "TiB", "PiB", "EiB"))
