@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -13,7 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationloom.functions.scalar import known
@@ -29,6 +29,12 @@ BOOSTED = {"maxIter": 60, "stepSize": 0.17, "maxDepth": 5, "subsamplingRate": 0.
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2, "seed": 42}
 
 
+def together(spark: SparkSession, tasks: Sequence[Callable], parallelism: int) -> list:
+    """What the functions return; some run at a time, so that one's jobs use the cores while another plans."""
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(lambda task: task(), [inheritable_thread_target(spark)(t) for t in tasks], chunksize=1)
+
+
 def boosted_trees(label: str = "y", **settings) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="y_pred", **{**BOOSTED, **settings})
 
@@ -259,12 +265,12 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, group: str,
 
     Rows without a group are in the first fold; missing features get the means of the fold's training rows.
     """
-    rows = []
-    for values in product(*grid.values()):
+    def run(values: tuple) -> tuple:
         own = {**settings, **dict(zip(grid, values))}
-        found = group_k_fold(df, features, label, group, folds, lambda target, own=own: boosted_trees(target, **own),
-                             parallelism=parallelism)
-        rows.append((*map(float, values), metrics(found, group=["fold"]).agg(F.avg("rmse")).first()[0]))
+        found = group_k_fold(df, features, label, group, folds, lambda target: boosted_trees(target, **own), parallelism=parallelism)
+        return *map(float, values), metrics(found, group=["fold"]).agg(F.avg("rmse")).first()[0]
+
+    rows = together(df.sparkSession, [partial(run, values) for values in product(*grid.values())], parallelism)
     return df.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in [*grid, "rmse"]))
 
 
