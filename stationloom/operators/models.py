@@ -351,11 +351,12 @@ def cross_validated(df: DataFrame, features: Sequence[str], label: str, group: s
 
 
 def ablation(df: DataFrame, weighted: DataFrame, features: Sequence[str], label: str, group: str,
-             make: Callable = boosted_trees, folds: int | None = None) -> DataFrame:
+             make: Callable = boosted_trees, folds: int | None = None, parallelism: int = 2) -> DataFrame:
     """Overall metrics of the plain and of the weighted features under the same folds."""
-    rows = [metrics(cross_validated(frame, features, label, group, make, folds)).select(
-        F.lit(name).alias("model"), F.lit(group).alias("scheme"), "mae", "rmse", "r", "n")
-        for name, frame in (("base", df), ("weighted", weighted))]
+    found = together(df.sparkSession, [partial(cross_validated, frame, features, label, group, make, folds) for frame in (df, weighted)],
+                     parallelism)
+    rows = [metrics(predictions).select(F.lit(name).alias("model"), F.lit(group).alias("scheme"), "mae", "rmse", "r", "n")
+            for name, predictions in zip(("base", "weighted"), found)]
     return rows[0].unionByName(rows[1])
 
 

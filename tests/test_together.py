@@ -27,3 +27,9 @@ def test_settings_of_a_grid(spark, rows, monkeypatch):
     monkeypatch.setattr(models, "group_k_fold", waits_for(spark, 2))
     got = models.grid_search(rows, ["a"], "swe", "station_id", {"maxDepth": [5, 3]}, folds=2).collect()
     assert [r["maxDepth"] for r in got] == [5.0, 3.0] and all(abs(r["rmse"] - 0.5 ** 0.5 / 2) < 1e-9 for r in got)
+
+
+def test_both_sides_of_an_ablation(spark, rows, monkeypatch):
+    monkeypatch.setattr(models, "cross_validated", waits_for(spark, 2))
+    got = models.ablation(rows, rows, ["a"], "swe", "station_id").collect()
+    assert sorted((r["model"], r["scheme"], r["n"]) for r in got) == [("base", "station_id", 3), ("weighted", "station_id", 3)]
