@@ -5,6 +5,7 @@ import threading
 import pytest
 
 from stationloom.operators import models
+from stationloom.plans import evaluation
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +34,11 @@ def test_both_sides_of_an_ablation(spark, rows, monkeypatch):
     monkeypatch.setattr(models, "cross_validated", waits_for(spark, 2))
     got = models.ablation(rows, rows, ["a"], "swe", "station_id").collect()
     assert sorted((r["model"], r["scheme"], r["n"]) for r in got) == [("base", "station_id", 3), ("weighted", "station_id", 3)]
+
+
+def test_schemes_of_a_complete_analysis(spark, rows, monkeypatch):
+    monkeypatch.setattr(models, "cross_validated", waits_for(spark, 2))
+    dated = rows.withColumn("date", rows["date"].cast("date"))
+    out = evaluation.complete_analysis(dated, ["a"], make=lambda label: models.boosted_trees(label, maxIter=1, maxDepth=1))
+    assert sorted((r["scheme"], r["n"]) for r in out["overall"].collect()) == [("station", 3), ("yearly", 3)]
+    assert [r["feature"] for r in out["importance"].collect()] == ["a"]
